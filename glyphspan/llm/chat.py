@@ -105,7 +105,8 @@ def format_chat(df: DataFrame, template: ChatTemplate = CHATML, conv: str = "con
 
 def read_turns(formatted: Column, template: ChatTemplate = CHATML) -> Column:
     """Array of (role, text) parsed back from a formatted conversation."""
-    blocks = F.slice(F.split(formatted, _quoted(template.start)), 2, F.lit(2**31 - 1))
+    parts = F.split(formatted, _quoted(template.start))
+    blocks = F.slice(parts, F.lit(2), F.size(parts) - 1)
     tail = len(template.end + template.after_end)
 
     def turn(block: Column) -> Column:
