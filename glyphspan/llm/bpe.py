@@ -1,15 +1,16 @@
 """Byte-level BPE: encoding by ranked merges, decoding by concatenation.
 
-A task splits its documents and keeps each distinct piece of a block of documents once.  Spark's higher-order functions
-then fold the ranked merges over the bytes of these distinct pieces, looking ranks up in a literal map; a last step puts
-the pieces' ids back in order.  All three steps are narrow: a block of documents is one row of arrays, nothing is
-shuffled and no dictionary of the corpus is gathered anywhere.
+Each distinct word of a task is cut into pieces and folded once: the adjacent pair of least rank is merged, leftmost
+first, until none is left; documents are then put together from their words' ids.  All is narrow: nothing is shuffled,
+the vocabulary is the only thing broadcast and no dictionary of the corpus is gathered anywhere.
 
-Bytes are held as ISO-8859-1 characters, one a byte, since a literal map read from JSON has text keys.  The map is cut
-into ``BUCKETS`` small maps by hash, because Spark scans a map's keys one by one.
+``fold_merges`` is the same fold as Spark higher-order functions over the bytes of a column of words, ranks looked up in a
+literal map (``encode_words`` applies it).  Spark interprets such folds step by step; over all documents they passed the
+limits of memory and CPU (figures in the README), so ``encode`` folds inside Arrow tasks.
 
-Cases: null text is empty and has no ids; pieces longer than ``LONG`` bytes (texts without any break) are merged by a heap
-in the task, exactly as the fold does; rows repeating an id stay apart; an empty table gives an empty result.
+Cases: null text is empty and has no ids; pieces longer than ``LONG`` bytes (texts without any break) are merged by a
+heap, exactly as the fold does; at most ``KEPT`` words are remembered, then all are forgotten, a bound of memory without
+effect on results; rows repeating an id stay apart; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 LONG = 200
-BLOCK_CHARS = 8_000_000
+KEPT = 300_000
+CHARS = 4_000_000
 #: White space as Unicode defines it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -71,14 +75,6 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
-class Index(dict):
-    """Numbers new keys in the order of their arrival."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
 _lone = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 
 
@@ -162,70 +158,98 @@ def fold_merges(word: Column, rank) -> Column:
     return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", ids: str = "ids") -> DataFrame:
+    """Add ``ids`` to a table of words given as bytes: the fold by Spark's own functions, without Python."""
+    return words.withColumn(ids, fold_merges(F.decode(F.col(word), "ISO-8859-1"), _rank_lookup(ranks)))
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one piece: a fold that merges the adjacent pair of least rank, leftmost first, until none is left."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    if n > LONG:
+        return merge_long(piece, ranks)
+    rank, none = ranks.get, len(ranks) + 1_000_000
+    cuts = list(range(n + 1))
+    pairs = [rank(piece[i : i + 2], none) for i in range(n - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], none)
+        if i < len(pairs):
+            pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], none)
+    return [ranks[piece[a:b]] for a, b in itertools.pairwise(cuts)]
+
+
+class Words:
+    """Ids of the distinct words a task has met, one after another in one array."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.find = ranks, compiled(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.starts = array("i"), array("q", [0])
+
+    def learn(self, words: Iterable[str]) -> None:
+        for word in words:
+            self.at[word] = len(self.at)
+            for piece in self.find(word):
+                self.flat.extend(merge(piece.encode("utf-8", "surrogatepass"), self.ranks))
+            self.starts.append(len(self.flat))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.at) > KEPT:
+            self.forget()
+        cut = [words_of(t) if t else [] for t in texts]
+        self.learn({w: None for words in cut for w in words if w not in self.at})
+        flat, starts = np.array(self.flat, np.int32), np.array(self.starts, np.int64)
+        out = []
+        for words in cut:
+            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            index, _ = gather(starts[at], starts[at + 1] - starts[at])
+            out.append(flat[index])
+        return out
+
+
+def _some(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts in order, about ``CHARS`` characters at a time."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t or "")
+        size += len(now[-1])
+        if size > CHARS:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row, each match of the pattern merged by itself, without special tokens."""
     kind = df.schema[doc_id].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = compiled(pattern).findall
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value, pattern)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
-            while at < len(texts):
-                first, chars = at, 0
-                words, runs, counts = Index(), [], []
-                while at < len(texts) and chars <= block_chars:
-                    t = texts[at] or ""
-                    chars += len(t)
-                    runs.append(np.array([words[w] for w in words_of(t)] if t else [], np.int32))
-                    at += 1
-                pieces, long_pieces = Index(), Index()
-                of_word = []
-                for w in words:
-                    for p in find(w):
-                        b = p.encode("utf-8", "surrogatepass")
-                        of_word.append(pieces[b] if len(b) <= LONG else -1 - long_pieces[b])
-                    of_word.append(None)
-                marks = np.array([x is None for x in of_word], bool)
-                flat = np.array([x for x in of_word if x is not None], np.int32)
-                stops = np.flatnonzero(marks) - np.arange(marks.sum())
-                starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
-                each = []
-                for run in runs:
-                    index, total = gather(starts[run], (stops - starts)[run]) if len(run) else (np.empty(0, np.int64), 0)
-                    each.append(flat[index])
-                    counts.append(total)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "ids": pa.array([ids.slice(first, at - first).to_pylist()], pa.list_(ids.type)),
-                        "counts": pa.array([counts], pa.list_(pa.int32())),
-                        "at": _one_list(np.concatenate(each) if each else np.empty(0, np.int32)),
-                        "words": pa.array([[b.decode("latin-1") for b in pieces]], pa.list_(pa.string())),
-                        "long": pa.array([[merge_long(b, shared.value) for b in long_pieces]], pa.list_(pa.list_(pa.int32()))),
-                    }
-                )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                col = {name: batch.column(i).slice(row, 1).flatten() for i, name in enumerate(batch.schema.names)}
-                merged, n = col["merged"], len(col["merged"])
-                sizes = np.concatenate([_sizes(merged), _sizes(col["long"])]).astype(np.int64)
-                tokens = np.concatenate([_flat(merged), _flat(col["long"])])
-                at = col["at"].to_numpy(zero_copy_only=False).astype(np.int64)
-                at = np.where(at < 0, n - 1 - at, at)
-                begins = np.cumsum(sizes) - sizes
-                index, _ = gather(begins[at], sizes[at])
-                ends = np.concatenate([[0], np.cumsum(sizes[at])])
-                docs = np.concatenate([[0], np.cumsum(col["counts"].to_numpy(zero_copy_only=False))]).astype(np.int64)
-                values = pa.ListArray.from_arrays(pa.array(ends[docs].astype(np.int32)), pa.array(tokens[index].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([col["ids"], values], ["doc_id", "ids"])
-
-    blocks = df.select(F.col(doc_id), F.col(text)).mapInArrow(split, f"ids array<{kind}>, counts array<int>, at array<int>, words array<string>, long array<array<int>>")
-    rank = _rank_lookup(ranks)
-    folded = blocks.select("ids", "counts", "at", F.transform("words", lambda w: fold_merges(w, rank)).alias("merged"), "long")
-    return folded.mapInArrow(join, f"doc_id {kind}, ids array<int>").select(F.col("doc_id").alias(doc_id), "ids")
+            for texts in _some(batch.column(1).to_pylist()):
+                ids = words.ids(texts)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["doc_id", "ids"])
+                at += len(texts)
+
+    out = df.select(F.col(doc_id), F.col(text)).mapInArrow(encoded, f"doc_id {kind}, ids array<int>")
+    return out.select(F.col("doc_id").alias(doc_id), "ids")
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -234,18 +258,6 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total), total
 
 
-def _one_list(values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-
-
-def _sizes(lists: pa.Array) -> np.ndarray:
-    return lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.empty(0, np.int64)
-
-
-def _flat(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.empty(0, np.int64)
-
-
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes of each row's ids one after another; an id without a token is an error."""
     tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)

@@ -35,6 +35,16 @@ def test_bpe_as_tiktoken(spark, sf, docs):
         assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_merges_as_spark_functions(spark):
+    from glyphspan.llm import bpe
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    words = [w.encode() for w in (" schbeauß", "a", " ¿qué", "xxxxxxxxxxxxxxx", "漢字", "\n\n", " the")]
+    table = spark.createDataFrame([(w,) for w in words], "word binary")
+    got = {bytes(r["word"]): r["ids"] for r in bpe.encode_words(table, ranks).collect()}
+    assert got == {w: bpe.merge(w, ranks) for w in words} == {w: bpe.merge_long(w, ranks) for w in words}
+
+
 def test_packing_holds_every_token_once(spark, sf, docs):
     from tokenizers import Tokenizer
 
