@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from glyphspan.llm.bpe import compiled, gather
 
 WINDOW = 2048
-_KEPT = 400_000
+_KEPT = 1_000_000
 _workers: dict = {}
 
 
