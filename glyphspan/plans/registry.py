@@ -1,4 +1,342 @@
 """All registered queries of the library and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphspan.functions import text as T
+from glyphspan.operators import dictionary as D
+from glyphspan.operators import evaluate as E
+from glyphspan.operators import lexicon as L
+from glyphspan.operators import search as S
+from glyphspan.operators import tokens as K
+from glyphspan.sources.tables import table
+from glyphspan.streaming import events as V
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+_SET = "".join("\\" + c if c in "[]()" else "''" if c == "'" else c for c in T.BREAKS)
+_TOKENS = rf"""WITH chunked AS (SELECT doc_id, source, regexp_extract_all(text, '[^{_SET}]+|[{_SET}]+') AS c FROM documents),
+ch AS (SELECT doc_id, source, unnest(c) AS chunk, unnest(range(len(c))) AS i FROM chunked),
+nx AS (SELECT *, lead(chunk) OVER (PARTITION BY doc_id ORDER BY i) AS brk FROM ch),
+wd AS (SELECT doc_id, source, chunk AS text, lower(chunk) AS norm, coalesce(brk, '') AS brk, (row_number() OVER w - 1)::INT AS pos, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM nx WHERE NOT regexp_matches(chunk, '^[{_SET}]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT *, (contains(brk, '.') OR pos = n - 1) AS hard_break FROM wd) """
+
+# A small lexicon over frequent words and syllables of the documents; bits of the masks are free features.
+STEMS = [("the", "the", "x", 0), ("of", "of", "x", 0), ("and", "and", "x", 0), ("and#2", "and", "y", 1), ("in", "in", "y", 3), ("hat", "hat", "y", 2), ("es", "es", "z", 4), ("er", "er", "z", 6), ("th", "th", "z", 0)]
+ENDINGS = [("x", "", 0), ("x", "y", 1), ("y", "", 1), ("y", "ing", 2), ("y", "er", 3), ("z", "e", 4), ("z", "in", 2), ("z", "at", 6), ("z", "", 2)]
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+_LEXICON = f""", stems(lemma, stem, infl, stem_mask) AS (VALUES {_values(STEMS)}), endings(infl, ending, end_mask) AS (VALUES {_values(ENDINGS)}),
+words AS (SELECT DISTINCT norm AS word FROM t),
+an AS (SELECT DISTINCT word, lemma, CASE WHEN stem_mask = 0 THEN end_mask WHEN end_mask = 0 THEN stem_mask ELSE stem_mask & end_mask END AS mask
+  FROM words JOIN stems ON starts_with(word, stem) JOIN endings ON stems.infl = endings.infl AND ending = substr(word, length(stem) + 1)
+  WHERE stem_mask = 0 OR end_mask = 0 OR stem_mask & end_mask <> 0) """
+
+
+def query(sql: str | None = None):
+    """Register a query of (spark, sf_dir) by its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _forms() -> dict[str, list[tuple[str, int]]]:
+    """Words of the inline lexicon with their analyses; as small as the lexicon."""
+    out: dict[str, list[tuple[str, int]]] = {}
+    for lemma, stem, infl, a in STEMS:
+        for table_, ending, b in ENDINGS:
+            mask = b if a == 0 else a if b == 0 else a & b
+            if table_ == infl and (mask or a == 0 or b == 0):
+                out.setdefault(stem + ending, []).append((lemma, mask))
+    return out
+
+
+@query(_TOKENS + "SELECT count(*) AS total_words, count(DISTINCT doc_id) AS total_works, count(DISTINCT norm) AS unique_words, count(*) FILTER (hard_break) AS hard_breaks FROM t")
+def token_stats(spark, sf):
+    return K.stats(_docs(spark, sf))
+
+
+@query(_TOKENS + "SELECT doc_id, pos, norm, hard_break FROM t")
+def token_table(spark, sf):
+    return K.token_table(_docs(spark, sf)).select("doc_id", "pos", "norm", "hard_break")
+
+
+@query("""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS row_idx FROM documents),
+s AS (SELECT doc_id, row_idx, (sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_idx))::BIGINT AS section FROM r)
+SELECT doc_id, row_idx, section, CASE WHEN lag(section) OVER w IS NULL THEN 'none' WHEN lag(section) OVER w <> section THEN 'hard' ELSE 'soft' END AS kind FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx)""")
+def row_breaks(spark, sf):
+    return K.row_breaks(_docs(spark, sf))
+
+
+@query(_TOKENS + """, o AS (SELECT doc_id, pos, length(text) AS l, coalesce(sum(length(text) + length(brk)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM t)
+SELECT doc_id, pos, start_char, start_char + l AS break_char FROM o""")
+def token_offsets(spark, sf):
+    return K.offsets(_docs(spark, sf))
+
+
+@query(_TOKENS + "SELECT norm, count(*) AS n, count(*) * 32 > (SELECT count(*) FROM t) AS bitmask FROM t GROUP BY norm")
+def posting_encoding(spark, sf):
+    return K.posting_sizes(_docs(spark, sf))
+
+
+@query("SELECT source, min(doc_id) AS first_work, max(doc_id) AS last_work, count(*) AS works FROM documents GROUP BY source")
+def author_intervals(spark, sf):
+    return K.author_intervals(_docs(spark, sf))
+
+
+@query(_TOKENS + "SELECT doc_id, pos FROM t WHERE norm = 'the'")
+def word_query(spark, sf):
+    return S.spans(_docs(spark, sf), [S.word("the")]).select("doc_id", "pos")
+
+
+_PAIR = "SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND "
+
+
+@query(_TOKENS + _PAIR + "a.norm = 'of' AND b.norm = 'the'")
+def phrase2(spark, sf):
+    return S.spans(_docs(spark, sf), [S.word("of"), S.word("the")]).select("doc_id", "pos")
+
+
+@query(_TOKENS + "SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN t c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE NOT a.hard_break AND NOT b.hard_break AND a.norm IN ('of', 'in') AND b.norm = 'the' AND c.norm <> 'and'")
+def phrase3(spark, sf):
+    return S.spans(_docs(spark, sf), [S.any_of(S.word("of"), S.word("in")), S.word("the"), S.none_of(S.word("and"))]).select("doc_id", "pos")
+
+
+@query(_TOKENS + _PAIR + "a.norm = 'of' AND b.norm = 'the' AND a.source = (SELECT min(source) FROM documents)")
+def phrase_author(spark, sf):
+    docs = _docs(spark, sf)
+    first = docs.agg(F.min("source").alias("source"))  # one row
+    return S.spans(docs.join(F.broadcast(first), "source", "left_semi"), [S.word("of"), S.word("the")]).select("doc_id", "pos")
+
+
+@query(_TOKENS + "SELECT doc_id, pos, norm FROM t WHERE norm IN ('of', 'and')")
+def term_or(spark, sf):
+    docs = _docs(spark, sf)
+    each = [S.spans(docs, [S.any_of(S.word("of"), S.word("and"))])]
+    rows = each[0].join(K.token_table(docs).select("doc_id", "pos", "norm"), ["doc_id", "pos"])
+    return rows.select("doc_id", "pos", "norm")
+
+
+_NEAR = "SELECT DISTINCT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.norm = 'of' AND b.norm = 'the' AND "
+
+
+@query(_TOKENS + _NEAR + "abs(a.pos - b.pos) <= 5")
+def prox_undirected(spark, sf):
+    docs = _docs(spark, sf)
+    return S.near(S.spans(docs, [S.word("of")]), S.spans(docs, [S.word("the")])).select("doc_id", "pos")
+
+
+@query(_TOKENS + _NEAR + "b.pos - a.pos BETWEEN 0 AND 5")
+def prox_directed(spark, sf):
+    docs = _docs(spark, sf)
+    return S.near(S.spans(docs, [S.word("of")]), S.spans(docs, [S.word("the")]), directed=True).select("doc_id", "pos")
+
+
+@query(_TOKENS + ", s AS (" + _PAIR + "a.norm = 'of' AND b.norm = 'the') SELECT DISTINCT s.doc_id, s.pos FROM s JOIN t ON s.doc_id = t.doc_id AND t.norm = 'and' AND abs(t.pos - s.pos) <= 8 AND (t.pos >= s.pos + 2 OR t.pos < s.pos)")
+def prox_span_word(spark, sf):
+    docs = _docs(spark, sf)
+    return S.near(S.spans(docs, [S.word("of"), S.word("the")]), S.spans(docs, [S.word("and")]), 8, lengths=(2, 1)).select("doc_id", "pos")
+
+
+@query(_TOKENS + """SELECT DISTINCT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.norm = 'the' AND b.pos - a.pos BETWEEN 0 AND 5
+JOIN t c ON c.doc_id = a.doc_id AND c.norm = 'and' AND c.pos - b.pos BETWEEN 0 AND 5 WHERE a.norm = 'of'""")
+def prox_three(spark, sf):
+    docs = _docs(spark, sf)
+    tail = S.near(S.spans(docs, [S.word("the")]), S.spans(docs, [S.word("and")]), directed=True)
+    return S.near(S.spans(docs, [S.word("of")]), tail, directed=True).select("doc_id", "pos")
+
+
+@query()
+def prox_self(spark, sf):
+    return S.near_same(S.spans(_docs(spark, sf), [S.word("the")]))
+
+
+@query(_TOKENS + """, m AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the')
+SELECT m.doc_id, m.pos, coalesce(string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos < m.pos), '') AS before, string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos BETWEEN m.pos AND m.pos + 1) AS matched,
+coalesce(string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos > m.pos + 1), '') AS after FROM m JOIN t ON t.doc_id = m.doc_id AND t.pos BETWEEN m.pos - 5 AND m.pos + 6 GROUP BY m.doc_id, m.pos""")
+def kwic_context(spark, sf):
+    return S.context(_docs(spark, sf), [S.word("of"), S.word("the")])
+
+
+@query(_TOKENS + """, m AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the'),
+r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS row_idx FROM documents),
+z AS (SELECT doc_id, row_idx, len(list_filter(regexp_extract_all(line, '[^""" + _SET + "]+|[" + _SET + "]+'), lambda x: NOT regexp_matches(x, '^[" + _SET + """]'))) AS n FROM r),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z)
+SELECT m.doc_id, m.pos, b.row_idx, m.pos - b.start AS in_row FROM m JOIN b ON m.doc_id = b.doc_id AND m.pos >= b.start AND m.pos < b.start + b.n""")
+def match_leaders(spark, sf):
+    return S.leaders(_docs(spark, sf), [S.word("of"), S.word("the")])
+
+
+@query(_TOKENS + "SELECT doc_id, pos FROM t WHERE norm = 'the' AND (doc_id > 10 OR doc_id = 10 AND pos > 3) ORDER BY doc_id, pos LIMIT 51")
+def page_keyset(spark, sf):
+    return S.page(S.spans(_docs(spark, sf), [S.word("the")]).select("doc_id", "pos"), (10, 3), 50)
+
+
+def _analyses(spark, sf) -> DataFrame:
+    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word"))
+    return L.analyse(words, L.stems(spark, STEMS), L.endings(spark, ENDINGS))
+
+
+@query(_TOKENS + _LEXICON + "SELECT word, lemma, mask FROM an")
+def analyze_words(spark, sf):
+    return _analyses(spark, sf)
+
+
+@query(_TOKENS + """SELECT word, substr(word, 1, length(word) - length(e)) AS base, e AS enclitic FROM (SELECT DISTINCT norm AS word FROM t), (VALUES (''), ('que'), ('ne'), ('ve')) v(e) WHERE e = '' OR (ends_with(word, e) AND length(word) > length(e))""")
+def analyze_enclitics(spark, sf):
+    return L.without_enclitics(K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct())
+
+
+@query(_TOKENS + "SELECT translate(norm, 'vj', 'ui') AS spelling, count(DISTINCT norm) AS variants FROM t GROUP BY 1 HAVING count(DISTINCT norm) > 1")
+def uv_ij_variants(spark, sf):
+    t = K.token_table(_docs(spark, sf))
+    return t.groupBy(L.spelling_key(F.col("norm")).alias("spelling")).agg(F.countDistinct("norm").alias("variants")).where("variants > 1")
+
+
+@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE lemma = 'and#2')")
+def lemma_query(spark, sf):
+    return S.spans(_docs(spark, sf), [S.lemma("and#2", _forms())]).select("doc_id", "pos")
+
+
+@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE mask & 2 = 2)")
+def infl_query(spark, sf):
+    return S.spans(_docs(spark, sf), [S.inflection(2, _forms())]).select("doc_id", "pos")
+
+
+@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an GROUP BY word HAVING bool_and(mask & 1 = 1))")
+def strict_query(spark, sf):
+    return S.spans(_docs(spark, sf), [S.inflection(1, _forms(), strict=True)]).select("doc_id", "pos")
+
+
+@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE lemma = 'and#2' AND mask & 1 = 1)")
+def term_and_infl(spark, sf):
+    return S.spans(_docs(spark, sf), [S.inflection(1, _forms(), name="and#2")]).select("doc_id", "pos")
+
+
+@query(_TOKENS + _LEXICON + """SELECT DISTINCT lemma FROM stems JOIN endings USING (infl) WHERE starts_with(stem, 'th') OR (starts_with('th', stem) AND stem <> 'th' AND starts_with(ending, substr('th', length(stem) + 1))) ORDER BY lemma LIMIT 10""")
+def complete_prefix(spark, sf):
+    return L.complete(L.stems(spark, STEMS), L.endings(spark, ENDINGS), "th", 10)
+
+
+@query(_TOKENS + _LEXICON + "SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM an) AND starts_with(word, 'th') GROUP BY word")
+def lexicon_anti_join(spark, sf):
+    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct()
+    return words.join(_analyses(spark, sf), "word", "left_anti").where(F.startswith("word", F.lit("th"))).select("word", F.lit(1).cast("long").alias("n"))
+
+
+_ORTHS = """WITH raw AS (SELECT 'part' AS dict, p_partkey::VARCHAR AS id, p_name AS orth FROM part UNION ALL SELECT 'nation', n_nationkey::VARCHAR, n_name FROM nation
+UNION ALL SELECT 'region', r_regionkey::VARCHAR, r_name FROM region UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, s_name FROM supplier),
+orths AS (SELECT *, translate(lower(orth), '^_-+''', '') AS clean_orth FROM raw) """
+
+
+def _orths(spark, sf) -> DataFrame:
+    names = (("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("supplier", "s_suppkey", "s_name"))
+    return D.fused([D.headwords(table(spark, sf, t), t, i, k) for t, i, k in names])
+
+
+@query(_ORTHS + "SELECT dict, id, orth FROM orths WHERE clean_orth = 'asia'")
+def dict_lookup(spark, sf):
+    return D.lookup(_orths(spark, sf), "ASIA").select("dict", "id", "orth")
+
+
+@query(_ORTHS + "SELECT dict, id, orth FROM orths WHERE starts_with(clean_orth, 'a')")
+def dict_prefix(spark, sf):
+    return D.by_prefix(_orths(spark, sf), "a").select("dict", "id", "orth")
+
+
+@query(_ORTHS + "SELECT dict, id, orth FROM orths WHERE ends_with(clean_orth, 'a')")
+def dict_suffix(spark, sf):
+    return D.by_prefix(_orths(spark, sf), "-a").select("dict", "id", "orth")
+
+
+@query(_ORTHS + "SELECT dict, id, orth FROM orths WHERE id IN ('1', '2', '3')")
+def dict_by_id(spark, sf):
+    return _orths(spark, sf).where(F.col("id").isin("1", "2", "3")).select("dict", "id", "orth")
+
+
+@query("SELECT p_partkey, (string_split('- X XX XXX XL L LX LXX LXXX XC', ' ')[(p_size // 10) % 10 + 1] || string_split('- I II III IV V VI VII VIII IX', ' ')[p_size % 10 + 1]).replace('-', '') AS numeral FROM part")
+def roman_numerals(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.roman(F.col("p_size")).alias("numeral"))
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(text, '[^.;:?!]+')) AS sentences FROM conversations WHERE text IS NOT NULL")
+def sentences(spark, sf):
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL")
+    return rows.select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit("[^.;:?!]+"), F.lit(0))).cast("long").alias("sentences"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= 2")
+def tally(spark, sf):
+    return E.tally(table(spark, sf, "events"), "event_type", 2)
+
+
+@query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def percentiles(spark, sf):
+    return E.percentiles(table(spark, sf, "events"), "event_type", "value")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, max(value) AS most FROM events GROUP BY event_type")
+def stddev_bench(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("deviation"), F.max("value").alias("most"))
+
+
+@query("SELECT event_type, count(value) FILTER (user_id % 2 = 0) AS n_a, count(value) FILTER (user_id % 2 = 1) AS n_b, round(avg(value) FILTER (user_id % 2 = 0), 6) AS mean_a, round(avg(value) FILTER (user_id % 2 = 1), 6) AS mean_b FROM events GROUP BY event_type")
+def ab_compare(spark, sf):
+    return E.compare_groups(table(spark, sf, "events").withColumn("odd", F.col("user_id") % 2 == 1), "event_type", "odd", "value")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, coalesce(sum(CASE WHEN b IS NULL OR b <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn), 0)::BIGINT AS run
+FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)) SELECT conv_id, run, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM r GROUP BY ALL""")
+def gaps_islands(spark, sf):
+    return E.runs(table(spark, sf, "conversations"), "conv_id", "turn", "role")
+
+
+@query("SELECT event_id, last_value(CASE WHEN value > 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events")
+def carry_forward(spark, sf):
+    rows = table(spark, sf, "events").withColumn("large", F.when(F.col("value") > 50, F.col("value")))
+    return rows.select("event_id", E.carried("large", "user_id", ["ts", "event_id"]).alias("carried"))
+
+
+@query("SELECT event_id, event_type, 'web' AS source FROM events WHERE NOT coalesce(regexp_matches(lower(event_type), 'bot|crawl|spider|error'), false)")
+def crawler_filter_append(spark, sf):
+    return V.wanted(table(spark, sf, "events")).select("event_id", "event_type", "source")
+
+
+@query("""WITH g AS (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM g GROUP BY tag""")
+def schema_profile(spark, sf):
+    return E.tag_profile(table(spark, sf, "pages"))
+
+
+@query()
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", E.html_text("html").alias("text"))
+
+
+@query("""WITH b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM benchmark), d AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT 'benchmark' AS only_in, line FROM (SELECT line FROM b EXCEPT SELECT line FROM d) UNION ALL SELECT 'documents', line FROM (SELECT line FROM d EXCEPT SELECT line FROM b)""")
+def symmetric_diff(spark, sf):
+    lines = lambda t: table(spark, sf, t).select(F.explode(F.split("text", "\n")).alias("line"))
+    b, d = lines("benchmark"), lines("documents")
+    return b.subtract(d).select(F.lit("benchmark").alias("only_in"), "line").unionByName(d.subtract(b).select(F.lit("documents").alias("only_in"), "line"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS a, lead(string_split(coalesce(text, ''), ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
+SELECT conv_id, turn, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i])) AS correct, greatest(len(a), len(b)) - len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i])) AS incorrect, greatest(len(a), len(b)) AS total FROM p WHERE b IS NOT NULL""")
+def zip_accuracy(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
+    key = rows.select(F.struct("conv_id", "turn").alias("k"), "words")
+    after = rows.select(F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("k"), "words")
+    out = E.zip_compare(key, after, "k")
+    return out.select("k.conv_id", "k.turn", *[F.col(c).cast("long").alias(c) for c in ("correct", "incorrect", "total")])
