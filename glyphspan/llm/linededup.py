@@ -7,7 +7,8 @@ two lines or more or is such a long line; single short lines, which many documen
 
 The first pass counts chunk hashes, added up in tasks before they are dealt out.  The second pass takes the text of those
 chunks only whose hash repeats and groups by that text itself, which compares bytes; the copy with the least
-(doc_id, first line) stays, every other copy goes.
+(doc_id, first line) stays, every other copy goes.  Joins are sort-merge joins at every size, since what repeats grows
+with the corpus; adaptive execution splits their skewed sides.
 
 Cases: null text stays null; lines keep their order, line ends are LF; rows repeating doc_id and text are one document and
 keep or lose the same lines, rows that share a doc_id with other text are told apart by a hash of the text; a null doc_id
@@ -68,10 +69,10 @@ def repeated_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     each = rows.select("id", "version", F.explode(chunks(F.col("lines"))).alias("c")).select("id", "version", "c.first", "c.n", "c.text", F.xxhash64("c.text").alias("h"))
     # one document may hold a chunk twice; copies of rows are one document, so places are told apart by the document's id
     counted = each.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h")
-    some = stored(each.join(stored(counted, "repeated_hashes"), "h", "left_semi"), "repeated_chunks")
+    some = stored(each.join(stored(counted, "repeated_hashes").hint("merge"), "h", "left_semi"), "repeated_chunks")
     place = F.struct("id", "first", "version")
     kept = some.groupBy("text").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = some.join(kept, "text").where(~place.eqNullSafe(F.col("keep")))
+    joined = some.join(kept.hint("merge"), "text").where(~place.eqNullSafe(F.col("keep")))
     return joined.select("id", "version", "first", "n").distinct()
 
 
@@ -81,7 +82,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", remov
     gone = stored(gone, "removals")
     g, i, v = (fresh(df, n) for n in ("__gone", "__id", "__version"))
     gone = gone.select(F.col("id").alias(i), F.col("version").alias(v), F.col("gone").alias(g))
-    joined = df.join(gone, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(v)), "left")
+    joined = df.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(v)), "left")
     lines = F.split(F.col(text), "\n")
     # the kept stretches lie between the removed ones
     ends = F.concat(F.transform(F.col(g), lambda c: c["first"]), F.array(F.size(lines)))
