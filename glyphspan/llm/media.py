@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT = 576
-BATCH = 1_000_000
+BATCH = 400_000
 SPLIT = 5  # AC coefficients 1..SPLIT are refined
 # Fixed values of the format: the zigzag order by diagonals of an 8 x 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8) if (i // 8 + i % 8) % 2 else (i % 8))))
