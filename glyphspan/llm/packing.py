@@ -48,12 +48,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Numbers(dict):
+    """Numbers its keys from 0 in the order in which they are first asked for; ``new`` holds those not yet worked on."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class WordIds:
     """Ids of a text by a tokenizer that normalizes to NFC and lower case, drops white space and merges within pieces.
 
     A word (what stands between blanks) is cut into pieces by the tokenizer's own pattern once, a piece is merged by the
-    tokenizer's own model once.  At most ``_KEPT`` words are kept, then all are forgotten: a bound of memory, without
-    effect on results.
+    tokenizer's own model once.  All words of a batch are looked up in one pass, and those met for the first time are cut
+    together.  At most ``_KEPT`` words are kept, then all are forgotten: a bound of memory, without effect on results.
     """
 
     def __init__(self, path: str):
@@ -61,44 +73,54 @@ class WordIds:
 
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.find = compiled(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.find = compiled(pattern + "| ").findall  # no piece holds a blank, so a blank found parts two words
         self.model = Tokenizer.from_file(path).model
         self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = _Numbers(), _Numbers()
         self.flat, self.starts = array("I"), array("I", [0])
-
-    def _piece(self, piece: str) -> list[int]:
-        mapped = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        self.pieces[piece] = ids = [t.id for t in self.model.tokenize(mapped)]
-        return ids
-
-    def learn(self, words: list[str]) -> None:
-        pieces = self.pieces
-        for word in words:
-            self.words[word] = len(self.words)
-            # the tokenizer lowers letter by letter, so a capital sigma never becomes a final one
-            plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3")
-            for piece in self.find(plain.lower()):
-                self.flat.extend(pieces.get(piece) or self._piece(piece))
-            self.starts.append(len(self.flat))
+        self.piece_flat, self.piece_starts = array("I"), array("I", [0])
+        self.blank = self.pieces[" "]
+
+    def _learn_pieces(self) -> None:
+        for piece in self.pieces.new:
+            if piece != " ":
+                mapped = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+                self.piece_flat.extend([t.id for t in self.model.tokenize(mapped)])
+            self.piece_starts.append(len(self.piece_flat))
+        self.pieces.new = []
+
+    def _learn_words(self) -> None:
+        if not (new := self.words.new):
+            return
+        found = self.find(" ".join(new))
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        self._learn_pieces()
+        starts = np.array(self.piece_starts, np.int64)
+        sizes = starts[at + 1] - starts[at]
+        index, total = gather(starts[at], sizes)
+        ends = np.append(np.cumsum(sizes)[at == self.blank], total) + len(self.flat)
+        self.flat.frombytes(np.array(self.piece_flat, np.uint32)[index].tobytes())
+        self.starts.frombytes(ends.astype(np.uint32).tobytes())
+        self.words.new = []
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") for t in texts]
         if len(self.words) > _KEPT:
             self.forget()
-        known = self.words
-        self.learn(list({w for words in cut for w in words if w not in known}))
+        number = self.words.__getitem__
+        cut = (_lowered(t).split(" ") for t in texts)
+        rows = [np.fromiter(map(number, words), np.int64, len(words)) for words in cut]
+        self._learn_words()
         flat, starts = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
-        out = []
-        for words in cut:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            index, _ = gather(starts[at], starts[at + 1] - starts[at])
-            out.append(flat[index])
-        return out
+        return [flat[gather(starts[at], starts[at + 1] - starts[at])[0]] for at in rows]
+
+
+def _lowered(text: str) -> str:
+    """NFC and lower case; the tokenizer lowers letter by letter, so a capital sigma never becomes a final one."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
 
 class Packer:
