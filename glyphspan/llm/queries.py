@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pandas as pd
 import public_tokenizers
@@ -151,17 +150,13 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = media.with_media(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
     read = media.with_decoded(shown, tensors=False)
 
-    @F.pandas_udf("long")
-    def tail_crc(payloads: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(p[-32:]) for p in payloads], dtype="int64")
-
     payload = F.col("decoded.payload")
     return read.select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_sha256"),
-        tail_crc(payload).alias("tail_crc32"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.col("decoded.feature").alias("feature"),
