@@ -2,15 +2,20 @@
 
 A table turns vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and files each
 under the signed axis it comes nearest to; ``HASHES`` rotations together make a bucket's code.  A query looks into the
-``PROBES`` most promising buckets of each of ``TABLES`` tables, and what it finds there is ranked by exact inner products
-in double precision.  Where norms differ, vectors get one more coordinate, sqrt(M * M - |x| * |x|) with the largest norm M,
-by which the order of inner products becomes the order of angles; queries have zero there.
+most promising buckets of each of ``TABLES`` tables, and what it finds there is ranked by exact inner products in double
+precision.  Vectors of like norm (within ``RATIO``) form a band that is searched by itself.  Where a band's norms differ,
+its vectors get one more coordinate, sqrt(M * M - |x| * |x|) with the band's largest norm M, by which the order of inner
+products becomes the order of angles; queries have zero there.
+
+The number of buckets looked into is measured, not fixed: ``SAMPLE`` queries of each length are compared with all vectors,
+and for each band so many are taken that ``RECALL`` of the sample's nearest in it are found, ``SHARE`` of them at least.
+Where this were over half of the buckets, the band is compared whole, as hashing saves nothing there.
 
 Scale: equal vectors are searched once, with the ``k + 1`` least of their ids (added up in tasks, so a common vector is a
 few rows).  Buckets are gathered into groups of about ``TILE`` vectors and a larger bucket is dealt into shards, as are
 its queries, so a task holds at most a tile of each; a query's results of a task are merged
 into ``k + 1`` before they are dealt out, however many it met.
-The index covers every row and nothing is fitted but the extremes of the norms.  For far more than ten million vectors
+The index covers every row; fitted are only the bands and the numbers of buckets.  For far more than ten million vectors
 set ``hashes`` to 2, which squares the number of buckets.  Measured recall of the 20 nearest: see the README.
 
 Cases: vectors null, empty, zero or with null or non-finite components and rows without id take no part; vectors of
@@ -23,6 +28,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,15 @@ from pyspark.sql import functions as F
 from glyphspan.llm.common import stored
 
 TABLES = 4
-PROBES = 32
+SHARE = 0.25
+RECALL = 0.97
+SAMPLE = 64
+RATIO = 1.25
+BANDS = 16
+#: Lengths of vectors whose number of buckets is measured; of further lengths all vectors are compared.
+LENGTHS = 8
+#: Most buckets of a table that are put in order for a query while measuring.
+ORDERED = 4096
 HASHES = 1
 TILE = 2048
 SEED = 11
@@ -151,52 +165,131 @@ def _distinct(rows: DataFrame, k: int, kind: str) -> DataFrame:
     return some.groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.first("norm").alias("norm"), F.max("asked").alias("asked"), least.alias("ids"))
 
 
-def _lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
-    more = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(most * most - (x * x).sum(axis=1, keepdims=True), 0))
+def _lifted(x: np.ndarray, most: np.ndarray | None, query: bool) -> np.ndarray:
+    if most is None:
+        return x
+    more = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(most[:, None] ** 2 - (x * x).sum(axis=1, keepdims=True), 0))
     return np.concatenate([x, more], axis=1)
 
 
-def _round(distinct: DataFrame, asked: DataFrame, k: int, kind: str, tables: int, hashes: int, n_probes: int | None, tile: int, lift: float | None) -> DataFrame:
-    """(k1, k2, found array of (score, id)) of each vector asked, best first; ``n_probes`` None: all buckets of one table."""
+def _kinds(vectors: pd.Series, lifts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Places of vectors of one length, with or without the additional coordinate, and their largest norms."""
+    lift = lifts.to_numpy(np.float64, na_value=np.nan)
+    for at in _by_length(vectors):
+        for some, plain in ((at[np.isnan(lift[at])], True), (at[~np.isnan(lift[at])], False)):
+            if len(some):
+                yield some, None if plain else lift[some]
+
+
+def _buckets(width: int, hashes: int) -> int:
+    return (2 << max(1, (width - 1).bit_length())) ** hashes
+
+
+def _banded(distinct: DataFrame) -> DataFrame:
+    """The rows with size (octets), band (0 holds the largest norms) and lift (its largest norm, or null where all are equal)."""
+    sized = distinct.withColumn("size", F.octet_length("vec"))
+    span = sized.groupBy("size").agg(F.max("norm").alias("top"), F.min("norm").alias("low"))
+    band = F.least(F.lit(BANDS - 1), F.floor(F.log(F.col("top") / F.col("norm")) / F.log(F.lit(RATIO)))).cast("int")
+    sized = sized.join(span, "size").withColumn("band", F.when(F.col("top") - F.col("low") <= 1e-3 * F.col("top"), 0).otherwise(band)).drop("top", "low")
+    lift = sized.groupBy("size", "band").agg(F.max("norm").alias("top"), F.min("norm").alias("low"))
+    lift = lift.select("size", "band", F.when(F.col("top") - F.col("low") > 1e-3 * F.col("top"), F.col("top")).alias("lift"))
+    return sized.join(lift, ["size", "band"])
+
+
+def _measured(distinct: DataFrame, k: int, kind: str, tables: int, hashes: int, share: float, recall: float) -> DataFrame:
+    """(size, band, lift, n): the number of buckets to look into, null for all."""
+    bands = distinct.groupBy("size", "band", "lift").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many")).collect()
+    needed: dict[tuple[int, int], list[int]] = {}
+    seen = list(dict.fromkeys(r["size"] for r in bands))[:LENGTHS]
+    for size in seen:
+        some = distinct.where((F.col("size") == size) & F.col("asked")).orderBy("k1", "k2").limit(SAMPLE).select("k1", "k2", "vec").collect()
+        if not some:
+            continue
+        own, q = {(r["k1"], r["k2"]): i for i, r in enumerate(some)}, np.stack([np.frombuffer(r["vec"], kind) for r in some]).astype(np.float64)
+
+        def scan(batches: Iterator[pd.DataFrame], own: dict = own, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+            """The best of each batch for each query, and how many buckets a query looks into before it finds them."""
+            place: dict[bool, list[np.ndarray]] = {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = _matrix(pdf["vec"], kind)
+                score = q @ x.T
+                for j, key in enumerate(zip(pdf["k1"].tolist(), pdf["k2"].tolist(), strict=True)):
+                    if key in own:
+                        score[own[key], j] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                at, row = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                rank = np.empty(len(row), np.int64)
+                lift = pdf["lift"].to_numpy(np.float64, na_value=np.nan)[row]
+                for plain in (True, False):
+                    mine = np.flatnonzero(np.isnan(lift) == plain)
+                    if not len(mine):
+                        continue
+                    if plain not in place:
+                        asked = _lifted(q, None if plain else np.ones(len(q)), True)
+                        every = _buckets(asked.shape[1], hashes)
+                        place[plain] = []
+                        for t in range(tables):
+                            order = probes(asked, t, hashes, min(every, ORDERED))
+                            where = np.full((len(q), every), every, np.int64)
+                            np.put_along_axis(where, order, np.arange(order.shape[1])[None, :], 1)
+                            place[plain].append(where)
+                    code = codes(_lifted(x[row[mine]], None if plain else lift[mine], False), tables, hashes)
+                    rank[mine] = np.min([place[plain][t][at[mine], code[:, t]] for t in range(tables)], axis=0)
+                out = pd.DataFrame({"q": at, "score": score[at, row], "k1": pdf["k1"].to_numpy()[row], "band": pdf["band"].to_numpy()[row], "rank": rank})
+                yield out[out["score"] > -np.inf]
+
+        found = distinct.where(F.col("size") == size).select("k1", "k2", "vec", "band", "lift").mapInPandas(scan, "q int, score double, k1 long, band int, rank long")
+        first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "k1"))
+        for r in found.withColumn("r", first).where(F.col("r") <= k).collect():
+            needed.setdefault((size, r["band"]), []).append(r["rank"])
+    rows = []
+    for r in bands:
+        width = r["size"] // np.dtype(kind).itemsize + (r["lift"] is not None)
+        every, ranks = _buckets(width, hashes), sorted(needed.get((r["size"], r["band"]), [0]))
+        n = max(math.ceil(share * _buckets(width, 1)), ranks[math.ceil(recall * len(ranks)) - 1] + 1)
+        rows.append((r["size"], r["band"], r["lift"], None if n > every // 2 or n > ORDERED or not any(s == r["size"] for s, _ in needed) else n))
+    return distinct.sparkSession.createDataFrame(rows, "size int, band int, lift double, n int")
+
+
+def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind: str, tables: int, hashes: int, tile: int) -> DataFrame:
+    """(k1, k2, found array of (score, id)) of each vector asked that finds any, best first; where the plan's n is null: all buckets of one table."""
 
     @F.pandas_udf("array<long>")
-    def file_under(vectors: pd.Series) -> pd.Series:
+    def file_under(vectors: pd.Series, lifts: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(vectors), dtype=object)
-        for at in _by_length(vectors):
-            x = _matrix(vectors.iloc[at], kind)
-            for i, row in zip(at, codes(x if lift is None else _lifted(x, lift, False), tables, hashes), strict=True):
+        for at, lift in _kinds(vectors, lifts):
+            for i, row in zip(at, codes(_lifted(_matrix(vectors.iloc[at], kind), lift, False), tables, hashes), strict=True):
                 out.iloc[i] = row
         return out
 
     @F.pandas_udf("array<array<long>>")
-    def look_into(vectors: pd.Series) -> pd.Series:
+    def look_into(vectors: pd.Series, lifts: pd.Series, many: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(vectors), dtype=object)
-        for at in _by_length(vectors):
-            x = _matrix(vectors.iloc[at], kind)
-            x = x if lift is None else _lifted(x, lift, True)
-            each = np.stack([probes(x, t, hashes, n_probes) for t in range(tables)], axis=1)
-            for i, rows in zip(at, each, strict=True):
-                out.iloc[i] = list(rows)
+        for at, lift in _kinds(vectors, lifts):
+            x, n = _lifted(_matrix(vectors.iloc[at], kind), lift, True), many.iloc[at].to_numpy()
+            each = np.stack([probes(x, t, hashes, int(n.max())) for t in range(tables)], axis=1)
+            for i, rows, m in zip(at, each, n, strict=True):
+                out.iloc[i] = list(rows[:, :m])
         return out
 
-    spark, every = distinct.sparkSession, n_probes is None
-    tables = 1 if every else tables
-    size = F.octet_length("vec")
-    data = distinct.select("k1", "k2", "vec", "ids", size.alias("size"), F.posexplode(file_under("vec")).alias("t", "code"))
+    spark, plan = distinct.sparkSession, F.broadcast(plan)
+    data = distinct.select("k1", "k2", "vec", "ids", "size", "band", F.posexplode(file_under("vec", "lift")).alias("t", "code"))
+    data = data.join(plan.select("size", "band", "n"), ["size", "band"]).where("t = 0 or n is not null").drop("n")
     # buckets are gathered into groups of about a tile; the number of groups follows the number of vectors
     groups = max(1, -(-distinct.count() // tile))
     data = data.withColumn("g", F.pmod("code", F.lit(groups)))
-    if every:
-        spread = F.sequence(F.lit(0), F.lit(groups - 1))
-        seek = asked.select("k1", "k2", "vec", size.alias("size"), F.lit(0).alias("t"), F.explode(spread).cast("long").alias("g"), F.lit(None).cast("array<long>").alias("codes"))
-    else:
-        seek = asked.select("k1", "k2", "vec", size.alias("size"), F.posexplode(look_into("vec")).alias("t", "all"))
-        mine = F.filter("all", lambda c: F.pmod(c, F.lit(groups)) == F.col("g"))
-        seek = seek.select("*", F.explode(F.array_distinct(F.transform("all", lambda c: F.pmod(c, F.lit(groups))))).alias("g"))
-        seek = seek.select("k1", "k2", "vec", "size", "t", "g", mine.alias("codes"))
-    key = ["t", "g", "size"]
+    wanted = asked.select("k1", "k2", "vec", "size").join(plan, "size")  # a query is asked of every band
+    spread = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+    whole = wanted.where("n is null").select("k1", "k2", "vec", "size", "band", F.lit(0).alias("t"), F.explode(spread).alias("g"), F.lit(None).cast("array<long>").alias("codes"))
+    seek = wanted.where("n is not null").select("k1", "k2", "vec", "size", "band", F.posexplode(look_into("vec", "lift", "n")).alias("t", "all"))
+    mine = F.filter("all", lambda c: F.pmod(c, F.lit(groups)) == F.col("g"))
+    seek = seek.select("*", F.explode(F.array_distinct(F.transform("all", lambda c: F.pmod(c, F.lit(groups))))).alias("g"))
+    seek = seek.select("k1", "k2", "vec", "size", "band", "t", "g", mine.alias("codes")).unionByName(whole)
+    key = ["t", "g", "size", "band"]
     shards = lambda d, name: d.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-    # one row for each table, group and length of vectors: bounded by tables * buckets, and by tables * rows / tile
+    # one row for each table, group, length of vectors and band: bounded by tables * buckets, and by tables * rows / tile
     sizes = stored(shards(data, "ds").join(shards(seek, "qs"), key), "groups")
     sizes = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
     deal = lambda n: F.pmod(F.col("k1"), F.col(n)).cast("int")
@@ -214,7 +307,7 @@ def _round(distinct: DataFrame, asked: DataFrame, k: int, kind: str, tables: int
         ids, keys = have["ids"].tolist(), list(zip(want["k1"].tolist(), want["k2"].tolist(), strict=True))
         found: list[list] = [[best[key]] if key in best else [] for key in keys]
         code = have["code"].to_numpy(np.int64, na_value=0)
-        if every:
+        if want["codes"].isna().all():
             pairs = [(np.arange(len(q)), np.arange(len(x)))]
         else:
             who: dict[int, list[int]] = {}
@@ -273,7 +366,8 @@ def nearest(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     tables: int = TABLES,
-    n_probes: int = PROBES,
+    share: float = SHARE,
+    recall: float = RECALL,
     hashes: int = HASHES,
     tile: int = TILE,
 ) -> DataFrame:
@@ -283,16 +377,15 @@ def nearest(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked")
     )
     rows = rows.select("id", "asked", "vector", F.xxhash64(F.lit(1), "vector").alias("k1"), F.xxhash64(F.lit(2), "vector").alias("k2"))
-    distinct = stored(_distinct(rows, k, kind), "vectors")
-    least, most = distinct.agg(F.min("norm"), F.max("norm")).first()
-    lift = most if most is not None and most - least > 1e-3 * most else None
-    how = (k, kind, tables, hashes)
-    found = _round(distinct, distinct.where("asked"), *how, n_probes, tile, lift)
+    distinct = stored(_banded(stored(_distinct(rows, k, kind), "vectors")), "bands")
+    plan = _measured(distinct, k, kind, tables, hashes, share, recall)
+    how = (k, kind, tables, hashes, tile)
+    found = _round(distinct, distinct.where("asked"), plan, *how)
     total = rows.select("id").distinct().limit(k + 1).count()
     short = found.where(F.size("found") < total)
     if not short.isEmpty():
         again = distinct.where("asked").join(short.select("k1", "k2"), ["k1", "k2"], "left_semi")
-        found = found.where(F.size("found") >= total).unionByName(_round(distinct, again, *how, None, tile, lift))
+        found = found.where(F.size("found") >= total).unionByName(_round(distinct, again, plan.withColumn("n", F.lit(None).cast("int")), *how))
     queries = rows.where("asked").select(F.col("id").alias("query_id"), "k1", "k2").distinct()
     pairs = queries.join(found, ["k1", "k2"]).select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.id").alias("vec_id"), (-F.col("f.minus")).alias("score"))
     best = pairs.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
