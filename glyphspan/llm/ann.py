@@ -382,9 +382,10 @@ def nearest(
     how = (k, kind, tables, hashes, tile)
     found = _round(distinct, distinct.where("asked"), plan, *how)
     total = rows.select("id").distinct().limit(k + 1).count()
-    short = found.where(F.size("found") < total)
-    if not short.isEmpty():
-        again = distinct.where("asked").join(short.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    all_asked = distinct.where("asked")
+    enough = found.where(F.size("found") >= total).select("k1", "k2")
+    again = all_asked.join(enough, ["k1", "k2"], "left_anti")  # those that found nothing, too
+    if not again.isEmpty():
         found = found.where(F.size("found") >= total).unionByName(_round(distinct, again, plan.withColumn("n", F.lit(None).cast("int")), *how))
     queries = rows.where("asked").select(F.col("id").alias("query_id"), "k1", "k2").distinct()
     pairs = queries.join(found, ["k1", "k2"]).select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.id").alias("vec_id"), (-F.col("f.minus")).alias("score"))

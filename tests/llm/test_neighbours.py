@@ -31,3 +31,12 @@ def test_recall_of_unequal_norms_and_lengths(spark, kind):
         hits += len(got[at] & set(np.argsort(-score)[:20].tolist()))
     print(kind, hits / (20 * len(got)))
     assert hits / (20 * len(got)) >= 0.95
+
+
+def test_queries_that_find_nothing_at_first_get_full_lists(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 64))
+    x *= rng.uniform(0.9, 1.1, (200, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.lit(True), k=5, share=0.001, recall=0.001).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(200), 5)
