@@ -236,6 +236,12 @@ def lexicon_anti_join(spark, sf):
     return words.join(_analyses(spark, sf), "word", "left_anti").where(F.startswith("word", F.lit("th"))).select("word", F.lit(1).cast("long").alias("n"))
 
 
+@query(_TOKENS + _LEXICON + "SELECT DISTINCT word FROM words WHERE word NOT IN (SELECT word FROM an)")
+def lexicon_unknown_words(spark, sf):
+    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct()
+    return words.join(_analyses(spark, sf), "word", "left_anti")
+
+
 _ORTHS = """WITH raw AS (SELECT 'part' AS dict, p_partkey::VARCHAR AS id, p_name AS orth FROM part UNION ALL SELECT 'nation', n_nationkey::VARCHAR, n_name FROM nation
 UNION ALL SELECT 'region', r_regionkey::VARCHAR, r_name FROM region UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, s_name FROM supplier),
 orths AS (SELECT *, translate(lower(orth), '^_-+''', '') AS clean_orth FROM raw) """

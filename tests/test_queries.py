@@ -67,3 +67,8 @@ def test_stream_appends_wanted_events(spark, sf, tmp_path):
     batch = spark.read.parquet(f"{sf}/events.parquet")
     events.append_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), batch.schema).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.wanted(batch).count()
+
+
+def test_unknown_words_of_every_beginning(spark, sf):
+    words = {r["word"] for r in registry.QUERIES["lexicon_unknown_words"](spark, sf).collect()}
+    assert len({w[:2] for w in words}) > 1 and {r["word"] for r in registry.QUERIES["lexicon_anti_join"](spark, sf).collect()} < words
