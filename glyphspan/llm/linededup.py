@@ -1,84 +1,131 @@
-"""Line dedup: content-defined chunks of lines; chunks repeated anywhere in the corpus are removed but for the first.
+"""Line dedup: content-defined chunks of lines; passages repeated anywhere in the corpus are removed but for the first.
 
-The lines of a document are hashed; a rolling hash over the last ``WINDOW_LINES`` line hashes ends a chunk wherever it is
-divisible by ``DIVISOR``, so boundaries move along with the lines around them.  A line of ``LONG_WORDS`` words or more (a
-whole passage on one line) is a chunk by itself, which is a rule of content too.  A chunk counts as multi-line if it has
-two lines or more or is such a long line; single short lines, which many documents share innocently, are never removed.
+The lines of a text that are not blank are hashed, and a rolling hash of each two neighbours is taken.  A chunk is two
+lines whose rolling hash is less than a neighbouring one, so where chunks begin depends on the lines around alone and
+shifts along with them; whatever stands around, two texts that share three lines in a row choose the same chunk in these.
+Chosen, too, are two lines of ``LEAST_WORDS`` words together and single lines of so many.  A chunk whose hash repeats is
+compared by its bytes with the copy of the least (doc_id, line), which stays.  Any other copy goes, and grows by the line
+before and the line behind where these equal those of the copy that stays: the next chunk of a shared passage begins at
+most two lines on, so a passage is covered from end to end.  What goes are passages, lines in a row with the blank lines
+between them, of ``LEAST_WORDS`` words or more; less, which many documents share innocently, stays.
 
-The first pass counts chunk hashes, added up in tasks before they are dealt out.  The second pass takes the text of those
-chunks only whose hash repeats and groups by that text itself, which compares bytes; the copy with the least
-(doc_id, first line) stays, every other copy goes.  Joins are sort-merge joins at every size, since what repeats grows
-with the corpus; adaptive execution splits their skewed sides.
+Scale: chunks are written once, with their lines, and only those whose hash repeats are read again.  A hash with over
+``HOT`` copies (or a ``HOT_MOST``-th of all, so at most ``HOT_MOST`` hashes, which are broadcast) is dealt into shares of
+about that many, and the copy that stays goes to each share.  Other joins are sort-merge joins at every size.
 
 Cases: null text stays null; lines keep their order, line ends are LF; rows repeating doc_id and text are one document and
-keep or lose the same lines, rows that share a doc_id with other text are told apart by a hash of the text; a null doc_id
-comes first; documents of repeated chunks alone become empty texts; other columns pass through.
+lose the same lines, rows that share a doc_id with other text are told apart by a hash of the text; a null doc_id comes
+first; a passage repeated inside one document stays there once; a passage that stands whole in no single earlier document
+is compared chunk by chunk; documents of repeated passages alone become empty texts; an empty table gives no rows; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphspan.llm.common import fresh, stored
 
-WINDOW_LINES = 2
-DIVISOR = 3
-LONG_WORDS = 30
-
-
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def chunk_starts(lines: Column, window: int = WINDOW_LINES, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
-    """Numbers (from 0) of the lines that begin a chunk."""
-    words = lambda line: F.size(F.split(F.btrim(line, F.lit(" \t\r")), "[ \t]+"))
-    marks = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (words(line) >= long_words).alias("long")))
-
-    def begins(m: Column) -> Column:
-        def starts(x: Column, i: Column) -> Column:
-            before = [F.get(m, i - k)["h"] for k in range(1, window + 1)]
-            rolled = F.xxhash64(*before)  # a line's hash enters with its place in the window; none before the first line
-            cut = (F.pmod(rolled, F.lit(divisor)) == 0) | x["long"] | F.coalesce(F.get(m, i - 1)["long"], F.lit(False))
-            return F.when((i == 0) | cut, i)
-
-        return F.filter(F.transform(m, starts), lambda i: i.isNotNull())
-
-    return _let(marks, begins)
-
-
-def chunks(lines: Column, long_words: int = LONG_WORDS, **how) -> Column:
-    """Array of (first line, lines, text) of a document's multi-line chunks."""
-
-    def cut(starts: Column) -> Column:
-        ends = lambda i: F.coalesce(F.get(starts, i + 1), F.size(lines))
-        each = F.transform(
-            starts,
-            lambda s, i: F.struct(s.alias("first"), (ends(i) - s).alias("n"), F.array_join(F.slice(lines, s + 1, ends(i) - s), "\n").alias("text")),
-        )
-        long = lambda c: F.size(F.split(F.btrim(c["text"], F.lit(" \t\r")), "[ \t]+")) >= long_words
-        return F.filter(each, lambda c: (c["n"] > 1) | long(c))
-
-    return _let(chunk_starts(lines, long_words=long_words, **how), cut)
-
-
-def repeated_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, version, first, n) of every copy of a repeated chunk but the first one; version is a hash of the whole text."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), F.split(F.col(text), "\n").alias("lines"))
-    each = rows.select("id", "version", F.explode(chunks(F.col("lines"))).alias("c")).select("id", "version", "c.first", "c.n", "c.text", F.xxhash64("c.text").alias("h"))
-    # one document may hold a chunk twice; copies of rows are one document, so places are told apart by the document's id
-    counted = each.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h")
-    some = stored(each.join(stored(counted, "repeated_hashes").hint("merge"), "h", "left_semi"), "repeated_chunks")
+LEAST_WORDS = 30
+HOT = 256
+HOT_MOST = 100_000
+_ROWS = 20_000
+_pair = struct.Struct("<QQ")
+
+
+def chunks(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, list[int | None], list[str | None], list[int]]]:
+    """(hash, number among the filled lines, places, lines, words) of each chunk; the last three tell of the line before,
+    the chunk's own one or two, and the line behind, with None where there is none."""
+    places, lines = [], []
+    for i, line in enumerate(text.split("\n")):
+        if line and not line.isspace():
+            places.append(i)
+            lines.append(line)
+    words = [len(line.split()) for line in lines]
+    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines]
+    rolled = [xxhash.xxh64_intdigest(_pair.pack(a, b)) for a, b in zip(hashes, hashes[1:], strict=False)]
+    places, lines, words = [None, *places, None, None], [None, *lines, None, None], [0, *words, 0, 0]
+    last = len(rolled) - 1
+    for i, r in enumerate(rolled):
+        least = (i < last and r <= rolled[i + 1]) or (i > 0 and r < rolled[i - 1]) or last == 0
+        if least or words[i + 1] + words[i + 2] >= least_words:
+            yield r, i, places[i : i + 4], lines[i : i + 4], words[i : i + 4]
+    for i, h in enumerate(hashes):
+        if words[i + 1] >= least_words:
+            around = [i, i + 1, -1, i + 2]
+            yield h, i, [places[j] for j in around], [lines[j] for j in around], [words[j] for j in around]
+
+
+def _found(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    turn = 0
+    for batch in batches:
+        found: list[tuple] = []
+
+        def rows(found: list[tuple] = found, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            doc, h, first, places, lines, words, turns = zip(*found, strict=True)
+            own = [batch.column(c).take(pa.array(doc, pa.int64())) for c in ("id", "version")]
+            return pa.RecordBatch.from_arrays(
+                [*own, pa.array([x - (1 << 64) if x >> 63 else x for x in h], pa.int64()), pa.array(first, pa.int32()), pa.array(places, pa.list_(pa.int32())),
+                 pa.array(lines, pa.list_(pa.string())), pa.array(words, pa.list_(pa.int32())), pa.array(turns, pa.int32())],
+                ["id", "version", "h", "first", "places", "lines", "words", "turn"],
+            )
+
+        for at, text in enumerate(batch.column("text")):
+            for c in chunks(text.as_py(), least_words):
+                found.append((at, *c, turn))
+                turn = (turn + 1) & 0x7FFFFFFF
+                if len(found) >= _ROWS:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+
+def repeated_lines(df: DataFrame, doc_id: str, text: str, least_words: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
+    """(id, version, first, n) of every passage that goes; version is a hash of the whole text."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    kind = df.schema[doc_id].dataType.simpleString()
+    out = f"id {kind}, version long, h long, first int, places array<int>, lines array<string>, words array<int>, turn int"
+    each = stored(rows.mapInArrow(lambda batches: _found(batches, least_words), out), "chunks")
+    counted = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated_hashes")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    share = max(hot, total // HOT_MOST)
+    shares = F.broadcast(counted.where(F.col("copies") > share).select("h", F.ceil(F.col("copies") / share).cast("int").alias("shares")))  # at most HOT_MOST rows
+    of_each = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    dealt = each.join(shares, "h", "left").withColumn("salt", F.coalesce(F.pmod("turn", "shares"), F.lit(0)))
+    wanted = of_each(counted.join(shares, "h", "left")).select("h", "salt")
+    some = stored(dealt.join(wanted.hint("merge"), ["h", "salt"], "left_semi").withColumns({"a": F.get("lines", F.lit(1)), "b": F.get("lines", F.lit(2))}), "copies")
+
+    # places are told apart by document, so a copy of a whole row is not another place
     place = F.struct("id", "first", "version")
-    kept = some.groupBy("text").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = some.join(kept.hint("merge"), "text").where(~place.eqNullSafe(F.col("keep")))
-    return joined.select("id", "version", "first", "n").distinct()
-
-
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
-    """All rows and columns of ``df``, ``text`` without repeated chunks; ``removed`` names a column for the number of lines gone."""
-    gone = repeated_chunks(df, doc_id, text).groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
+    around = F.struct("id", "first", "version", F.get("lines", F.lit(0)).alias("before"), F.get("lines", F.lit(3)).alias("behind"))
+    kept = some.groupBy("h", "a", "b").agg(F.min(around).alias("keep"), F.count(F.lit(1)).alias("copies"), F.first("shares").alias("shares")).where("copies > 1")
+    kept = of_each(kept).select(F.col("h").alias("kh"), F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("salt").alias("ks"), "keep")
+    same = (F.col("h") == F.col("kh")) & (F.col("salt") == F.col("ks")) & (F.col("a") == F.col("ka")) & F.col("b").eqNullSafe(F.col("kb"))
+    gone = some.join(kept.hint("merge"), same).where(~place.eqNullSafe(F.struct("keep.id", "keep.first", "keep.version")))
+
+    line = lambda i, shift: F.struct((F.col("first") + shift).alias("number"), F.get("places", F.lit(i)).alias("place"), F.get("words", F.lit(i)).alias("words"))
+    own = [line(1, 0), F.when(F.col("b").isNotNull(), line(2, 1))]
+    grown = [
+        F.when(F.get("lines", F.lit(0)) == F.col("keep.before"), line(0, -1)),
+        F.when(F.get("lines", F.lit(3)) == F.col("keep.behind"), line(3, F.when(F.col("b").isNotNull(), 2).otherwise(1))),
+    ]
+    lines = gone.select("id", "version", F.explode(F.array_compact(F.array(*own, *grown))).alias("l")).select("id", "version", "l.*").distinct()
+    # lines in a row have one difference between their number and their rank
+    passage = F.col("number") - F.row_number().over(Window.partitionBy("id", "version").orderBy("number"))
+    runs = lines.withColumn("passage", passage).groupBy("id", "version", "passage").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.sum("words").alias("words"))
+    return runs.where(F.col("words") >= least_words).select("id", "version", "first", (F.col("last") - F.col("first") + 1).alias("n"))
+
+
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None, least_words: int = LEAST_WORDS, hot: int = HOT) -> DataFrame:
+    """All rows and columns of ``df``, ``text`` without repeated passages; ``removed`` names a column for the number of lines gone."""
+    gone = repeated_lines(df, doc_id, text, least_words, hot).groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
     gone = stored(gone, "removals")
     g, i, v = (fresh(df, n) for n in ("__gone", "__id", "__version"))
     gone = gone.select(F.col("id").alias(i), F.col("version").alias(v), F.col("gone").alias(g))
