@@ -70,6 +70,13 @@ def test_planted_passages_go_from_end_to_end(spark, planted):
     assert sum(a != b for a, b in zip(sorted(planted, key=str), want, strict=True)) == 60 - 7 - 7  # seven passages stay once, the one of 16 words in all its seven documents
 
 
+def test_lines_that_share_a_hash_are_told_apart(spark, planted):
+    got = {d: t for d, t in _got(spark, planted, mask=0x3F)}
+    assert got == dict(planted)  # of 64 hashes each has different lines, so no line is known to be a copy
+    long = [(i, t) for i, t in enumerate([planted[0][1], planted[0][1], "other " * 30])]
+    assert _got(spark, long, mask=-1) == _without_repeats(long)
+
+
 def test_documents_as_plain_python(spark, sf):
     import pandas as pd
 
