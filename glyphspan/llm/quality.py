@@ -4,11 +4,14 @@ Every line is labelled good or bad from its own features and those of the lines
 algorithm gives each line's probability of being good, and a document's quality is their mean weighted by line length.
 
 Learning takes a bounded sample of labelled rows (``max_docs``, those with the least hash of their id, drawn from all of
-them); their line features are computed by tasks and only these numbers reach the driver.  Each line of a labelled
-document bears the document's label.  Scoring covers every row and whole texts.
+them), each with its first text of at most ``MAX_LINES`` lines; line features are computed by tasks, and only these numbers,
+at most ``max_docs * MAX_LINES`` lines, reach the driver.  A line of a labelled document bears the document's label unless a
+first fit without transitions contradicts it, see ``line_labels``, so the field sees good and bad lines follow each other.
+Scoring covers every row and whole texts.
 
 Cases: null text scores as the empty text, which is one empty line; a document's score is defined for any text; several
-labels of one id count as their minimum; null labels or ids teach nothing; with fewer than one row of either label all
+labels of one id count as their minimum, of several texts of one labelled id the one of the least hash is learned from, a
+labelled text of over ``MAX_LINES`` lines teaches by its first ones (a bound of the sample; it is scored whole); null labels or ids teach nothing; with fewer than one row of either label all
 scores are the share of good labels (0.5 without any); other columns pass through.
 """
 
@@ -22,7 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphspan.llm.common import unused
+
 MAX_DOCS = 3000
+MAX_LINES = 1000
 _CHARS = 1_000_000
 FEATURES = (
     "log_chars upper letters digits symbols shouts bars stops word_length distinct stutter ends starts short seen log_words".split()
@@ -189,8 +195,47 @@ class Crf:
         return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 
 
-def fit(x: np.ndarray, lines_of: np.ndarray, good: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
-    """Maximum conditional likelihood by Adam; each document weighs the same, however many lines it has."""
+def _climb(wide: np.ndarray, lines_of: np.ndarray, y: np.ndarray, chain: bool, steps: int, rate: float, ridge: float) -> np.ndarray:
+    """Weights and transitions (zero without ``chain``) of the largest conditional likelihood of line labels ``y``, by Adam.
+
+    Each document weighs the same, however many lines it has.
+    """
+    docs = len(lines_of)
+    doc = np.repeat(np.arange(docs), lines_of)
+    share = 1 / lines_of[doc]
+    seen = np.zeros((docs, 2, 2))
+    inside = doc[1:] == doc[:-1]
+    np.add.at(seen, (doc[1:][inside], y[:-1][inside], y[1:][inside]), 1)
+    theta = np.zeros(wide.shape[1] + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        p, expected = forward_backward(wide @ theta[:-4], lines_of, theta[-4:].reshape(2, 2)) if chain else (1 / (1 + np.exp(-np.clip(wide @ theta[:-4], -700, 700))), seen)
+        grad = np.concatenate([wide.T @ ((y - p) * share), ((seen - expected) / lines_of[:, None, None]).sum(axis=0).ravel()]) / docs - ridge * theta
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def line_labels(u: np.ndarray, lines_of: np.ndarray, size: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """A label for each line: its document's, but for lines whose own score ``u`` says otherwise; these have less than half
+    of the document's characters, those that contradict most first, so the document's label holds."""
+    doc = np.repeat(np.arange(len(good)), lines_of)
+    against = np.where(good[doc] == 1, -u, u)
+    order = np.lexsort((-against, doc))
+    weight = np.maximum(size, 1.0)[order]
+    run = np.cumsum(weight)
+    first = np.cumsum(lines_of) - lines_of
+    before = np.where(first > 0, run[first - 1], 0.0)
+    whole = np.add.reduceat(weight, first)
+    flip = (against[order] > 0) & (2 * (run - before[doc]) < whole[doc])
+    y = good[doc].copy()
+    y[order[flip]] ^= 1
+    return y
+
+
+def fit(x: np.ndarray, lines_of: np.ndarray, good: np.ndarray, size: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+    """A field from documents' labels: a first fit without transitions tells which lines contradict their document, and the
+    field learns from these labels of lines."""
     if not len(good) or good.min() == good.max():
         share = float(good.mean()) if len(good) else 0.5
         return Crf(np.zeros(0), np.zeros((2, 2)), np.zeros(0), np.ones(0), share)
@@ -198,17 +243,9 @@ def fit(x: np.ndarray, lines_of: np.ndarray, good: np.ndarray, steps: int = 150,
     mean, scale = wide.mean(axis=0), wide.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     wide = (wide - mean) / scale
-    doc = np.repeat(np.arange(len(good)), lines_of)
-    share, y = 1 / lines_of[doc], good[doc].astype(float)
-    seen = np.zeros((len(good), 2, 2))
-    seen[np.arange(len(good)), good, good] = lines_of - 1
-    theta = np.zeros(wide.shape[1] + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        p, expected = forward_backward(wide @ theta[:-4], lines_of, theta[-4:].reshape(2, 2))
-        grad = np.concatenate([wide.T @ ((y - p) * share), ((seen - expected) / lines_of[:, None, None]).sum(axis=0).ravel()]) / len(good) - ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    alone = _climb(wide, lines_of, good[np.repeat(np.arange(len(good)), lines_of)], False, steps, rate, ridge)
+    y = line_labels(wide @ alone[:-4], lines_of, size, good)
+    theta = _climb(wide, lines_of, y, True, steps, rate, ridge)
     return Crf(theta[:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
@@ -216,22 +253,26 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id:
     """A field from labelled rows (``labels``: id and 0/1); at most ``max_docs`` of them, whole texts."""
     marks = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).cast("int").alias("good"))
     drawn = marks.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+    drawn = drawn.select("id", "good")
+    # of texts that repeat an id one is taken, added up in tasks
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+    rows = own.groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, text, good in zip(pdf["id"], pdf["text"], pdf["good"], strict=True):
-                x, lines_of, _ = line_features([text or ""])
-                yield pd.DataFrame({"id": [at], "good": [good], "lines": [int(lines_of[0])], "x": [x.tobytes()]})
+                x, _, size = line_features(["\n".join((text or "").split("\n", MAX_LINES)[:MAX_LINES])])
+                yield pd.DataFrame({"id": [at], "good": [good], "x": [x.tobytes()], "size": [size.tobytes()]})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInPandas(features, f"id {kind}, good int, lines long, x binary").toPandas().sort_values(["id", "x"]).reset_index(drop=True)
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, len(FEATURES))
-    return fit(x, got["lines"].to_numpy(np.int64), got["good"].to_numpy(np.int64))
+    got = rows.mapInPandas(features, f"id {kind}, good int, x binary, size binary").toPandas().sort_values("id").reset_index(drop=True)
+    x, size = (np.frombuffer(b"".join(got[c]), kind) for c, kind in (("x", np.float32), ("size", np.float64)))
+    return fit(x.reshape(-1, len(FEATURES)), (got["size"].map(len) // 8).to_numpy(np.int64), got["good"].to_numpy(np.int64), size)
 
 
 def with_quality(df: DataFrame, model: Crf, text: str = "text", score: str = "score") -> DataFrame:
-    """Add ``score``, the probability-like quality from 0 to 1, to every row."""
+    """Add ``score`` (a name ``df`` has not), the probability-like quality from 0 to 1, to every row."""
+    unused(df, score)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
