@@ -258,21 +258,21 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
 
     @F.pandas_udf("array<long>")
     def file_under(vectors: pd.Series, lifts: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(vectors), dtype=object)
+        out: list = [None] * len(vectors)
         for at, lift in _kinds(vectors, lifts):
             for i, row in zip(at, codes(_lifted(_matrix(vectors.iloc[at], kind), lift, False), tables, hashes), strict=True):
-                out.iloc[i] = row
-        return out
+                out[i] = row.tolist()
+        return pd.Series(out, dtype=object)
 
     @F.pandas_udf("array<array<long>>")
     def look_into(vectors: pd.Series, lifts: pd.Series, many: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(vectors), dtype=object)
+        out: list = [None] * len(vectors)
         for at, lift in _kinds(vectors, lifts):
             x, n = _lifted(_matrix(vectors.iloc[at], kind), lift, True), many.iloc[at].to_numpy()
             each = np.stack([probes(x, t, hashes, int(n.max())) for t in range(tables)], axis=1)
             for i, rows, m in zip(at, each, n, strict=True):
-                out.iloc[i] = list(rows[:, :m])
-        return out
+                out[i] = list(rows[:, :m])
+        return pd.Series(out, dtype=object)
 
     spark, plan = distinct.sparkSession, F.broadcast(plan)
     data = distinct.select("k1", "k2", "vec", "ids", "size", "band", F.posexplode(file_under("vec", "lift")).alias("t", "code"))
