@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphspan.llm.common import unused
+
 UNIT = 576
 BATCH = 400_000
 SPLIT = 5  # AC coefficients 1..SPLIT are refined
@@ -597,7 +599,8 @@ def _batches(items: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 
 def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Add ``media``: each whole text, padded, as the coefficients of a progressive JPEG file."""
+    """Add ``media`` (a name ``df`` has not): each whole text, padded, as the coefficients of a progressive JPEG file."""
+    unused(df, media)
 
     @F.pandas_udf("binary")
     def written(texts: pd.Series) -> pd.Series:
@@ -609,8 +612,10 @@ def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
 def with_decoded(df: DataFrame, media: str = "media", out: str = "decoded", tensors: bool = True) -> DataFrame:
     """Add ``out``: struct of payload (stored bytes, null in other files), height, width, rgb (row-major bytes) and feature.
 
-    ``tensors`` false leaves rgb null, for those who need features or payloads alone.  A null file gives nulls.
+    ``tensors`` false leaves rgb null, for those who need features or payloads alone.  A null file gives nulls.  ``out`` is a
+    name ``df`` has not.
     """
+    unused(df, out)
 
     @F.pandas_udf("payload binary, height int, width int, rgb binary, feature string")
     def read(files: pd.Series) -> pd.DataFrame:
