@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphspan.llm.common import let, unused
+
 BUCKETS = 1 << 16
 LONG = 200
 KEPT = 300_000
@@ -124,11 +126,6 @@ def _rank_lookup(ranks: dict[bytes, int]):
     return lambda b: F.try_element_at(F.get(literal, F.xxhash64(b).bitwiseAND(BUCKETS - 1).cast("int")), b)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold_merges(word: Column, rank) -> Column:
     """Array of ids of one word of bytes: a fold that merges the adjacent pair of least rank, leftmost first, until none is left."""
 
@@ -139,11 +136,11 @@ def fold_merges(word: Column, rank) -> Column:
         def merged(at: Column) -> Column:
             return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
 
-        return _let(F.array_position(ranks, F.array_min(ranks)).cast("int"), merged)
+        return let(F.array_position(ranks, F.array_min(ranks)).cast("int"), merged)
 
     def turn(state: Column, _: Column) -> Column:
         go = F.when(F.size(state["parts"]) < 2, F.lit(None)).otherwise(pairs(state["parts"]))
-        work = _let(
+        work = let(
             F.struct(go.alias("r")),
             lambda x: F.when(F.array_min(x["r"]).isNull(), F.struct(state["parts"].alias("parts"), F.lit(True).alias("done"))).otherwise(
                 F.struct(step(state["parts"], x["r"]).alias("parts"), F.lit(False).alias("done"))
@@ -155,7 +152,7 @@ def fold_merges(word: Column, rank) -> Column:
     parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1)))
     start = F.struct(parts.alias("parts"), F.lit(False).alias("done"))
     folded = F.aggregate(F.sequence(F.lit(1), size), start, turn, lambda s: F.transform(s["parts"], rank))
-    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+    return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", ids: str = "ids") -> DataFrame:
@@ -259,7 +256,8 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``, the bytes of each row's ids one after another; an id without a token is an error."""
+    """Add ``out`` (a name ``df`` has not), the bytes of each row's ids one after another; an id without a token is an error."""
+    unused(df, out)
     tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +43,17 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def unused(df: DataFrame, *names: str) -> None:
+    """An error for names of new columns that ``df`` has already (whatever their case), as its own columns pass through."""
+    if taken := sorted({c.lower() for c in df.columns} & {n.lower() for n in names}):
+        raise ValueError(f"columns exist already: {', '.join(taken)}; name the new ones otherwise")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def remainder(col, modulus: int):
     """CRC-32 of an id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)

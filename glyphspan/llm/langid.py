@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphspan.llm.common import fresh, unused
+
 SIZE = 400
 MAX_LANGUAGES = 2000
 _FLUSH = 2_000_000
@@ -129,7 +131,9 @@ def collect_profiles(profiles: DataFrame, size: int = SIZE, max_languages: int =
 
 
 def identify(df: DataFrame, model: Profiles, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row; all other columns stay."""
+    """Add ``lang_pred`` and ``score`` (names ``df`` has not) to every row; all other columns stay."""
+    unused(df, lang_pred, score)
+    told = fresh(df, "__told")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -137,6 +141,5 @@ def identify(df: DataFrame, model: Profiles, text: str = "text", lang_pred: str
         model = shared.value
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
 
-    rest = [c for c in df.columns if c.lower() not in (lang_pred.lower(), score.lower())]
-    got = df.select(*rest, nearest(F.col(text)).alias("__lang__"))
-    return got.select(*rest, F.col("__lang__.lang").alias(lang_pred), F.col("__lang__.score").alias(score))
+    got = df.select("*", nearest(F.col(text)).alias(told))
+    return got.select(*df.columns, F.col(f"{told}.lang").alias(lang_pred), F.col(f"{told}.score").alias(score))
