@@ -13,8 +13,8 @@ Where this were over half of the buckets, the band is compared whole, as hashing
 
 Scale: equal vectors are searched once, with the ``k + 1`` least of their ids (added up in tasks, so a common vector is a
 few rows).  Buckets are gathered into groups of about ``TILE`` vectors and a larger bucket is dealt into shards, as are
-its queries, so a task holds at most a tile of each; a query's results of a task are merged
-into ``k + 1`` before they are dealt out, however many it met.
+its queries, so a task holds at most a tile of each; a query's results of a task are merged into ``k + 1`` before they are
+dealt out, however many it met, for up to ``HELD`` queries at a time.
 The index covers every row; fitted are only the bands and the numbers of buckets.  For far more than ten million vectors
 set ``hashes`` to 2, which squares the number of buckets.  Measured recall of the 20 nearest: see the README.
 
@@ -50,6 +50,8 @@ LENGTHS = 8
 ORDERED = 4096
 HASHES = 1
 TILE = 2048
+#: Queries whose results a task holds before it passes them on.
+HELD = 50_000
 SEED = 11
 
 
@@ -331,6 +333,13 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
         """Rows sorted by group; a group may go on in the next batch.  A query's result of a task is one row."""
         best: dict = {}
         held: list[pd.DataFrame] = []
+
+        def told() -> Iterator[pd.DataFrame]:
+            rows = [(*key, ids, scores) for key, (ids, scores) in best.items()]
+            best.clear()
+            for i in range(0, len(rows), 10_000):
+                yield pd.DataFrame(rows[i : i + 10_000], columns=["k1", "k2", "id", "score"])
+
         for pdf in batches:
             at = pdf[place].to_numpy()
             cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
@@ -342,11 +351,11 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
                 if b < len(pdf):
                     match(pd.concat(held, ignore_index=True), best)
                     held = []
+            if len(best) > HELD:
+                yield from told()
         if held:
             match(pd.concat(held, ignore_index=True), best)
-        rows = [(*key, ids, scores) for key, (ids, scores) in best.items()]
-        for i in range(0, len(rows), 10_000):
-            yield pd.DataFrame(rows[i : i + 10_000], columns=["k1", "k2", "id", "score"])
+        yield from told()
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.unionByName(right).repartition(partitions, *place).sortWithinPartitions(*place)
