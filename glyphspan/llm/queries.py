@@ -148,7 +148,7 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store all texts as a table of progressive JPEG files, read it back, and report payloads and features of the tensors."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     files = media.with_media(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
-    read = media.with_decoded(stored(files, "media"), tensors=False)
+    read = media.with_decoded(stored(files, "media", "zstd"), tensors=False)
 
     payload = F.col("decoded.payload")
     return read.select(
