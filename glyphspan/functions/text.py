@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +14,28 @@ CHUNKS = f"([^{_SET}]+|[{_SET}]+)"
 IS_BREAK = f"^[{_SET}]"
 
 
+def word_list(text: Column) -> Column:
+    """The words of a text."""
+    return F.regexp_extract_all(text, F.lit(f"([^{_SET}]+)"), F.lit(1))
+
+
 def words(text: Column) -> Column:
     """Array of (text, norm, brk, hard) of a text's words; ``brk`` is what follows, ``hard`` a sentence's or the text's end."""
 
-    def of(chunks: Column) -> Column:
-        each = F.transform(chunks, lambda c, i: F.struct(c.alias("text"), F.coalesce(F.get(chunks, i + 1), F.lit("")).alias("brk")))
-        return F.filter(each, lambda w: ~w["text"].rlike(IS_BREAK))
-
-    def ended(ws: Column) -> Column:
+    def ended(pairs: Column) -> Column:
         return F.transform(
-            ws,
+            pairs,
             lambda w, i: F.struct(
-                w["text"].alias("text"), F.lower(w["text"]).alias("norm"), w["brk"].alias("brk"), (F.contains(w["brk"], F.lit(".")) | (i == F.size(ws) - 1)).alias("hard")
+                w["text"].alias("text"), normal(w["text"]).alias("norm"), w["brk"].alias("brk"), (F.contains(w["brk"], F.lit(".")) | (i == F.size(pairs) - 1)).alias("hard")
             ),
         )
 
-    return let(let(F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0)), of), ended)
+    return let(F.arrays_zip(word_list(text).alias("text"), breaks(text).alias("brk")), ended)
+
+
+def breaks(text: Column) -> Column:
+    """What follows each word of a text."""
+    return F.regexp_extract_all(text, F.lit(f"[^{_SET}]+([{_SET}]*)"), F.lit(1))
 
 
 def let(value: Column, body) -> Column:
@@ -35,9 +43,82 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _marked(marks: set[str] | None) -> tuple[str, str]:
+    """Letters composed with marks (any combining ones, or only ``marks``), and those letters without."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x3000)):
+        parts = unicodedata.normalize("NFD", c)
+        rest = unicodedata.normalize("NFC", "".join(p for p in parts if not (_combining(p) if marks is None else p in marks)))
+        if rest != c and len(rest) == 1 and len(parts) > 1:
+            pairs.append((c, rest))
+    return "".join(c for c, _ in pairs), "".join(r for _, r in pairs)
+
+
+def _combining(c: str) -> bool:
+    return "\u0300" <= c <= "\u036f" or "\u1dc0" <= c <= "\u1dff" or "\u20d0" <= c <= "\u20ff"
+
+
+# The combining signs of length, above a long and a short vowel.
+MACRON, BREVE = "\u0304", "\u0306"
+_LONG, _SHORT = _marked({MACRON}), _marked({BREVE})
+_LENGTHS, _ALL = _marked({MACRON, BREVE}), _marked(None)
+_COMBINING = "".join(c for r in ((0x300, 0x370), (0x1DC0, 0x1E00), (0x20D0, 0x2100)) for c in map(chr, range(*r)))
+
+
+def strip_lengths(text: Column) -> Column:
+    """Without signs of vowel length; other marks stay."""
+    return F.translate(text, _LENGTHS[0] + MACRON + BREVE, _LENGTHS[1])
+
+
+def strip_diacritics(text: Column) -> Column:
+    """Without combining marks, composed with their letters or not."""
+    return F.translate(text, _ALL[0] + _COMBINING, _ALL[1])
+
+
+def marked_positions(text: Column) -> Column:
+    """Array of (position, mark) of the signs of length: position counts the letters before, mark is long or short.
+
+    Composed letters and combining signs behind letters count alike.
+    """
+    spread = F.regexp_replace(text, f"([{_LONG[0]}])", "$1" + MACRON)
+    spread = F.regexp_replace(spread, f"([{_SHORT[0]}])", "$1" + BREVE)
+    chars = F.filter(F.split(spread, ""), lambda c: c != "")
+    begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<position:int,mark:string>>").alias("found"))
+
+    def step(now: Column, c: Column) -> Column:
+        sign = F.when(c == MACRON, "long").when(c == BREVE, "short")
+        found = F.when(sign.isNotNull(), F.concat(now["found"], F.array(F.struct((now["n"] - 1).alias("position"), sign.alias("mark"))))).otherwise(now["found"])
+        return F.struct((now["n"] + F.when(c.rlike(r"^\p{M}$"), 0).otherwise(1)).alias("n"), found.alias("found"))
+
+    return F.aggregate(chars, begin, step, lambda now: now["found"])
+
+
+def compatible_lengths(a: Column, b: Column) -> Column:
+    """Equally many letters, and nowhere one of them long only and the other short only."""
+
+    def only(word: Column, mark: str, other: str) -> Column:
+        at = lambda m: F.transform(F.filter(word, lambda x: x["mark"] == m), lambda x: x["position"])
+        return F.array_except(at(mark), at(other))
+
+    letters = lambda w: F.char_length(strip_diacritics(w))
+    x, y = marked_positions(a), marked_positions(b)
+    clash = F.arrays_overlap(only(x, "long", "short"), only(y, "short", "long")) | F.arrays_overlap(only(x, "short", "long"), only(y, "long", "short"))
+    return (letters(a) == letters(b)) & ~F.coalesce(clash, F.lit(False))
+
+
+def normal(word: Column) -> Column:
+    """The key of a word: lower case without signs of vowel length."""
+    return strip_lengths(F.lower(word))
+
+
 def clean_key(headword: Column) -> Column:
-    """Key under which a headword is found: lower case, no length marks, apostrophes or dashes."""
-    return F.translate(F.lower(headword), "^_-+'", "")
+    """Key under which a headword is found: without marks, lower case, ss for sharp s, no apostrophes."""
+    return F.replace(F.replace(F.lower(strip_diacritics(headword)), F.lit("ß"), F.lit("ss")), F.lit("'"), F.lit(""))
+
+
+def whole_number(text: Column) -> Column:
+    """The integer a text is, or null."""
+    return F.when(text.rlike("^-?[0-9]+$"), text.try_cast("bigint"))
 
 
 def roman(number: Column) -> Column:

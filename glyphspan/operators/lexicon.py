@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphspan.functions.inflection import merged
+
 ENCLITICS = ("que", "ne", "ve")
 
 
@@ -32,18 +34,12 @@ def expand_templates(templates: dict[str, list[tuple[str, str]]], endings_of: di
     return done
 
 
-def merged_mask(stem: Column, end: Column) -> Column:
-    """Features of both; zero is a wildcard; null where they have none in common."""
-    both = stem.bitwiseAND(end)
-    return F.when(stem == 0, end).when(end == 0, stem).when(both != 0, both)
-
-
 def analyse(words: DataFrame, stem_table: DataFrame, ending_table: DataFrame, word: str = "word") -> DataFrame:
     """(word, lemma, mask) of all analyses of distinct words."""
     cuts = words.select(F.col(word).alias("word")).distinct().withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("word"))))
     split = cuts.select("word", F.substr("word", F.lit(1), F.col("at")).alias("stem"), F.substr("word", F.col("at") + 1).alias("ending"))
     found = split.join(stem_table, "stem").join(ending_table, ["infl", "ending"])
-    return found.select("word", "lemma", merged_mask(F.col("stem_mask"), F.col("end_mask")).alias("mask")).where("mask IS NOT NULL").distinct()
+    return found.select("word", "lemma", merged(F.col("stem_mask"), F.col("end_mask")).alias("mask")).where("mask IS NOT NULL").distinct()
 
 
 def without_enclitics(words: DataFrame, word: str = "word") -> DataFrame:

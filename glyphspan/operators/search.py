@@ -13,31 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphspan.functions import text as T
 from glyphspan.operators.tokens import with_words
 
 Term = Callable[[Column], Column]
-MOST_SPANS, MOST_DISTANCE = 10, 15
+MOST_DISTANCE = 15
 
 
 def word(value: str) -> Term:
     return lambda w: w["norm"] == value.lower()
 
 
-def lemma(value: str, forms: dict[str, list[tuple[str, int]]]) -> Term:
-    """Words with an analysis of that lemma; ``forms`` maps a bounded lexicon's words to (lemma, mask)."""
-    return _among({w for w, many in forms.items() if any(name == value for name, _ in many)})
-
-
-def inflection(mask: int, forms: dict[str, list[tuple[str, int]]], strict: bool = False, name: str | None = None) -> Term:
-    """Words of which some analysis (strict: every one) has all bits of ``mask`` and, if given, the lemma ``name``."""
-    ok = lambda a: a[1] & mask == mask and name in (None, a[0])
-    return _among({w for w, many in forms.items() if many and (all if strict else any)(map(ok, many))})
-
-
-def _among(found: set[str]) -> Term:
-    return lambda w: w["norm"].isin(sorted(found))
-
-
 def all_of(*terms: Term) -> Term:
     def both(w: Column) -> Column:
         out = terms[0](w)
@@ -146,19 +132,18 @@ def page(matches: DataFrame, after: tuple[int, int] | None, size: int) -> DataFr
     return matches.orderBy("doc_id", "pos").limit(size + 1)
 
 
-def leaders(docs: DataFrame, terms: list[Term]) -> DataFrame:
-    """(doc_id, pos, row_idx, in_row): the line and the place in it of each match's first word."""
+def leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, pos, row_idx, in_row): the line and the place in it of each match's first word; lines of other documents are not read into words."""
+    docs = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("row_idx", "text"))
-    sized = with_words(rows).select("doc_id", "row_idx", F.size("words").alias("n"))
+    sized = rows.select("doc_id", "row_idx", F.size(T.word_list(F.col("text"))).alias("n"))
     w = Window.partitionBy("doc_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).where("n > 0")
-    found = spans(docs, terms)
     # rows and matches meet by document; each match falls into the one row whose interval holds it
     joined = found.join(starts, "doc_id").where("pos >= start AND pos < start + n")
     return joined.select("doc_id", "pos", "row_idx", (F.col("pos") - F.col("start")).alias("in_row"))
 
 
-def estimate(seen_results: int, seen_candidates: int, candidates: int) -> int:
-    """Estimated number of results from the rate among the candidates looked at."""
-    rate = seen_results / seen_candidates
-    return seen_results + int((candidates - seen_candidates) * rate + 0.99)
+def estimate(results: int, candidates_seen: int, candidates: int) -> int:
+    """Estimated number of results when ``results`` were found among the candidates seen so far."""
+    return results + int((candidates - candidates_seen) * (results / candidates_seen) + 0.99)

@@ -16,15 +16,32 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("words", T.words(F.col(text)))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, where the files have fewer: reading words is work."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def token_table(docs: DataFrame) -> DataFrame:
     """(doc_id, source, pos, text, norm, brk, hard_break)."""
-    rows = with_words(docs).select("doc_id", "source", F.posexplode("words").alias("pos", "w"))
-    return rows.select("doc_id", "source", "pos", "w.text", "w.norm", "w.brk", F.col("w.hard").alias("hard_break"))
+    found = spread(docs).select("doc_id", "source", T.word_list(F.col("text")).alias("word"), T.breaks(F.col("text")).alias("brk"))
+    rows = found.select("doc_id", "source", F.size("word").alias("n"), F.posexplode(F.arrays_zip("word", "brk")).alias("pos", "w"))
+    hard = F.contains("w.brk", F.lit(".")) | (F.col("pos") == F.col("n") - 1)
+    return rows.select("doc_id", "source", "pos", F.col("w.word").alias("text"), T.normal(F.col("w.word")).alias("norm"), F.col("w.brk").alias("brk"), hard.alias("hard_break"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(norm) of all different words; each document's are made distinct before they are dealt out."""
+    return spread(docs).select(F.explode(F.array_distinct(F.transform(T.word_list(F.col(text)), T.normal))).alias("norm")).distinct()
 
 
-def stats(docs: DataFrame) -> DataFrame:
-    t = token_table(docs)
-    return t.agg(F.count(F.lit(1)).alias("total_words"), F.countDistinct("doc_id").alias("total_works"), F.countDistinct("norm").alias("unique_words"), F.count_if("hard_break").alias("hard_breaks"))
+def stats(tokens: DataFrame) -> DataFrame:
+    """Numbers of words, works, different words and sentence ends of a token table."""
+    by_word = tokens.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.count_if("hard_break").alias("hard"))
+    words = by_word.agg(F.sum("n").alias("total_words"), F.count(F.lit(1)).alias("unique_words"), F.sum("hard").alias("hard_breaks"))
+    works = tokens.agg(F.countDistinct("doc_id").alias("total_works"))
+    # one row each
+    return words.join(F.broadcast(works)).select(F.coalesce("total_words", F.lit(0)).alias("total_words"), "total_works", "unique_words", F.coalesce("hard_breaks", F.lit(0)).alias("hard_breaks"))
 
 
 def row_breaks(docs: DataFrame) -> DataFrame:
@@ -37,19 +54,17 @@ def row_breaks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_idx", "section", F.when(before.isNull(), "none").when(before != F.col("section"), "hard").otherwise("soft").alias("kind"))
 
 
-def offsets(docs: DataFrame) -> DataFrame:
+def offsets(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, start_char, break_char): running offsets of tokens and of what follows them."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = token_table(docs)
     start = F.coalesce(F.sum(F.char_length("text") + F.char_length("brk")).over(w), F.lit(0))
-    return t.select("doc_id", "pos", start.alias("start_char"), (start + F.char_length("text")).alias("break_char"))
+    return tokens.select("doc_id", "pos", start.alias("start_char"), (start + F.char_length("text")).alias("break_char"))
 
 
-def posting_sizes(docs: DataFrame) -> DataFrame:
+def posting_sizes(tokens: DataFrame) -> DataFrame:
     """(norm, n, bitmask): postings of each word and whether they are dense enough for a bit mask (over 1 in 32)."""
-    t = token_table(docs)
-    sizes = t.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
-    total = t.agg(F.count(F.lit(1)).alias("total"))  # one row
+    sizes = tokens.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))  # one row
     return sizes.join(F.broadcast(total)).select("norm", "n", (F.col("n") * 32 > F.col("total")).alias("bitmask"))
 
 

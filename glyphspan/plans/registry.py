@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from glyphspan.operators import evaluate as E
 from glyphspan.operators import lexicon as L
 from glyphspan.operators import search as S
 from glyphspan.operators import tokens as K
+from glyphspan.plans import search as Q
+from glyphspan.plans.language import Word
+from glyphspan.sources import corpus as C
 from glyphspan.sources.tables import table
 from glyphspan.streaming import events as V
 
@@ -52,25 +57,30 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _forms() -> dict[str, list[tuple[str, int]]]:
-    """Words of the inline lexicon with their analyses; as small as the lexicon."""
-    out: dict[str, list[tuple[str, int]]] = {}
-    for lemma, stem, infl, a in STEMS:
-        for table_, ending, b in ENDINGS:
-            mask = b if a == 0 else a if b == 0 else a & b
-            if table_ == infl and (mask or a == 0 or b == 0):
-                out.setdefault(stem + ending, []).append((lemma, mask))
-    return out
+def corpus(spark: SparkSession, sf_dir: str) -> C.Corpus:
+    """The stored corpus of a folder's documents, analysed by the small lexicon; built once in a session."""
+    name = f"spark.glyphspan.corpus.{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if (folder := spark.conf.get(name, None)) is None:
+        folder = C.shared_folder(spark)
+        docs = _docs(spark, sf_dir)
+        analyses = L.analyse(K.vocabulary(docs).withColumnRenamed("norm", "word"), L.stems(spark, STEMS), L.endings(spark, ENDINGS))
+        C.build(docs, folder, analyses)
+        spark.conf.set(name, folder)
+    return C.load(spark, folder)
+
+
+def _found(spark, sf, query: str, **how) -> DataFrame:
+    return Q.matches(corpus(spark, sf), query, **how)
 
 
 @query(_TOKENS + "SELECT count(*) AS total_words, count(DISTINCT doc_id) AS total_works, count(DISTINCT norm) AS unique_words, count(*) FILTER (hard_break) AS hard_breaks FROM t")
 def token_stats(spark, sf):
-    return K.stats(_docs(spark, sf))
+    return K.stats(corpus(spark, sf).tokens)
 
 
 @query(_TOKENS + "SELECT doc_id, pos, norm, hard_break FROM t")
 def token_table(spark, sf):
-    return K.token_table(_docs(spark, sf)).select("doc_id", "pos", "norm", "hard_break")
+    return corpus(spark, sf).tokens.select("doc_id", "pos", "norm", "hard_break")
 
 
 @query("""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS row_idx FROM documents),
@@ -83,12 +93,12 @@ def row_breaks(spark, sf):
 @query(_TOKENS + """, o AS (SELECT doc_id, pos, length(text) AS l, coalesce(sum(length(text) + length(brk)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM t)
 SELECT doc_id, pos, start_char, start_char + l AS break_char FROM o""")
 def token_offsets(spark, sf):
-    return K.offsets(_docs(spark, sf))
+    return K.offsets(K.token_table(_docs(spark, sf)))
 
 
 @query(_TOKENS + "SELECT norm, count(*) AS n, count(*) * 32 > (SELECT count(*) FROM t) AS bitmask FROM t GROUP BY norm")
 def posting_encoding(spark, sf):
-    return K.posting_sizes(_docs(spark, sf))
+    return K.posting_sizes(corpus(spark, sf).tokens)
 
 
 @query("SELECT source, min(doc_id) AS first_work, max(doc_id) AS last_work, count(*) AS works FROM documents GROUP BY source")
@@ -98,35 +108,33 @@ def author_intervals(spark, sf):
 
 @query(_TOKENS + "SELECT doc_id, pos FROM t WHERE norm = 'the'")
 def word_query(spark, sf):
-    return S.spans(_docs(spark, sf), [S.word("the")]).select("doc_id", "pos")
+    return _found(spark, sf, "the").select("doc_id", "pos")
 
 
+_LEAD = ", l AS (SELECT *, lead(norm, 1) OVER w AS n1, lead(norm, 2) OVER w AS n2, lead(hard_break, 1) OVER w AS h1 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) "
 _PAIR = "SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND "
 
 
-@query(_TOKENS + _PAIR + "a.norm = 'of' AND b.norm = 'the'")
+@query(_TOKENS + _LEAD + "SELECT doc_id, pos FROM l WHERE norm = 'of' AND n1 = 'the' AND NOT hard_break")
 def phrase2(spark, sf):
-    return S.spans(_docs(spark, sf), [S.word("of"), S.word("the")]).select("doc_id", "pos")
+    return _found(spark, sf, "of the").select("doc_id", "pos")
 
 
-@query(_TOKENS + "SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN t c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE NOT a.hard_break AND NOT b.hard_break AND a.norm IN ('of', 'in') AND b.norm = 'the' AND c.norm <> 'and'")
+@query(_TOKENS + _LEAD + "SELECT doc_id, pos FROM l WHERE norm IN ('of', 'in') AND n1 = 'the' AND n2 <> 'and' AND NOT hard_break AND NOT h1")
 def phrase3(spark, sf):
-    return S.spans(_docs(spark, sf), [S.any_of(S.word("of"), S.word("in")), S.word("the"), S.none_of(S.word("and"))]).select("doc_id", "pos")
+    return _found(spark, sf, "(of or in) the !and", extended=True).select("doc_id", "pos")
 
 
-@query(_TOKENS + _PAIR + "a.norm = 'of' AND b.norm = 'the' AND a.source = (SELECT min(source) FROM documents)")
+@query(_TOKENS + _LEAD + "SELECT doc_id, pos FROM l WHERE norm = 'of' AND n1 = 'the' AND NOT hard_break AND source = (SELECT min(source) FROM documents)")
 def phrase_author(spark, sf):
-    docs = _docs(spark, sf)
-    first = docs.agg(F.min("source").alias("source"))  # one row
-    return S.spans(docs.join(F.broadcast(first), "source", "left_semi"), [S.word("of"), S.word("the")]).select("doc_id", "pos")
+    first = _docs(spark, sf).agg(F.min("source")).first()[0]  # one value
+    return _found(spark, sf, f"[{first}] of the").select("doc_id", "pos")
 
 
 @query(_TOKENS + "SELECT doc_id, pos, norm FROM t WHERE norm IN ('of', 'and')")
 def term_or(spark, sf):
-    docs = _docs(spark, sf)
-    each = [S.spans(docs, [S.any_of(S.word("of"), S.word("and"))])]
-    rows = each[0].join(K.token_table(docs).select("doc_id", "pos", "norm"), ["doc_id", "pos"])
-    return rows.select("doc_id", "pos", "norm")
+    c = corpus(spark, sf)
+    return c.tokens.where(F.col("norm").isin("of", "and")).select("doc_id", "pos", "norm")
 
 
 _NEAR = "SELECT DISTINCT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.norm = 'of' AND b.norm = 'the' AND "
@@ -134,40 +142,42 @@ _NEAR = "SELECT DISTINCT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_i
 
 @query(_TOKENS + _NEAR + "abs(a.pos - b.pos) <= 5")
 def prox_undirected(spark, sf):
-    docs = _docs(spark, sf)
-    return S.near(S.spans(docs, [S.word("of")]), S.spans(docs, [S.word("the")])).select("doc_id", "pos")
+    c = corpus(spark, sf)
+    of, the = (Q.tokens_of(c, Word(w)) for w in ("of", "the"))
+    return S.near(of, the).select("doc_id", "pos")
 
 
 @query(_TOKENS + _NEAR + "b.pos - a.pos BETWEEN 0 AND 5")
 def prox_directed(spark, sf):
-    docs = _docs(spark, sf)
-    return S.near(S.spans(docs, [S.word("of")]), S.spans(docs, [S.word("the")]), directed=True).select("doc_id", "pos")
+    c = corpus(spark, sf)
+    of, the = (Q.tokens_of(c, Word(w)) for w in ("of", "the"))
+    return S.near(of, the, directed=True).select("doc_id", "pos")
 
 
 @query(_TOKENS + ", s AS (" + _PAIR + "a.norm = 'of' AND b.norm = 'the') SELECT DISTINCT s.doc_id, s.pos FROM s JOIN t ON s.doc_id = t.doc_id AND t.norm = 'and' AND abs(t.pos - s.pos) <= 8 AND (t.pos >= s.pos + 2 OR t.pos < s.pos)")
 def prox_span_word(spark, sf):
-    docs = _docs(spark, sf)
-    return S.near(S.spans(docs, [S.word("of"), S.word("the")]), S.spans(docs, [S.word("and")]), 8, lengths=(2, 1)).select("doc_id", "pos")
+    c = corpus(spark, sf)
+    return S.near(Q.span_leaders(c, [Word("of"), Word("the")]), Q.tokens_of(c, Word("and")), 8, lengths=(2, 1)).select("doc_id", "pos")
 
 
 @query(_TOKENS + """SELECT DISTINCT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.norm = 'the' AND b.pos - a.pos BETWEEN 0 AND 5
 JOIN t c ON c.doc_id = a.doc_id AND c.norm = 'and' AND c.pos - b.pos BETWEEN 0 AND 5 WHERE a.norm = 'of'""")
 def prox_three(spark, sf):
-    docs = _docs(spark, sf)
-    tail = S.near(S.spans(docs, [S.word("the")]), S.spans(docs, [S.word("and")]), directed=True)
-    return S.near(S.spans(docs, [S.word("of")]), tail, directed=True).select("doc_id", "pos")
+    c = corpus(spark, sf)
+    of, the, and_ = (Q.tokens_of(c, Word(w)) for w in ("of", "the", "and"))
+    return S.near(of, S.near(the, and_, directed=True), directed=True).select("doc_id", "pos")
 
 
 @query()
 def prox_self(spark, sf):
-    return S.near_same(S.spans(_docs(spark, sf), [S.word("the")]))
+    return S.near_same(Q.tokens_of(corpus(spark, sf), Word("the")))
 
 
 @query(_TOKENS + """, m AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the')
 SELECT m.doc_id, m.pos, coalesce(string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos < m.pos), '') AS before, string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos BETWEEN m.pos AND m.pos + 1) AS matched,
 coalesce(string_agg(t.text, ' ' ORDER BY t.pos) FILTER (t.pos > m.pos + 1), '') AS after FROM m JOIN t ON t.doc_id = m.doc_id AND t.pos BETWEEN m.pos - 5 AND m.pos + 6 GROUP BY m.doc_id, m.pos""")
 def kwic_context(spark, sf):
-    return S.context(_docs(spark, sf), [S.word("of"), S.word("the")])
+    return Q.keyword_in_context(corpus(spark, sf), _found(spark, sf, "of the"))
 
 
 @query(_TOKENS + """, m AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the'),
@@ -176,17 +186,75 @@ z AS (SELECT doc_id, row_idx, len(list_filter(regexp_extract_all(line, '[^""" +
 b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z)
 SELECT m.doc_id, m.pos, b.row_idx, m.pos - b.start AS in_row FROM m JOIN b ON m.doc_id = b.doc_id AND m.pos >= b.start AND m.pos < b.start + b.n""")
 def match_leaders(spark, sf):
-    return S.leaders(_docs(spark, sf), [S.word("of"), S.word("the")])
+    return S.leaders(_docs(spark, sf), _found(spark, sf, "of the"))
 
 
 @query(_TOKENS + "SELECT doc_id, pos FROM t WHERE norm = 'the' AND (doc_id > 10 OR doc_id = 10 AND pos > 3) ORDER BY doc_id, pos LIMIT 51")
 def page_keyset(spark, sf):
-    return S.page(S.spans(_docs(spark, sf), [S.word("the")]).select("doc_id", "pos"), (10, 3), 50)
+    return S.page(_found(spark, sf, "the").select("doc_id", "pos"), (10, 3), 50)
+
+
+@query(_TOKENS + """, p AS (SELECT a.doc_id, a.pos, b.pos AS other, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY b.pos) AS r
+FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.norm = 'of' AND b.norm = 'the' AND abs(a.pos - b.pos) <= 5) SELECT doc_id, pos, other FROM p WHERE r = 1""")
+def dsl_near(spark, sf):
+    """Each match of two spans with the partner taken."""
+    leader = F.filter("spans", lambda x: x["pos"] != F.col("pos"))[0]["pos"]
+    return _found(spark, sf, "of 5~ the").select("doc_id", "pos", leader.alias("other"))
+
+
+@query(_TOKENS + """, o AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the'),
+p AS (SELECT o.doc_id, o.pos, b.pos AS second, c.pos AS third, row_number() OVER (PARTITION BY o.doc_id, o.pos ORDER BY b.pos, c.pos) AS r
+FROM o JOIN t b ON o.doc_id = b.doc_id AND b.norm = 'and' AND abs(b.pos - o.pos) <= 8 AND (b.pos >= o.pos + 2 OR b.pos < o.pos)
+JOIN t c ON c.doc_id = b.doc_id AND c.norm = 'in' AND c.pos - b.pos BETWEEN 1 AND 8 AND (c.pos >= o.pos + 2 OR c.pos < o.pos))
+SELECT doc_id, pos, least(pos, second, third) AS low, greatest(pos, second, third) AS high FROM p WHERE r = 1""")
+def dsl_three_spans(spark, sf):
+    """A phrase, a word near it on either side and one behind that, none overlapping."""
+    found = _found(spark, sf, "of the 8~ and 8~> in")
+    return found.select("doc_id", "pos", F.col("spans")[0]["pos"].alias("low"), F.col("spans")[2]["pos"].alias("high"))
+
+
+@query(_TOKENS + """, m AS (SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE NOT a.hard_break AND a.norm = 'of' AND b.norm = 'the'),
+c AS (SELECT m.doc_id, m.pos, string_agg(t.text || t.brk, '' ORDER BY t.pos) FILTER (t.pos < m.pos) AS a, string_agg(CASE WHEN t.pos = m.pos THEN t.text || t.brk ELSE t.text END, '' ORDER BY t.pos) FILTER (t.pos BETWEEN m.pos AND m.pos + 1) AS b,
+string_agg(CASE WHEN t.pos = m.pos + 1 THEN t.brk ELSE t.text || t.brk END, '' ORDER BY t.pos) FILTER (t.pos > m.pos) AS c FROM m JOIN t ON t.doc_id = m.doc_id AND t.pos BETWEEN m.pos - 25 AND m.pos + 26 GROUP BY m.doc_id, m.pos)
+SELECT doc_id, pos, coalesce(a, '') || '[' || b || ']' || c AS shown FROM c""")
+def dsl_result_text(spark, sf):
+    """The text of each match of a phrase with 25 words on both sides, the match in brackets."""
+    rows = Q.with_text(corpus(spark, sf), _found(spark, sf, "of the"))
+    shown = F.array_join(F.transform("chunks", lambda x: F.when(x["is_match"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"])), "")
+    return rows.select("doc_id", "pos", shown.alias("shown"))
+
+
+@query(_TOKENS + _LEXICON + """, k AS (SELECT word, 'word' AS attr, word AS key FROM words UNION SELECT word, 'lemma', lemma FROM an UNION SELECT word, 'case', c FROM an, (VALUES ('nominative', 1), ('accusative', 2), ('dative', 4)) v(c, bit) WHERE mask & bit <> 0)
+SELECT attr, key, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t JOIN k ON t.norm = k.word GROUP BY attr, key""")
+def postings_index(spark, sf):
+    """Sizes of all lists of the inverted index."""
+    return C.postings(corpus(spark, sf)).groupBy("attr", "key").agg(F.sum(F.size("positions")).alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+@query(_TOKENS + _LEXICON + ", c AS (SELECT word FROM an WHERE lemma = 'er' OR mask & 1 <> 0) SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM c) OR norm = 'of'")
+def dsl_or_kinds(spark, sf):
+    """An `or` of a word, a lemma and a feature."""
+    return _found(spark, sf, "(of or @lemma:er or @case:nominative)").select("doc_id", "pos")
+
+
+@query(_TOKENS + "SELECT doc_id, pos FROM t WHERE false")
+def dsl_impossible(spark, sf):
+    """No token has two cases at once; nothing is read."""
+    return _found(spark, sf, "(@case:nom and @case:acc) the").select("doc_id", "pos")
+
+
+@query(_TOKENS + _LEAD + "SELECT doc_id, pos FROM l WHERE norm <> 'of' AND n1 = 'the' AND NOT hard_break")
+def term_not_ext(spark, sf):
+    """Negation, as an extension."""
+    return _found(spark, sf, "!of the", extended=True).select("doc_id", "pos")
+
+
+def _vocabulary(spark, sf) -> DataFrame:
+    return corpus(spark, sf).words.select(F.col("norm").alias("word"))
 
 
 def _analyses(spark, sf) -> DataFrame:
-    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word"))
-    return L.analyse(words, L.stems(spark, STEMS), L.endings(spark, ENDINGS))
+    return L.analyse(_vocabulary(spark, sf), L.stems(spark, STEMS), L.endings(spark, ENDINGS))
 
 
 @query(_TOKENS + _LEXICON + "SELECT word, lemma, mask FROM an")
@@ -196,33 +264,32 @@ def analyze_words(spark, sf):
 
 @query(_TOKENS + """SELECT word, substr(word, 1, length(word) - length(e)) AS base, e AS enclitic FROM (SELECT DISTINCT norm AS word FROM t), (VALUES (''), ('que'), ('ne'), ('ve')) v(e) WHERE e = '' OR (ends_with(word, e) AND length(word) > length(e))""")
 def analyze_enclitics(spark, sf):
-    return L.without_enclitics(K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct())
+    return L.without_enclitics(_vocabulary(spark, sf))
 
 
 @query(_TOKENS + "SELECT translate(norm, 'vj', 'ui') AS spelling, count(DISTINCT norm) AS variants FROM t GROUP BY 1 HAVING count(DISTINCT norm) > 1")
 def uv_ij_variants(spark, sf):
-    t = K.token_table(_docs(spark, sf))
-    return t.groupBy(L.spelling_key(F.col("norm")).alias("spelling")).agg(F.countDistinct("norm").alias("variants")).where("variants > 1")
+    return _vocabulary(spark, sf).groupBy(L.spelling_key(F.col("word")).alias("spelling")).agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
 
 
 @query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE lemma = 'and#2')")
 def lemma_query(spark, sf):
-    return S.spans(_docs(spark, sf), [S.lemma("and#2", _forms())]).select("doc_id", "pos")
+    return _found(spark, sf, "@lemma:and#2").select("doc_id", "pos")
 
 
 @query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE mask & 2 = 2)")
 def infl_query(spark, sf):
-    return S.spans(_docs(spark, sf), [S.inflection(2, _forms())]).select("doc_id", "pos")
+    return _found(spark, sf, "@case:acc").select("doc_id", "pos")
 
 
-@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an GROUP BY word HAVING bool_and(mask & 1 = 1))")
+@query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an GROUP BY word HAVING bool_and(mask & 127 = 1))")
 def strict_query(spark, sf):
-    return S.spans(_docs(spark, sf), [S.inflection(1, _forms(), strict=True)]).select("doc_id", "pos")
+    return _found(spark, sf, "@case:nom", strict=True).select("doc_id", "pos")
 
 
 @query(_TOKENS + _LEXICON + "SELECT doc_id, pos FROM t WHERE norm IN (SELECT word FROM an WHERE lemma = 'and#2' AND mask & 1 = 1)")
 def term_and_infl(spark, sf):
-    return S.spans(_docs(spark, sf), [S.inflection(1, _forms(), name="and#2")]).select("doc_id", "pos")
+    return _found(spark, sf, "(@lemma:and#2 and @case:nom)").select("doc_id", "pos")
 
 
 @query(_TOKENS + _LEXICON + """SELECT DISTINCT lemma FROM stems JOIN endings USING (infl) WHERE starts_with(stem, 'th') OR (starts_with('th', stem) AND stem <> 'th' AND starts_with(ending, substr('th', length(stem) + 1))) ORDER BY lemma LIMIT 10""")
@@ -230,16 +297,14 @@ def complete_prefix(spark, sf):
     return L.complete(L.stems(spark, STEMS), L.endings(spark, ENDINGS), "th", 10)
 
 
-@query(_TOKENS + _LEXICON + "SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM an) AND starts_with(word, 'th') GROUP BY word")
+@query(_TOKENS + _LEXICON + "SELECT word, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM an) GROUP BY word")
 def lexicon_anti_join(spark, sf):
-    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct()
-    return words.join(_analyses(spark, sf), "word", "left_anti").where(F.startswith("word", F.lit("th"))).select("word", F.lit(1).cast("long").alias("n"))
+    return _vocabulary(spark, sf).join(_analyses(spark, sf), "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"))
 
 
 @query(_TOKENS + _LEXICON + "SELECT DISTINCT word FROM words WHERE word NOT IN (SELECT word FROM an)")
 def lexicon_unknown_words(spark, sf):
-    words = K.token_table(_docs(spark, sf)).select(F.col("norm").alias("word")).distinct()
-    return words.join(_analyses(spark, sf), "word", "left_anti")
+    return _vocabulary(spark, sf).join(_analyses(spark, sf), "word", "left_anti")
 
 
 _ORTHS = """WITH raw AS (SELECT 'part' AS dict, p_partkey::VARCHAR AS id, p_name AS orth FROM part UNION ALL SELECT 'nation', n_nationkey::VARCHAR, n_name FROM nation
