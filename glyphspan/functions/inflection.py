@@ -86,6 +86,28 @@ def merged(a: Column, b: Column) -> Column:
     return F.when(fits, out)
 
 
+def narrowed(stem: Column, end: Column, tags: Column | None = None) -> Column:
+    """Features of a regular form: those of its ending, which must allow all that its stem names; null where it does not.
+
+    The stem's cases and genders are kept where it names any; an ending without gender allows each.  Endings for compounds
+    only (tag ``comp_only``) are left out, as are futures of stems marked ``no_fut`` and future participles of ``no_fut_part``.
+    """
+    out, fits = end, F.lit(True)
+    for name in CATEGORIES:
+        part = F.lit(category_mask(name))
+        s, e = stem.bitwiseAND(part), end.bitwiseAND(part)
+        inside = s.bitwiseAND(e) == s
+        fits = fits & (inside | (e == 0) if name == "gender" else inside)
+        if name in ("case", "gender"):
+            out = F.when(s != 0, out.bitwiseAND(F.lit(~category_mask(name))).bitwiseOR(s)).otherwise(out)
+    if tags is not None:
+        has = lambda feature: end.bitwiseAND(F.lit(mask_of(feature))) != 0
+        future = has("tense:future")
+        barred = F.array_contains(tags, "comp_only") | (F.array_contains(tags, "no_fut") & future) | (F.array_contains(tags, "no_fut_part") & future & has("mood:participle"))
+        fits = fits & ~F.coalesce(barred, F.lit(False))
+    return F.when(fits, out)
+
+
 def values_of(mask: Column, category: str) -> Column:
     """Array of the full names of a category's values in a mask."""
     names = F.array(*[F.lit(v[0]) for v in CATEGORIES[category]])

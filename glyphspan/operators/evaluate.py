@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +54,68 @@ def tag_profile(pages: DataFrame, html: str = "html") -> DataFrame:
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
-def html_text(html: str | Column) -> Column:
-    """Plain text: line ends around paragraphs, divisions and breaks, other tags gone, common entities resolved."""
-    out = F.regexp_replace(html if isinstance(html, Column) else F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?i)</?(p|div)\b[^>]*>|<br\b[^>]*>", "\n"), r"(?s)<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+def accuracy(compared: DataFrame, doc: str) -> DataFrame:
+    """(doc, correct, incorrect, total, accuracy) by document and, with a null document, over all."""
+    sums = compared.rollup(doc).agg(*[F.sum(c).alias(c) for c in ("correct", "incorrect", "total")])
+    return sums.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")))
+
+
+def errors_in_context(golden: DataFrame, versions: DataFrame, key: str, words: str = "words", size: int = 4) -> DataFrame:
+    """(key, pos, expected, processor, got, context): words in which a version (key, processor, words) differs from the golden one.
+
+    The context has ``size`` words before and, from the word on, ``size`` words; the word itself stands between asterisks.
+    """
+    gold = golden.select(F.col(key).alias("key"), F.col(words).alias("gold"))
+    both = gold.join(versions.select(F.col(key).alias("key"), "processor", F.col(words).alias("own")), "key")
+    each = both.select("key", "processor", "gold", F.posexplode(F.arrays_zip("gold", "own")).alias("pos", "w")).where(~F.col("w.gold").eqNullSafe(F.col("w.own")) & (F.col("pos") < F.size("gold")))
+    first = F.greatest(F.col("pos") - size, F.lit(0))
+    marked = F.concat(F.slice("gold", first + 1, F.col("pos") - first), F.array(F.concat(F.lit("*"), F.col("w.gold"), F.lit("*"))), F.slice("gold", F.col("pos") + 2, F.lit(size - 1)))
+    return each.select(F.col("key").alias(key), "pos", F.col("w.gold").alias("expected"), "processor", F.col("w.own").alias("got"), F.array_join(marked, " ").alias("context"))
+
+
+def t_test(df: DataFrame, by: str, group: str, value: str) -> DataFrame:
+    """(by, mean_a, mean_b, diff_percent, t, freedom, samples, p_value): the two-sample t-test of equal variances.
+
+    ``group`` is a Boolean column; ``samples`` is the lesser number of values.  Nothing can be said of fewer than two values.
+    """
+    of = lambda f, b: f(F.when(F.col(group) == b, F.col(value)))
+    each = df.groupBy(by).agg(*[of(f, b).alias(f"{n}_{x}") for x, b in (("a", False), ("b", True)) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
+    freedom = F.col("n_a") + F.col("n_b") - 2
+    pooled = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / freedom
+    t = (F.col("mean_b") - F.col("mean_a")) / F.sqrt(pooled * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    ok = (F.col("n_a") > 1) & (F.col("n_b") > 1) & (pooled > 0)
+    out = each.select(by, "mean_a", "mean_b", ((F.col("mean_b") - F.col("mean_a")) / F.col("mean_a") * 100).alias("diff_percent"), F.when(ok, t).alias("t"), freedom.alias("freedom"), F.least("n_a", "n_b").alias("samples"))
+
+    @F.pandas_udf("double")
+    def two_sided(ts: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(t) else beta_share(n / (n + t * t), n / 2, 0.5) for t, n in zip(ts, ns, strict=True)], dtype="float64")
+
+    return out.withColumn("p_value", two_sided("t", "freedom"))
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0
+    for m in range(300, 0, -1):  # from the inside out
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        value = odd / (1 + even / (1 + value)) if m > 0 else value
+    return front / (1 + value)
+
+
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, exact): keys of several rows, and whether the rows are all alike."""
+    rest = [c for c in df.columns if c != key]
+    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_json(F.struct(*rest))).alias("kinds")).where("n > 1")
+    return found.select(key, "n", (F.col("kinds") == 1).alias("exact"))
+
+
+def line_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, line, a, b): lines of two texts (key, line, text) that differ at the same place, or stand in one alone."""
+    both = a.select(key, "line", F.col("text").alias("a")).join(b.select(key, "line", F.col("text").alias("b")), [key, "line"], "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b")))

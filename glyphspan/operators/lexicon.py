@@ -6,10 +6,11 @@ Words are analysed once however often they occur.  Stems and endings are tables;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphspan.functions.inflection import merged
+from glyphspan.functions import text as T
+from glyphspan.functions.inflection import mask_from_tags, merged, narrowed
 
 ENCLITICS = ("que", "ne", "ve")
 
@@ -50,6 +51,153 @@ def without_enclitics(words: DataFrame, word: str = "word") -> DataFrame:
     return tried.where(fits).select("word", F.substr("word", F.lit(1), F.char_length("word") - F.char_length("enclitic")).alias("base"), "enclitic")
 
 
+def case_variants(words: DataFrame, word: str = "word") -> DataFrame:
+    """(word, variant, relaxed): the word with all but its first letter in lower case, and with its first letter in the other
+    case; a first V may stand for U or u."""
+    first, body = F.substr(word, F.lit(1), F.lit(1)), F.lower(F.substr(F.col(word), F.lit(2)))
+    other = F.when(first == F.upper(first), F.lower(first)).otherwise(F.upper(first))
+    option = lambda letter, relaxed: F.struct(F.concat(letter, body).alias("variant"), F.lit(relaxed).alias("relaxed"))
+    v = first == "V"
+    options = F.array_compact(F.array(option(first, False), F.when(v, option(F.lit("U"), True)), option(other, True), F.when(v, option(F.lit("u"), True))))
+    return words.where(F.col(word) != "").select(F.col(word).alias("word"), F.explode(options).alias("o")).select("word", "o.*")
+
+
+# The vowels beside which i and u may be consonants.
+VOWELS = "aeiouy"
+
+
+def consonant_variants(words: DataFrame, word: str = "word", i: bool = True, u: bool = True) -> DataFrame:
+    """(word, variant) of all spellings with some i as j and some u as v: those beside a vowel, and no u behind q.
+
+    A word with a j has no such i, one with a v no such u.
+    """
+    chars = F.filter(F.split(F.col(word), ""), lambda c: c != "")
+    low = F.filter(F.split(F.lower(F.col(word)), ""), lambda c: c != "")
+    plain = F.transform(low, T.strip_diacritics)
+    vowel = lambda at: F.coalesce(F.get(plain, at).isin(*VOWELS), F.lit(False))
+    as_i = F.lit(i) & ~F.contains(F.lower(word), F.lit("j"))
+    as_u = F.lit(u) & ~F.contains(F.col(word), F.lit("v"))
+
+    def open_(c: Column, at: Column) -> Column:
+        beside = vowel(at - 1) | vowel(at + 1)
+        return beside & ((as_i & (c == "i")) | (as_u & (c == "u") & ~F.coalesce(F.get(low, at - 1) == "q", F.lit(False))))
+
+    places = F.filter(F.transform(low, lambda c, at: F.when(open_(c, at), at)), lambda at: at.isNotNull())
+    found = words.select(F.col(word).alias("word"), chars.alias("chars"), places.alias("places")).where(F.size("places") > 0)
+    each = found.select("*", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("places")) - 1)).alias("chosen"))
+
+    def spelled(c: Column, at: Column) -> Column:
+        rank = F.array_position("places", at) - 1
+        changed = (rank >= 0) & (F.call_function("shiftright", F.col("chosen"), F.greatest(rank, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return F.when(changed, F.translate(c, "iIuU", "jJvV")).otherwise(c)
+
+    return each.select("word", F.array_join(F.transform("chars", spelled), "").alias("variant"))
+
+
+def crunch(words: DataFrame, stem_table: DataFrame, ending_table: DataFrame, irregular: DataFrame | None = None, word: str = "word") -> DataFrame:
+    """(word, form, lemma, mask, enclitic, relaxed): all analyses of distinct words.
+
+    A word is tried in both cases of its first letter, with i and u as consonants, and without each enclitic.  A stem
+    (lemma, stem, infl, stem_mask, optional tags) needs an ending (infl, ending, end_mask) that allows its features; irregular
+    forms (lemma, form, mask) stand alone.
+    """
+    own = words.select(F.col(word).alias("word")).distinct()
+    cased = case_variants(own)
+    more = consonant_variants(cased.select(F.col("variant").alias("word")).distinct()).withColumnRenamed("word", "from")
+    spelled = cased.unionByName(cased.join(more.withColumnRenamed("variant", "spelled"), F.col("variant") == F.col("from")).select("word", F.col("spelled").alias("variant"), "relaxed"))
+    cut = without_enclitics(spelled.select("variant").distinct(), "variant").select(F.col("word").alias("variant"), F.col("base").alias("form"), "enclitic")
+    forms = cut.select("form").distinct()
+    at = forms.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("form")))).where("at >= 1")
+    split = at.select("form", F.substr("form", F.lit(1), F.col("at")).alias("stem"), F.substr("form", F.col("at") + 1).alias("ending"))
+    tags = F.col("tags") if "tags" in stem_table.columns else None
+    regular = split.join(stem_table, "stem").join(ending_table.drop("tags"), ["infl", "ending"]).select("form", "lemma", narrowed(F.col("stem_mask"), F.col("end_mask"), tags).alias("mask")).where("mask IS NOT NULL")
+    found = regular if irregular is None else regular.unionByName(forms.join(irregular, "form").select("form", "lemma", "mask"))
+    joined = spelled.join(cut, "variant").join(found, "form")
+    return joined.groupBy("word", "form", "lemma", "mask", "enclitic").agg(F.min("relaxed").alias("relaxed"))
+
+
+def by_lemma(analyses: DataFrame) -> DataFrame:
+    """(word, lemma, forms array of (form, analyses array of (mask, enclitic))): analyses of a word under their lemma and form."""
+    each = analyses.groupBy("word", "lemma", "form").agg(F.array_sort(F.collect_set(F.struct("mask", "enclitic"))).alias("analyses"))
+    return each.groupBy("word", "lemma").agg(F.array_sort(F.collect_list(F.struct("form", "analyses"))).alias("forms"))
+
+
+def ending_index(ending_table: DataFrame) -> DataFrame:
+    """(ending, tables): the tables that have each ending."""
+    return ending_table.groupBy(F.translate("ending", "^_-+", "").alias("ending")).agg(F.sort_array(F.collect_set("infl")).alias("tables"))
+
+
+def lexicon_lines(files: DataFrame) -> DataFrame:
+    """(path, lemma, number, code, head, rest array) of lexicon files (path, text): lines under the lemma of the last ``:le:`` line.
+
+    Blank lines and those behind ``#`` say nothing.  A line is a head, with a two-letter code between colons or without, and words.
+    """
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("raw", F.btrim("raw", F.lit(" \t\r")))
+    lines = lines.where((F.col("raw") != "") & ~F.startswith("raw", F.lit("#")))
+    is_lemma = F.startswith("raw", F.lit(":le:"))
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    under = lines.withColumns({"lemma": F.last(F.when(is_lemma, F.expr("substr(raw, 5)")), ignorenulls=True).over(w), "number": F.sum(is_lemma.cast("int")).over(w)})
+    parts = F.split("raw", r"\s+")
+    code = F.regexp_extract(parts[0], "^:([a-z]{2}):", 1)
+    head = F.regexp_replace(parts[0], "^:[a-z]{2}:", "")
+    return under.where(~is_lemma & F.col("lemma").isNotNull()).select("path", "lemma", "number", code.alias("code"), head.alias("head"), F.slice(parts, 2, 1000).alias("rest"))
+
+
+def stems_from(lines: DataFrame, templates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stems (lemma, stem, infl, stem_mask, tags) and irregular forms (lemma, form, mask) of lexicon lines.
+
+    Lines of nouns, adjectives, verb stems and derived verbs name a table (of ``templates``, if given, else their first word), as
+    does ``stem@table``; all other lines are whole forms.
+    """
+    at = F.contains("head", F.lit("@"))
+    named = F.filter("rest", lambda t: t.isin(templates))[0] if templates else F.get("rest", F.lit(0))
+    table = F.when(at, F.substring_index("head", "@", -1)).otherwise(named)
+    tags = F.when(at, F.col("rest")).otherwise(F.array_remove("rest", table))
+    clean = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    regular = at | F.col("code").isin("no", "aj", "vs", "de")
+    stems_ = lines.where(regular).select("lemma", clean(F.substring_index("head", "@", 1)).alias("stem"), table.alias("infl"), mask_from_tags(tags).alias("stem_mask"), tags.alias("tags"))
+    return stems_, lines.where(~regular).select("lemma", clean(F.col("head")).alias("form"), mask_from_tags(F.col("rest")).alias("mask"))
+
+
+def template_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Endings (infl, ending, end_mask, tags) and dependencies (infl, prefix, depends, mask) of template files (path, text).
+
+    A file's name is its table's; ``prefix@table words`` takes over another table, ``*`` is the empty ending or prefix.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    lines = files.select(name.alias("infl"), F.explode(F.split("text", "\n")).alias("raw")).withColumn("raw", F.btrim("raw", F.lit(" \t\r")))
+    parts = F.split("raw", r"\s+")
+    rows = lines.where((F.col("raw") != "") & ~F.startswith("raw", F.lit("#"))).select("infl", parts[0].alias("head"), F.slice(parts, 2, 1000).alias("rest"))
+    empty = lambda c: F.when(c == "*", "").otherwise(c)
+    uses = F.contains("head", F.lit("@"))
+    endings_ = rows.where(~uses).select("infl", empty(F.col("head")).alias("ending"), mask_from_tags(F.col("rest")).alias("end_mask"), F.col("rest").alias("tags"))
+    prefix = empty(F.substring_index("head", "@", 1))
+    return endings_, rows.where(uses).select("infl", prefix.alias("prefix"), F.substring_index("head", "@", -1).alias("depends"), mask_from_tags(F.col("rest")).alias("mask"))
+
+
+def expanded(endings_: DataFrame, uses: DataFrame) -> DataFrame:
+    """(infl, ending, end_mask): endings of all tables, those they take over included; as deep as tables depend on each other."""
+    done = endings_.select("infl", "ending", "end_mask")
+    waiting = uses
+    for _ in range(64):
+        names = done.select("infl").distinct()
+        blocked = waiting.join(waiting.select(F.col("infl").alias("depends")).distinct(), "depends", "left_semi").select("infl").distinct()
+        ready = waiting.join(blocked, "infl", "left_anti")
+        if ready.isEmpty():
+            break
+        missing = ready.join(names.withColumnRenamed("infl", "depends"), "depends", "left_anti")
+        if not missing.isEmpty():
+            raise ValueError(f"no such tables: {sorted(r['depends'] for r in missing.select('depends').distinct().limit(10).collect())}")
+        taken = ready.join(done.withColumnsRenamed({"infl": "depends"}), "depends")
+        new = taken.select("infl", F.concat("prefix", "ending").alias("ending"), merged(F.col("mask"), F.col("end_mask")).alias("end_mask")).where("end_mask IS NOT NULL")
+        done, waiting = done.unionByName(new), waiting.join(blocked, "infl", "left_semi")
+        if waiting.isEmpty():
+            return done
+    if not waiting.isEmpty():
+        raise ValueError("templates depend on each other")
+    return done
+
+
 def spelling_key(word: Column) -> Column:
     """One spelling for u/v and i/j, so that variants meet in an equality join."""
     return F.translate(F.lower(word), "vj", "ui")

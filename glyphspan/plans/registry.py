@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from glyphspan.functions import text as T
 from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
+from glyphspan.operators import language as N
 from glyphspan.operators import lexicon as L
+from glyphspan.operators import markup as M
 from glyphspan.operators import search as S
 from glyphspan.operators import tokens as K
 from glyphspan.plans import search as Q
@@ -309,7 +311,7 @@ def lexicon_unknown_words(spark, sf):
 
 _ORTHS = """WITH raw AS (SELECT 'part' AS dict, p_partkey::VARCHAR AS id, p_name AS orth FROM part UNION ALL SELECT 'nation', n_nationkey::VARCHAR, n_name FROM nation
 UNION ALL SELECT 'region', r_regionkey::VARCHAR, r_name FROM region UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, s_name FROM supplier),
-orths AS (SELECT *, translate(lower(orth), '^_-+''', '') AS clean_orth FROM raw) """
+orths AS (SELECT *, replace(replace(lower(strip_accents(orth)), 'ß', 'ss'), '''', '') AS clean_orth FROM raw) """
 
 
 def _orths(spark, sf) -> DataFrame:
@@ -382,7 +384,7 @@ def carry_forward(spark, sf):
 
 @query("SELECT event_id, event_type, 'web' AS source FROM events WHERE NOT coalesce(regexp_matches(lower(event_type), 'bot|crawl|spider|error'), false)")
 def crawler_filter_append(spark, sf):
-    return V.wanted(table(spark, sf, "events")).select("event_id", "event_type", "source")
+    return V.wanted(table(spark, sf, "events"), parts=("bot", "crawl", "spider", "error")).select("event_id", "event_type", "source")
 
 
 @query("""WITH g AS (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM g GROUP BY tag""")
@@ -392,7 +394,7 @@ def schema_profile(spark, sf):
 
 @query()
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", E.html_text("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", M.html_text("html").alias("text"))
 
 
 @query("""WITH b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM benchmark), d AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -411,3 +413,92 @@ def zip_accuracy(spark, sf):
     after = rows.select(F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("k"), "words")
     out = E.zip_compare(key, after, "k")
     return out.select("k.conv_id", "k.turn", *[F.col(c).cast("long").alias(c) for c in ("correct", "incorrect", "total")])
+
+
+_CHARS = r"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '(?s)[\p{L}\p{N}]+|.') AS l FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT conv_id, turn, unnest(l) AS text, unnest(range(len(l)))::INT AS i FROM c),
+t AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS stop,
+CASE WHEN regexp_matches(text, '^[\p{L}\p{N}]') THEN 'word' WHEN contains('.,;:?!()[]"''—-', text) THEN 'punctuation' ELSE 'other' END AS kind FROM k) """
+
+
+@query(_CHARS + "SELECT conv_id, turn, i, text, (stop - length(text))::BIGINT AS start, stop::BIGINT AS stop, kind FROM t")
+def char_tokens(spark, sf):
+    """Tokens that keep every character, with their places."""
+    return N.char_tokens(table(spark, sf, "conversations"), ["conv_id", "turn"])
+
+
+@query(_CHARS + """, s AS (SELECT *, coalesce(sum(CASE WHEN contains('.;:?!', text) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM t WHERE kind <> 'other')
+SELECT conv_id, turn, sentence, string_agg(text, ' ' ORDER BY i) AS words FROM s GROUP BY conv_id, turn, sentence""")
+def sentence_words(spark, sf):
+    """Sentences of all turns."""
+    keys = ["conv_id", "turn"]
+    return N.sentences(N.char_tokens(table(spark, sf, "conversations"), keys), keys).withColumn("words", F.array_join("words", " "))
+
+
+@query("""WITH g AS (SELECT event_type, avg(value) FILTER (user_id % 2 = 0) AS a, avg(value) FILTER (user_id % 2 = 1) AS b, var_samp(value) FILTER (user_id % 2 = 0) AS va, var_samp(value) FILTER (user_id % 2 = 1) AS vb,
+count(value) FILTER (user_id % 2 = 0) AS na, count(value) FILTER (user_id % 2 = 1) AS nb FROM events GROUP BY event_type)
+SELECT event_type, round((b - a) / a * 100, 5) AS diff_percent, round((b - a) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 5) AS t, least(na, nb) AS samples FROM g""")
+def ab_t_test(spark, sf):
+    """Two groups compared by the t-test; its p-value is tested apart."""
+    rows = E.t_test(table(spark, sf, "events").withColumn("odd", F.col("user_id") % 2 == 1), "event_type", "odd", "value")
+    return rows.select("event_type", F.round("diff_percent", 5).alias("diff_percent"), F.round("t", 5).alias("t"), "samples")
+
+
+_AGENTS = ["Mozilla/5.0 (compatible; Googlebot/2.1)", "Mozilla/5.0 (X11; Linux)", "BINGBOT/2.0", "curl/8.0"]
+
+
+@query("SELECT event_id, agent FROM (SELECT event_id, list_extract([" + ", ".join(f"'{a}'" for a in _AGENTS) + "], (user_id % 4 + 1)::INT) AS agent FROM events) WHERE agent IS NOT NULL AND NOT regexp_matches(lower(agent), 'googlebot|bingbot') UNION ALL SELECT event_id, NULL FROM events WHERE user_id IS NULL")
+def crawler_agents(spark, sf):
+    """Events of users whose agent shows no crawler."""
+    agents = F.get(F.array(*map(F.lit, _AGENTS)), (F.col("user_id") % 4).cast("int"))
+    return V.wanted(table(spark, sf, "events").withColumn("agent", agents), "agent").select("event_id", "agent")
+
+
+def _lexicon_entries(spark) -> tuple[DataFrame, DataFrame]:
+    """A dictionary of the small lexicon's lemmata, with one sense's headword."""
+    rows = [("S", f"e{i}", [lemma.split("#")[0].capitalize()], [("s1", [stem + "s"])], f"entry of {lemma}", int(lemma[-1]) if "#" in lemma else None) for i, (lemma, stem, *_) in enumerate(STEMS)]
+    return D.build(spark.createDataFrame(rows, "dict string, id string, keys array<string>, derived array<struct<sense_id:string,orths:array<string>>>, entry string, number int"))
+
+
+_CLEAN = "replace(replace(lower(strip_accents(word)), 'ß', 'ss'), '''', '')"
+_ENTRIES = ", e(id, key, derived, number) AS (VALUES " + ", ".join(f"('e{i}', '{lemma.split('#')[0]}', '{stem}s', {lemma[-1] if '#' in lemma else 'NULL'})" for i, (lemma, stem, *_) in enumerate(STEMS)) + ") "
+
+
+@query(_TOKENS + _LEXICON + _ENTRIES + """SELECT word, id, bool_or(main) AS include_main, count(*) FILTER (NOT main) AS senses FROM (SELECT word, id, true AS main FROM words JOIN e ON """ + _CLEAN + """ = key UNION SELECT word, id, false FROM words JOIN e ON """ + _CLEAN + """ = derived) GROUP BY word, id""")
+def dict_entries(spark, sf):
+    """Dictionary entries of all words of the corpus."""
+    entries, orths = _lexicon_entries(spark)
+    return D.entries_for(_vocabulary(spark, sf), entries, orths).select("word", "id", "include_main", F.size("subsections").cast("long").alias("senses"))
+
+
+@query(_TOKENS + _LEXICON + _ENTRIES + """, f AS (SELECT word, id, 2 AS how FROM words JOIN e ON """ + _CLEAN + """ IN (key, derived)
+UNION ALL SELECT word, id, CASE WHEN key = """ + _CLEAN + """ THEN 1 ELSE 3 END FROM an JOIN e ON split_part(lemma, '#', 1) = key AND (NOT contains(lemma, '#') OR number IS NULL OR split_part(lemma, '#', 2) = number::VARCHAR))
+SELECT word, id, min(how) AS how FROM f GROUP BY word, id""")
+def dict_inflected(spark, sf):
+    """Entries under all words themselves and under the lemmata they can be forms of."""
+    entries, orths = _lexicon_entries(spark)
+    return D.by_inflection(_analyses(spark, sf), entries, orths, _vocabulary(spark, sf)).select("word", "id", "how")
+
+
+@query("SELECT ending, list_aggregate(list(DISTINCT infl ORDER BY infl), 'string_agg', ',') AS tables FROM (VALUES " + _values(ENDINGS) + ") e(infl, ending, mask) GROUP BY ending")
+def ending_index(spark, sf):
+    """The tables that have each ending."""
+    return L.ending_index(L.endings(spark, ENDINGS)).withColumn("tables", F.array_join("tables", ","))
+
+
+@query(_ORTHS + "SELECT dict, orth FROM (SELECT *, row_number() OVER (PARTITION BY dict ORDER BY clean_orth, orth) AS r FROM (SELECT DISTINCT dict, orth, clean_orth FROM orths WHERE starts_with(translate(clean_orth, 'vj', 'ui'), 'i'))) WHERE r <= 5")
+def dict_completions(spark, sf):
+    """The first five headwords of each dictionary that begin with i or j."""
+    return D.completions(_orths(spark, sf), "j", 5)
+
+
+@query()
+def html_nodes(spark, sf):
+    """Elements of all pages with what they hold."""
+    return M.child_profile(M.nodes(table(spark, sf, "pages"), "page_id", "html", kind="html"))
+
+
+@query()
+def analyzed_vocabulary(spark, sf):
+    """All analyses of the corpus's words, spelling variants and enclitics included."""
+    return L.crunch(_vocabulary(spark, sf), L.stems(spark, STEMS), L.endings(spark, ENDINGS))

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Parts of the names by which automated users show themselves, here among event types.
-AUTOMATED = ("bot", "crawl", "spider", "error")
+# Parts of the user agents by which automated users show themselves.
+AGENTS = ("Googlebot", "AdsBot-Google", "Slurp", "msnbot", "yandex.com/bots", "Baiduspider", "DuckDuckBot", "bingbot", "GPTBot", "ClaudeBot")
 
 
-def is_automated(name: Column) -> Column:
-    return F.lower(name).rlike("|".join(AUTOMATED))
+def is_automated(agent: Column, parts: tuple[str, ...] = AGENTS) -> Column:
+    """Whether a user agent holds one of ``parts``, whatever the case; a null one does not."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(F.lower(agent), F.lit(part.lower()))
+    return F.coalesce(found, F.lit(False))
 
 
-def wanted(events: DataFrame) -> DataFrame:
-    return events.where(~F.coalesce(is_automated(F.col("event_type")), F.lit(False))).withColumn("source", F.lit("web"))
+def wanted(events: DataFrame, agent: str = "event_type", parts: tuple[str, ...] = AGENTS, source: str = "web") -> DataFrame:
+    """Events of users that are not automated, with their source."""
+    return events.where(~is_automated(F.col(agent), parts)).withColumn("source", F.lit(source))
 
 
 def append_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, schema):

@@ -72,3 +72,25 @@ def test_stream_appends_wanted_events(spark, sf, tmp_path):
 def test_unknown_words_of_every_beginning(spark, sf):
     words = {r["word"] for r in registry.QUERIES["lexicon_unknown_words"](spark, sf).collect()}
     assert len({w[:2] for w in words}) > 1 and {r["word"] for r in registry.QUERIES["lexicon_anti_join"](spark, sf).collect()} == words
+
+
+def test_near_same_over_all_documents(spark, sf):
+    """A term near itself: anchors ascend and take the first partner whose pair was not the one before."""
+    import re
+
+    from glyphspan.functions import text as T
+
+    docs, want = pd.read_parquet(f"{sf}/documents.parquet"), []
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        words = [w.lower() for w in re.findall(f"[^{T._SET}]+", text or "")]
+        at, last = [i for i, w in enumerate(words) if w == "the"], None
+        for p in at:
+            for q in (q for q in at if q != p and abs(q - p) <= 5):
+                if {p, q} != last:
+                    last = {p, q}
+                    want.append((doc_id, p, q))
+                    break
+    got = sorted(tuple(r) for r in registry.QUERIES["prox_self"](spark, sf).select("doc_id", "pos", "other").collect())
+    assert got == sorted(want)
+    spans = registry._found(spark, sf, "the 5~ the").select("doc_id", "pos", "spans").collect()
+    assert sorted((r["doc_id"], r["pos"], next(s["pos"] for s in r["spans"] if s["pos"] != r["pos"])) for r in spans) == sorted(want)
