@@ -66,24 +66,36 @@ def case_variants(words: DataFrame, word: str = "word") -> DataFrame:
 VOWELS = "aeiouy"
 
 
-def consonant_variants(words: DataFrame, word: str = "word", i: bool = True, u: bool = True) -> DataFrame:
-    """(word, variant) of all spellings with some i as j and some u as v: those beside a vowel, and no u behind q.
+def _chars(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda c: c != "")
+
+
+def open_places(word: Column, i: bool = True, u: bool = True) -> Column:
+    """Places of a word whose i may be a j or whose u may be a v: those beside a vowel, and no u behind q.
 
     A word with a j has no such i, one with a v no such u.
     """
-    chars = F.filter(F.split(F.col(word), ""), lambda c: c != "")
-    low = F.filter(F.split(F.lower(F.col(word)), ""), lambda c: c != "")
+    low = _chars(F.lower(word))
     plain = F.transform(low, T.strip_diacritics)
     vowel = lambda at: F.coalesce(F.get(plain, at).isin(*VOWELS), F.lit(False))
     as_i = F.lit(i) & ~F.contains(F.lower(word), F.lit("j"))
-    as_u = F.lit(u) & ~F.contains(F.col(word), F.lit("v"))
+    as_u = F.lit(u) & ~F.contains(word, F.lit("v"))
 
     def open_(c: Column, at: Column) -> Column:
         beside = vowel(at - 1) | vowel(at + 1)
         return beside & ((as_i & (c == "i")) | (as_u & (c == "u") & ~F.coalesce(F.get(low, at - 1) == "q", F.lit(False))))
 
-    places = F.filter(F.transform(low, lambda c, at: F.when(open_(c, at), at)), lambda at: at.isNotNull())
-    found = words.select(F.col(word).alias("word"), chars.alias("chars"), places.alias("places")).where(F.size("places") > 0)
+    return F.filter(F.transform(low, lambda c, at: F.when(open_(c, at), at)), lambda at: at.isNotNull())
+
+
+def consonant_variants(words: DataFrame, word: str = "word", i: bool = True, u: bool = True) -> DataFrame:
+    """(word, variant) of all spellings with some of the open places' i as j and u as v.
+
+    Their number doubles with each such place; to find a word in a table of words, join by ``spelling_key`` and test with
+    ``spelled_so``, as ``crunch`` does.
+    """
+    places = open_places(F.col(word), i, u)
+    found = words.select(F.col(word).alias("word"), _chars(F.col(word)).alias("chars"), places.alias("places")).where(F.size("places") > 0)
     each = found.select("*", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("places")) - 1)).alias("chosen"))
 
     def spelled(c: Column, at: Column) -> Column:
@@ -94,25 +106,46 @@ def consonant_variants(words: DataFrame, word: str = "word", i: bool = True, u:
     return each.select("word", F.array_join(F.transform("chars", spelled), "").alias("variant"))
 
 
+def spelled_so(word: Column, places: Column, form: Column) -> Column:
+    """Whether ``form`` is the word, or one of its consonant variants."""
+    other = _chars(form)
+
+    def fits(c: Column, at: Column) -> Column:
+        f = F.get(other, at)
+        return F.coalesce((c == f) | (F.array_contains(places, at) & (F.translate(c, "iIuU", "jJvV") == f)), F.lit(False))
+
+    return (F.char_length(word) == F.char_length(form)) & F.forall(F.transform(_chars(word), fits), lambda ok: ok)
+
+
+def _one_letter(c: Column) -> Column:
+    return F.translate(c, "vVjJ", "uUiI")
+
+
 def crunch(words: DataFrame, stem_table: DataFrame, ending_table: DataFrame, irregular: DataFrame | None = None, word: str = "word") -> DataFrame:
     """(word, form, lemma, mask, enclitic, relaxed): all analyses of distinct words.
 
     A word is tried in both cases of its first letter, with i and u as consonants, and without each enclitic.  A stem
     (lemma, stem, infl, stem_mask, optional tags) needs an ending (infl, ending, end_mask) that allows its features; irregular
-    forms (lemma, form, mask) stand alone.
+    forms (lemma, form, mask) stand alone.  Words and forms meet where they are equal with v as u and j as i, and are then
+    compared letter by letter, so spelling variants need not be listed.
     """
     own = words.select(F.col(word).alias("word")).distinct()
-    cased = case_variants(own)
-    more = consonant_variants(cased.select(F.col("variant").alias("word")).distinct()).withColumnRenamed("word", "from")
-    spelled = cased.unionByName(cased.join(more.withColumnRenamed("variant", "spelled"), F.col("variant") == F.col("from")).select("word", F.col("spelled").alias("variant"), "relaxed"))
-    cut = without_enclitics(spelled.select("variant").distinct(), "variant").select(F.col("word").alias("variant"), F.col("base").alias("form"), "enclitic")
-    forms = cut.select("form").distinct()
-    at = forms.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("form")))).where("at >= 1")
-    split = at.select("form", F.substr("form", F.lit(1), F.col("at")).alias("stem"), F.substr("form", F.col("at") + 1).alias("ending"))
+    cased = case_variants(own).withColumns({"key": _one_letter(F.col("variant")), "places": open_places(F.col("variant"))})
+    options = F.array(F.lit(""), *[F.lit(e) for e in ENCLITICS])
+    tried = cased.withColumn("enclitic", F.explode(options))
+    fits = (F.col("enclitic") == "") | (F.endswith("key", _one_letter(F.col("enclitic"))) & (F.char_length("key") > F.char_length("enclitic")))
+    cut = tried.where(fits).withColumn("key", F.substr("key", F.lit(1), F.char_length("key") - F.char_length("enclitic")))
+    keys = cut.select("key").distinct()
+    at = keys.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("key"))))
+    split = at.select("key", F.substr("key", F.lit(1), F.col("at")).alias("stem_key"), F.substr("key", F.col("at") + 1).alias("end_key"))
     tags = F.col("tags") if "tags" in stem_table.columns else None
-    regular = split.join(stem_table, "stem").join(ending_table.drop("tags"), ["infl", "ending"]).select("form", "lemma", narrowed(F.col("stem_mask"), F.col("end_mask"), tags).alias("mask")).where("mask IS NOT NULL")
-    found = regular if irregular is None else regular.unionByName(forms.join(irregular, "form").select("form", "lemma", "mask"))
-    joined = spelled.join(cut, "variant").join(found, "form")
+    stems_ = stem_table.withColumn("stem_key", _one_letter(F.col("stem")))
+    endings_ = ending_table.select("infl", "ending", "end_mask", _one_letter(F.col("ending")).alias("end_key"))
+    regular = split.join(stems_, "stem_key").join(endings_, ["infl", "end_key"])
+    found = regular.select("key", F.concat("stem", "ending").alias("form"), "lemma", narrowed(F.col("stem_mask"), F.col("end_mask"), tags).alias("mask")).where("mask IS NOT NULL")
+    if irregular is not None:
+        found = found.unionByName(keys.join(irregular.withColumn("key", _one_letter(F.col("form"))), "key").select("key", "form", "lemma", "mask"))
+    joined = cut.join(found, "key").where(spelled_so(F.col("variant"), F.col("places"), F.concat("form", "enclitic")))
     return joined.groupBy("word", "form", "lemma", "mask", "enclitic").agg(F.min("relaxed").alias("relaxed"))
 
 
