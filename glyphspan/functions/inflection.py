@@ -123,3 +123,37 @@ def mask_from_tags(tags: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
     each = F.flatten(F.transform(tags, lambda t: F.split(F.lower(t), "/")))
     return F.aggregate(each, F.lit(0), lambda m, t: m.bitwiseOR(F.coalesce(F.try_element_at(table, t), F.lit(0))))
+
+
+# Features of tagged treebanks and the values they stand for; those without one are left out, as are further keys.
+TREEBANK = {
+    "Case": {"Nom": "case:nom", "Acc": "case:acc", "Gen": "case:gen", "Dat": "case:dat", "Abl": "case:abl", "Voc": "case:voc", "Loc": "case:loc"},
+    "Number": {"Sing": "number:sg", "Plur": "number:pl", "Plural": "number:pl"},
+    "Gender": {"Masc": "gender:masc", "Fem": "gender:fem", "Neut": "gender:neut"},
+    "Person": {"1": "person:1", "2": "person:2", "3": "person:3"},
+    "Voice": {"Act": "voice:act", "Pass": "voice:pass"},
+    "VerbForm": {"Part": "mood:part", "Gdv": "mood:ger", "Inf": "mood:inf", "Sup": "mood:sup", "Fin": None},
+    "Mood": {"Ind": "mood:ind", "Imp": "mood:imp", "Sub": "mood:subj", "Gdv": "mood:ger"},
+    "Tense": {"Pres": "tense:pres", "Fut": "tense:fut", "Pqp": "tense:plup", "Imp": None, "Perf": None, "Ftp": None, "Past": None},
+    "Degree": {"Pos": None, "Cmp": None, "Sup": None, "Abs": None},
+}
+IGNORED = ("InflClass", "PronType", "Aspect", "NumType", "NumValue", "Form", "Polarity", "AdvType", "Variant", "NameType", "Poss", "NumForm", "Reflex")
+TENSE_BY_ASPECT = {"Future,Perf": "tense:futureperfect", "Past,Perf": "tense:plup", "Past,Imp": "tense:impf"}
+
+
+def mask_from_treebank(tag: Column) -> Column:
+    """The mask of a text such as ``Case=Nom|Number=Sing``; unknown keys or values are an error, keys in brackets say nothing."""
+    told = F.filter(F.transform(F.split(tag, r"\|"), lambda p: F.btrim(p)), lambda p: p.rlike(r"^[^=\[]+=.+$"))
+    bits = {f"{k}={v}": mask_of(f) if f else 0 for k, some in TREEBANK.items() for v, f in some.items()}
+    table = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
+    ignored = lambda p: F.substring_index(p, "=", 1).isin(*IGNORED)
+
+    def add(m: Column, p: Column) -> Column:
+        bit = F.coalesce(F.try_element_at(table, p), F.raise_error(F.concat(F.lit("unknown feature "), p)).cast("int"))
+        return F.when(ignored(p), m).otherwise(m.bitwiseOR(bit))
+
+    plain = F.aggregate(told, F.lit(0), add)
+    value = lambda key: F.coalesce(F.get(F.filter(told, lambda p: F.startswith(p, F.lit(key + "="))), F.lit(0)), F.lit(""))
+    both = F.concat(F.substring_index(value("Tense"), "=", -1), F.lit(","), F.substring_index(value("Aspect"), "=", -1))
+    tense = F.try_element_at(F.create_map(*[x for k, f in TENSE_BY_ASPECT.items() for x in (F.lit(k), F.lit(mask_of(f)))]), both)
+    return F.when(tense.isNotNull(), plain.bitwiseAND(F.lit(~category_mask("tense"))).bitwiseOR(tense)).otherwise(plain)

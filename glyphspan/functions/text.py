@@ -131,3 +131,27 @@ def roman(number: Column) -> Column:
         low = F.repeat(F.lit(one), F.pmod(d, F.lit(5)))
         parts.append(F.when(d == 9, F.lit(one + ten)).when(d == 4, F.lit(one + five)).when(d >= 5, F.concat(F.lit(five), low)).otherwise(low))
     return F.concat(*parts)
+
+
+def from_roman(numeral: Column) -> Column:
+    """The number a Roman numeral stands for, or null: signs or pairs of signs (a lesser before a greater one) never ascend.
+
+    Pairs are read from the left: equal or ascending signs together, a greater sign alone.
+    """
+    values = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    signs = F.transform(F.filter(F.split(F.upper(numeral), ""), lambda c: c != ""), lambda c: F.try_element_at(table, c))
+    state = lambda total, held, most, ok: F.struct(total.alias("total"), held.alias("held"), most.alias("most"), ok.alias("ok"))
+    none = F.lit(None).cast("int")
+
+    def read(now: Column, m: Column) -> Column:
+        n = now["held"]
+        top = F.greatest(n, m)
+        waits = state(now["total"], m, now["most"], now["ok"])
+        alone = state(now["total"] + n, m, top, now["ok"] & (top <= now["most"]))
+        pair = state(now["total"] + F.when(n == m, n + m).otherwise(m - n), none, top, now["ok"] & (top <= now["most"]))
+        return F.when(n.isNull(), waits).when(n > m, alone).otherwise(pair)
+
+    begin = state(F.lit(0), none, F.lit(1 << 30), F.lit(True))
+    done = F.aggregate(signs, begin, read, lambda s: F.when(s["ok"] & (s["held"].isNull() | (s["held"] <= s["most"])), s["total"] + F.coalesce(s["held"], F.lit(0))))
+    return F.when(~F.exists(signs, lambda v: v.isNull()), done)

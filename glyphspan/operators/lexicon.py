@@ -183,7 +183,7 @@ def stems_from(lines: DataFrame, templates: list[str] | None = None) -> tuple[Da
     does ``stem@table``; all other lines are whole forms.
     """
     at = F.contains("head", F.lit("@"))
-    named = F.filter("rest", lambda t: t.isin(templates))[0] if templates else F.get("rest", F.lit(0))
+    named = F.get(F.filter("rest", lambda t: t.isin(templates)), F.lit(0)) if templates else F.get("rest", F.lit(0))
     table = F.when(at, F.substring_index("head", "@", -1)).otherwise(named)
     tags = F.when(at, F.col("rest")).otherwise(F.array_remove("rest", table))
     clean = lambda c: F.replace(c, F.lit("-"), F.lit(""))
