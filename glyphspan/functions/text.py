@@ -155,3 +155,17 @@ def from_roman(numeral: Column) -> Column:
     begin = state(F.lit(0), none, F.lit(1 << 30), F.lit(True))
     done = F.aggregate(signs, begin, read, lambda s: F.when(s["ok"] & (s["held"].isNull() | (s["held"] <= s["most"])), s["total"] + F.coalesce(s["held"], F.lit(0))))
     return F.when(~F.exists(signs, lambda v: v.isNull()), done)
+
+
+def slug(name: Column, special: dict[str, str] | None = None) -> Column:
+    """A name as part of an address: as ``special`` has it, else in lower case with underscores."""
+    plain = F.replace(F.lower(name), F.lit(" "), F.lit("_"))
+    if not special:
+        return plain
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in special.items() for x in pair]), name), plain)
+
+
+def short_before(headword: Column, *clusters: str) -> Column:
+    """Whether one of the consonant clusters stands behind a letter that is not marked as long."""
+    either = "|".join(clusters)
+    return headword.rlike(f"(?<=.)(?<![{_LONG[0]}{MACRON}])(?:{either})")

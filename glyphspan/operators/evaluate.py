@@ -119,3 +119,39 @@ def line_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, line, a, b): lines of two texts (key, line, text) that differ at the same place, or stand in one alone."""
     both = a.select(key, "line", F.col("text").alias("a")).join(b.select(key, "line", F.col("text").alias("b")), [key, "line"], "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(test, metric, mean_a, mean_b, diff_percent, t, freedom, samples, p_value): samples (test, metric, value) of two runs compared.
+
+    A test's samples of one metric are pooled, in however many rows they come.  Metrics of one run alone are left out.
+    """
+    both = a.select("test", "metric", "value", F.lit(False).alias("later")).unionByName(b.select("test", "metric", "value", F.lit(True).alias("later")))
+    rows = t_test(both.withColumn("k", F.struct("test", "metric")), "k", "later", "value").where("samples > 0")
+    return rows.select("k.*", *[c for c in rows.columns if c != "k"])
+
+
+def unmatched_tests(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(test) of run ``b`` that ``a`` does not have; comparing them would be a mistake."""
+    return b.select("test").distinct().join(a.select("test").distinct(), "test", "left_anti")
+
+
+def report(compared: DataFrame, metrics: list[str], most_p: float = 0.01, least_percent: float = 1.0) -> DataFrame:
+    """(metric, outcome, tests): in how many tests each of ``metrics`` improved (is less) or regressed beyond chance and noise."""
+    told = compared.where(F.col("metric").isin(metrics) & (F.col("p_value") <= most_p) & (F.abs("diff_percent") >= least_percent))
+    outcome = F.when(F.col("diff_percent") > 0, "regressed").otherwise("improved")
+    return told.groupBy("metric", outcome.alias("outcome")).agg(F.count_distinct("test").alias("tests"))
+
+
+def ordinals(df: DataFrame, key: str | Column, order: str, block: int = 100_000) -> DataFrame:
+    """``df`` with ``ordinal``: how many rows of the same key come before, by a whole number ``order`` that no two of them share.
+
+    Rows are counted in blocks of ``order`` first, so a key with a large part of all rows is not one task's work.
+    """
+    marked = df.withColumns({"__key": F.col(key) if isinstance(key, str) else key, "__block": F.floor(F.col(order) / block)})
+    sizes = marked.groupBy("__key", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__key", "__block", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__key", "__block").orderBy(order)) - 1
+    numbered = marked.withColumn("__at", inside).alias("m").join(starts.alias("s"), F.col("m.__key").eqNullSafe(F.col("s.__key")) & F.col("m.__block").eqNullSafe(F.col("s.__block")))
+    return numbered.select(*[f"m.{c}" for c in df.columns], (F.col("__start") + F.col("__at")).alias("ordinal"))

@@ -71,3 +71,9 @@ def posting_sizes(tokens: DataFrame) -> DataFrame:
 def author_intervals(docs: DataFrame) -> DataFrame:
     """(source, first_work, last_work, works)."""
     return docs.groupBy("source").agg(F.min("doc_id").alias("first_work"), F.max("doc_id").alias("last_work"), F.count(F.lit(1)).alias("works"))
+
+
+def holding_all(tokens: DataFrame, words: list[str], section: list[str]) -> DataFrame:
+    """(section) of tokens that hold every one of the words, for a search that then looks at these alone."""
+    wanted = sorted({w.lower() for w in words})
+    return tokens.where(F.col("norm").isin(wanted)).groupBy(*section).agg(F.count_distinct("norm").alias("n")).where(F.col("n") == len(wanted)).select(*section)

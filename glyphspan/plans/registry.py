@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspan.functions import text as T
+from glyphspan.operators import corrections as P
 from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
 from glyphspan.operators import language as N
 from glyphspan.operators import lexicon as L
 from glyphspan.operators import markup as M
+from glyphspan.operators import morphology as H
+from glyphspan.operators import references as R
 from glyphspan.operators import search as S
 from glyphspan.operators import tokens as K
 from glyphspan.plans import search as Q
@@ -502,3 +505,73 @@ def html_nodes(spark, sf):
 def analyzed_vocabulary(spark, sf):
     """All analyses of the corpus's words, spelling variants and enclitics included."""
     return L.crunch(_vocabulary(spark, sf), L.stems(spark, STEMS), L.endings(spark, ENDINGS))
+
+
+_CASE, _GENDER = 127, 15 << 9
+_TOGETHER = ((_CASE, 4 | 16), (_GENDER, 7 << 9))
+_MERGED = ", ".join(
+    f"c{i} AS (SELECT word, lemma, bit_or(mask) AS mask FROM c{i - 1} GROUP BY word, lemma, mask & {whole & ~some} = 0, CASE WHEN mask & {whole & ~some} = 0 THEN mask & ~{whole} ELSE mask END)"
+    for i, (whole, some) in enumerate(_TOGETHER, 1)
+)
+
+
+@query(_TOKENS + _LEXICON + ", c0 AS (SELECT * FROM an a WHERE NOT EXISTS (SELECT 1 FROM an b WHERE a.word = b.word AND a.lemma = b.lemma AND a.mask <> b.mask AND a.mask & b.mask = a.mask)), " + _MERGED + " SELECT word, lemma, mask FROM c2")
+def consolidated_analyses(spark, sf):
+    """Analyses of all words, like ones made one."""
+    return H.consolidated(_analyses(spark, sf), ["word", "lemma"])
+
+
+PREVERBS = [("in", "in"), ("im", "in"), ("th", "th"), ("o", "o"), ("es", "ex"), ("an", "ad"), ("ta", "ta"), ("ga", "ga")]
+_SPLITS = ", p(preverb, prefix) AS (VALUES " + _values(PREVERBS) + "), s AS (SELECT word, preverb, prefix, substr(word, length(preverb) + 1) AS base FROM words JOIN p ON starts_with(strip_accents(word), preverb) AND length(word) > length(preverb)) "
+
+
+def _splits(spark, sf) -> DataFrame:
+    return H.preverb_splits(_vocabulary(spark, sf), spark.createDataFrame(PREVERBS, "preverb string, prefix string"))
+
+
+@query(_TOKENS + _LEXICON + _SPLITS + "SELECT word, preverb, prefix, base FROM s")
+def preverb_splits(spark, sf):
+    """Words that begin with a preverb."""
+    return _splits(spark, sf)
+
+
+@query(_TOKENS + _LEXICON + _SPLITS + """SELECT s.word, preverb, prefix, base, base AS form, lemma, mask FROM s JOIN an ON an.word = base
+WHERE NOT (length(preverb) = length(prefix) AND preverb <> prefix AND preverb[:-2] = prefix[:-2]) OR starts_with(base, right(preverb, 1))""")
+def preverbed_words(spark, sf):
+    """Words whose rest behind a preverb has an analysis."""
+    verbs = _analyses(spark, sf).select("word", F.col("word").alias("form"), "lemma", "mask")
+    return H.preverbed(_splits(spark, sf), verbs)
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) >= 12 AND NOT contains(substr(text, 2), substr(text, 1, 12)) THEN '<' || substr(text, 13) ELSE text END AS text FROM conversations")
+def patched_turns(spark, sf):
+    """Turns whose first twelve letters, if they come only once, are replaced."""
+    texts = table(spark, sf, "conversations").select(F.col("conv_id").alias("work"), F.col("turn").alias("location"), F.lit(0).alias("part"), "text")
+    target = F.substr("text", F.lit(1), F.lit(12))
+    once = (F.char_length("text") >= 12) & ~F.contains(F.substr("text", F.lit(2)), target)
+    patches = texts.where(once).select("work", "location", target.alias("target"), F.lit("<").alias("replacement"))
+    return P.patched(texts, patches).select(F.col("work").alias("conv_id"), F.col("location").alias("turn"), "text")
+
+
+@query(_TOKENS + "SELECT doc_id FROM t WHERE norm IN ('of', 'the', 'and') GROUP BY doc_id HAVING count(DISTINCT norm) = 3")
+def documents_holding_all(spark, sf):
+    """Documents with all of three words."""
+    return K.holding_all(corpus(spark, sf).tokens, ["of", "The", "and"], ["doc_id"])
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal FROM documents")
+def ordinal_ids(spark, sf):
+    """Each document's number among those of its source."""
+    return E.ordinals(_docs(spark, sf), "source", "doc_id").select("doc_id", "ordinal")
+
+
+FILLERS = ["TO", "THE", "OF"]
+
+
+@query()
+def cross_references(spark, sf):
+    """What keys all parts' names find, written as references in several ways."""
+    parts = table(spark, sf, "part")
+    name = F.upper("p_name")
+    written = F.array(name, F.concat(F.lit("TO "), name, F.lit("ING")), F.concat(F.split(name, " ")[0], F.lit("ISE (see above)")), F.concat(F.lit("THE "), name, F.lit(", or other")))
+    return R.resolved(parts.select(F.explode(written).alias("term")), parts.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("key")), FILLERS)
