@@ -169,3 +169,8 @@ def short_before(headword: Column, *clusters: str) -> Column:
     """Whether one of the consonant clusters stands behind a letter that is not marked as long."""
     either = "|".join(clusters)
     return headword.rlike(f"(?<=.)(?<![{_LONG[0]}{MACRON}])(?:{either})")
+
+
+def has_letters(text: Column) -> Column:
+    """Whether a text is empty or has a Latin or Greek letter."""
+    return (text == "") | text.rlike(r"[\p{IsLatin}\p{IsGreek}]")

@@ -5,6 +5,10 @@ Tokens here keep every character: words are runs of letters and digits, any othe
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,36 @@ def suggested_forms(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     each = best.groupBy("token", "word", "form").agg(F.min(rank).alias("rank"))
     listed = each.groupBy("token", "word").agg(F.array_sort(F.collect_list("form")).alias("options"), F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "form"))).alias("guess"))
     return listed.select("token", "word", "options", F.when(F.size("options") > 1, F.col("guess.form")).alias("suggested"))
+
+
+def batches(rows: DataFrame, key: str, order: str, size: int, text: str = "text") -> DataFrame:
+    """(key, batch, text): a document's sections, ``size`` at a time and the rest, joined by line ends; null texts are left out."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    numbered = rows.where(F.col(text).isNotNull()).select(key, order, text, F.floor(number / size).alias("batch"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
+    return numbered.groupBy(key, "batch").agg(joined.alias(text))
+
+
+def processed(docs: DataFrame, key: str, processes: dict[str, Callable[[str], str]], text: str = "text") -> DataFrame:
+    """(key, processor, output, seconds, error): each process applied to each text inside tasks, with the time it took.
+
+    A process is a plain function of a text, sent to tasks.  If it fails, the row has the error's text and no output, and the
+    others go on; null texts have neither.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for at, value in zip(pdf["key"], pdf["text"], strict=True):
+                for name, process in processes.items():
+                    began, output, error = time.perf_counter(), None, None
+                    try:
+                        output = None if value is None else str(process(value))
+                    except Exception as e:  # whatever the process raises is its result
+                        error = f"{type(e).__name__}: {e}"
+                    rows.append((at, name, output, time.perf_counter() - began, error))
+            yield pd.DataFrame(rows, columns=[key, "processor", "output", "seconds", "error"])
+
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return plain.mapInPandas(run, f"{key} {kind}, processor string, output string, seconds double, error string")

@@ -243,3 +243,9 @@ def complete(stem_table: DataFrame, ending_table: DataFrame, prefix: str, limit:
     rest = F.substr(F.lit(prefix), F.char_length("stem") + 1)
     partial = heads.withColumn("rest", rest).join(ending_table, "infl").where(F.startswith("ending", F.col("rest"))).select("lemma")
     return whole.union(partial).distinct().orderBy("lemma").limit(limit)
+
+
+def standing_alone(analyses: DataFrame) -> DataFrame:
+    """Analyses (word, lemma, ..., enclitic) of lemmata that explain their word without an enclitic, too."""
+    plain = analyses.where(F.col("enclitic") == "").select("word", "lemma").distinct()
+    return analyses.join(plain, ["word", "lemma"], "left_semi").select(analyses.columns)

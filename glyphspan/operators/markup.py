@@ -272,3 +272,60 @@ def abbreviations(df: DataFrame, text: str, table: dict[str, str], ignore_case:
         return pd.Series([[(m.start(), len(m[0]), known[m[0].lower() if low else m[0]]) for m in pattern.finditer(t or "")] if keys else [] for t in texts], dtype=object)
 
     return df.withColumn("expansions", spans(F.col(text)))
+
+
+# Signs that markup writes as entities.
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+
+
+def _escaped(text: Column) -> Column:
+    for sign, entity in ENTITIES:
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def markup_of(tree: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, node, markup): each node of ``of`` with all inside it written as XML; read again it gives the same tree."""
+    inside = descendants(tree, of).unionByName(tree.join(of.select("doc_id", "node"), ["doc_id", "node"], "left_semi").withColumn("ancestor", F.col("node")))
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda a: F.concat(F.lit(" "), a["key"], F.lit('="'), _escaped(a["value"]), F.lit('"'))), "")
+    name, empty = F.col("name"), F.col("last") == F.col("node")
+    begin = F.when(name.isNull(), _escaped(F.col("text"))).otherwise(F.concat(F.lit("<"), name, F.coalesce(attrs, F.lit("")), F.when(empty, "/>").otherwise(">")))
+    end = F.when(name.isNotNull() & ~empty, F.concat(F.lit("</"), name, F.lit(">")))
+    # an element ends behind the last node in it, the deepest first
+    parts = F.array(F.struct(F.col("node").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("depth"), begin.alias("part")), F.struct(F.col("last").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("depth"), end.alias("part")))
+    each = inside.select("doc_id", "ancestor", F.explode(parts).alias("p")).where("p.part IS NOT NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    return each.groupBy("doc_id", F.col("ancestor").alias("node")).agg(joined.alias("markup"))
+
+
+def without_brackets(text: Column) -> Column:
+    """A short text without what stands in round or square brackets; a bracket of the other kind inside does not end it."""
+    begin = F.struct(F.lit("").alias("open"), F.lit("").alias("kept"))
+
+    def step(now: Column, c: Column) -> Column:
+        closer = F.when(c == "(", ")").when(c == "[", "]")
+        ends = F.startswith(now["open"], c) & (now["open"] != "")
+        less = F.substr(now["open"], F.lit(1), F.char_length(now["open"]) - 1)
+        opened = F.when(closer.isNotNull(), F.concat(now["open"], closer)).when(ends, less).otherwise(now["open"])
+        kept = F.when(closer.isNull() & ~ends & (now["open"] == ""), F.concat(now["kept"], c)).otherwise(now["kept"])
+        return F.struct(opened.alias("open"), kept.alias("kept"))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), begin, step, lambda now: now["kept"])
+
+
+def blurbs(tree: DataFrame, of: DataFrame, letters: int = 35, skipped: tuple[str, ...] = ("etym",)) -> DataFrame:
+    """(doc_id, node, blurb): how the text of each node begins, for outlines of entries.
+
+    Texts count up to the one that brings more than ``letters``, behind which stand dots; those inside ``skipped`` elements do not.
+    Then bracketed parts go, and all from the first colon on.  A node without text has no row.
+    """
+    hidden = tree.where(F.col("name").isin(*skipped))
+    texts = descendants(tree.where("name IS NULL"), of).select("doc_id", "ancestor", "node", "text")
+    gone = descendants(tree.where("name IS NULL").select("doc_id", "node"), hidden).select("doc_id", "node").distinct()
+    w = Window.partitionBy("doc_id", "ancestor").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    counted = texts.join(gone, ["doc_id", "node"], "left_anti").withColumn("upto", F.sum(F.char_length("text")).over(w))
+    first = counted.where(F.col("upto") - F.char_length("text") <= letters)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "")
+    each = first.groupBy("doc_id", F.col("ancestor").alias("node")).agg(joined.alias("text"), F.max("upto").alias("upto"))
+    shown = F.concat("text", F.when(F.col("upto") > letters, " ...").otherwise(""))
+    return each.select("doc_id", "node", F.substring_index(without_brackets(shown), ":", 1).alias("blurb"))

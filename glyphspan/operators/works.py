@@ -98,3 +98,10 @@ def _without(words: Column, enclitic: str) -> Column:
         return F.when(ends, F.array(F.substr(w, F.lit(1), F.char_length(w) - len(enclitic)), F.lit(enclitic))).otherwise(F.array(w))
 
     return F.flatten(F.transform(words, cut))
+
+
+def with_translations(works: DataFrame) -> DataFrame:
+    """Works (id, title, translator, is_translation, translation_id) with ``translation``: (id, translator, title) of the work named
+    by ``translation_id``, if that is a translation; else null."""
+    told = works.where("is_translation").select(F.col("id").alias("translation_id"), F.struct("id", "translator", "title").alias("translation"))
+    return works.join(told, "translation_id", "left").select(*works.columns, "translation")

@@ -575,3 +575,10 @@ def cross_references(spark, sf):
     name = F.upper("p_name")
     written = F.array(name, F.concat(F.lit("TO "), name, F.lit("ING")), F.concat(F.split(name, " ")[0], F.lit("ISE (see above)")), F.concat(F.lit("THE "), name, F.lit(", or other")))
     return R.resolved(parts.select(F.explode(written).alias("term")), parts.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("key")), FILLERS)
+
+
+@query("""WITH n AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, batch, string_agg(text, chr(10) ORDER BY turn) AS text FROM n GROUP BY conv_id, batch""")
+def turn_batches(spark, sf):
+    """Turns of each conversation, three at a time."""
+    return N.batches(table(spark, sf, "conversations"), "conv_id", "turn", 3)
