@@ -117,3 +117,14 @@ def processed(docs: DataFrame, key: str, processes: dict[str, Callable[[str], st
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return plain.mapInPandas(run, f"{key} {kind}, processor string, output string, seconds double, error string")
+
+
+def token_starts(text: Column, tokens: Column) -> Column:
+    """Array of the places (from 0) of tokens that follow each other in a text; null for one that is not there, which is passed over."""
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(now: Column, t: Column) -> Column:
+        at = F.call_function("locate", t, text, now["at"])
+        return F.struct(F.when(at > 0, at + F.char_length(t)).otherwise(now["at"]).alias("at"), F.concat(now["found"], F.array(F.when(at > 0, at - 1))).alias("found"))
+
+    return F.aggregate(tokens, begin, step, lambda now: now["found"])

@@ -329,3 +329,30 @@ def blurbs(tree: DataFrame, of: DataFrame, letters: int = 35, skipped: tuple[str
     each = first.groupBy("doc_id", F.col("ancestor").alias("node")).agg(joined.alias("text"), F.max("upto").alias("upto"))
     shown = F.concat("text", F.when(F.col("upto") > letters, " ...").otherwise(""))
     return each.select("doc_id", "node", F.substring_index(without_brackets(shown), ":", 1).alias("blurb"))
+
+
+def text_matches(tree: DataFrame, of: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, node, match, parts): what a regular expression finds in the text of each node of ``of``, whatever elements it runs across.
+
+    ``parts`` is an array of (node, start, stop): the stretches of the text nodes that the match is made of.
+    """
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[m.span() for m in re.finditer(pattern, t or "") if m[0]] for t in texts], dtype=object)
+
+    texts = descendants(tree.where("name IS NULL"), of).select("doc_id", "ancestor", F.struct("node", "text").alias("t"))
+    # a node's texts are one row, so places are counted without another shuffle
+    each = texts.groupBy("doc_id", "ancestor").agg(F.array_sort(F.collect_list("t")).alias("texts"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<node:int,start:int,stop:int>>").alias("spans"))
+
+    def place(now: Column, t: Column) -> Column:
+        stop = now["at"] + F.char_length(t["text"])
+        return F.struct(stop.alias("at"), F.concat(now["spans"], F.array(F.struct(t["node"].alias("node"), now["at"].alias("start"), stop.alias("stop")))).alias("spans"))
+
+    spans = F.aggregate("texts", begin, place, lambda now: now["spans"])
+    whole = F.array_join(F.transform("texts", lambda t: t["text"]), "")
+    matched = each.select("doc_id", F.col("ancestor").alias("node"), whole.alias("whole"), spans.alias("spans")).withColumn("m", F.explode(found("whole")))
+    inside = F.filter("spans", lambda s: (s["start"] < F.col("m.stop")) & (s["stop"] > F.col("m.start")))
+    cut = lambda s: F.struct(s["node"].alias("node"), (F.greatest(s["start"], F.col("m.start")) - s["start"]).alias("start"), (F.least(s["stop"], F.col("m.stop")) - s["start"]).alias("stop"))
+    return matched.select("doc_id", "node", F.substr("whole", F.col("m.start") + 1, F.col("m.stop") - F.col("m.start")).alias("match"), F.transform(inside, cut).alias("parts"))

@@ -69,3 +69,20 @@ def test_translations_letters_and_enclitics(spark):
     assert [r[0] for r in df.select(T.has_letters(F.col("t"))).collect()] == [True, False, True, True, False]
     analyses = spark.createDataFrame([("bene", "bonus", ""), ("bene", "be", "ne"), ("bene", "bonus", "ne")], "word string, lemma string, enclitic string")
     assert _rows(L.standing_alone(analyses)) == [("bene", "bonus", ""), ("bene", "bonus", "ne")]
+
+
+def test_matches_run_across_elements(spark):
+    text = "<a>one <b>tw<c>o</c></b> three<b>!</b> <d/>two</a>"
+    tree = M.nodes(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+    texts = {r["node"]: r["text"] for r in tree.where("name IS NULL").collect()}
+    got = M.text_matches(tree, tree.where("parent IS NULL"), r"two( three)?|!").collect()
+    assert [r["match"] for r in got] == ["two three", "!", "two"]
+    for r in got:
+        assert "".join(texts[p["node"]][p["start"] : p["stop"]] for p in r["parts"]) == r["match"]
+    assert len(got[0]["parts"]) == 3
+    assert M.text_matches(tree, tree.where("name = 'd'"), "two").count() == 0
+
+
+def test_token_starts(spark):
+    df = spark.createDataFrame([("a bab b", ["a", "b", "x", "b", "b"]), ("", ["a"]), ("ab", [])], "t string, w array<string>")
+    assert [r[0] for r in df.select(N.token_starts(F.col("t"), F.col("w"))).collect()] == [[0, 2, None, 4, 6], [None], []]
