@@ -10,7 +10,9 @@ from glyphspan.functions import checks
 from glyphspan.functions import inflection as I
 from glyphspan.functions import text as T
 from glyphspan.operators import corrections as P
+from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
+from glyphspan.operators import lexicon as L
 from glyphspan.operators import morphology as H
 from glyphspan.operators import references as R
 from glyphspan.operators import tokens as K
@@ -172,3 +174,12 @@ def test_ordinals_and_sections(spark):
     assert got == {i: sum(1 for j in range(i) if (j % 3 == 0) == (i % 3 == 0)) for i in range(25)}
     tokens = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "b"), (3, "a")], "s int, norm string")
     assert _rows(K.holding_all(tokens, ["A", "b"], ["s"])) == [(1,), (3,)]
+
+
+def test_spellings_meet_and_complete(spark):
+    words = spark.createDataFrame([(w,) for w in ("iuvat", "juuat", "juvat", "amat")], "word string")
+    groups = words.groupBy(L.spelling_key(F.col("word")).alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    assert _rows(groups) == [("iuuat", 3)]
+    orths = D.headwords(spark.createDataFrame([(1, "Iulius"), (2, "jam"), (3, "ut"), (4, "vt")], "id int, key string"), "d", "id", "key")
+    assert _rows(D.completions(orths, "j")) == [("d", "Iulius"), ("d", "jam")]
+    assert _rows(D.completions(orths, "ut")) == [("d", "ut"), ("d", "vt")]
