@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspan.llm import ann, bpe, chat, langid, linededup, media, packing, quality, simhash, warc
+from glyphspan.llm import ann, bpe, chat, importance, langid, linededup, media, packing, quality, simhash, warc
 from glyphspan.llm.common import remainder, stored
 
 FINAL_ID = 1
@@ -169,8 +169,45 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs, removed="removed_lines").select("doc_id", "removed_lines", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw five of a hundred documents of at least 20 words by their likeness to the benchmark."""
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target, keep=["doc_id"])
+
+
+#: CRC-32 by half bytes, the lower half first: the state's lower four bits and the digit choose one of 16 values.
+OP11_SQL = r"""
+WITH halves AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [1, 2, 3, 4]::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(16))::BIGINT AS i))
+), texts AS (
+  SELECT 'd' AS kind, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT kind, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM texts
+), features AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]), list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) AS f FROM words
+), counted AS (SELECT kind, r, f, count(*) AS n FROM features GROUP BY ALL
+), hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), bucketed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h)), lambda i: strpos('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1)),
+    lambda a, b: xor(a >> 4, t[(xor(a, b) & 15) + 1])), 4294967295) % 10000 AS bucket FROM hexed, halves
+), placed AS (SELECT kind, r, bucket, n FROM counted JOIN bucketed USING (f)
+), sums AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM placed GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS g FROM sums
+), weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM placed JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, r, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE kind = 'd'
+), placed_rows AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 5 // 100 THEN place END AS rank FROM placed_rows
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_language_id, op3_quality_crf, op4_simhash, op5_ann_cross_polytope, op6_bpe, op7_packing, op8_warc, op9_progressive_jpeg, op10_line_dedup)
+    for f in (op1_chat_format, op2_language_id, op3_quality_crf, op4_simhash, op5_ann_cross_polytope, op6_bpe, op7_packing, op8_warc, op9_progressive_jpeg, op10_line_dedup, op11_importance_resampling)
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_warc": OP8_SQL, "op11_importance_resampling": OP11_SQL}
