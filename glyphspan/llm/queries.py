@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspan.llm import ann, bpe, chat, importance, langid, linededup, media, packing, quality, simhash, warc
+from glyphspan.llm import alignment, ann, bpe, chat, importance, langid, linededup, media, packing, quality, simhash, urlfilter, warc
 from glyphspan.llm.common import remainder, stored
 
 FINAL_ID = 1
@@ -206,8 +206,44 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (
 """
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+#: The small labelled table: sites of these names under several hosts and paths, the first to be blocked, the second allowed.
+BLOCKED_SITES = "casino-royal bigwin-casino poker-bets online-bets free-spins bet-win cheap-meds pills-online discount-pills adult-video xxx-cams adult-chat ad-track click-tracker ads-server spam-link link-farm seo-farm free-money win-prize cheap-watches free-ringtones".split()
+ALLOWED_SITES = "library museum university weather thenews theherald nationalpost gardening recipes theatre history science mathematics physics rivertown northern southern mountain anderson thompson peterson healthline cityhall shorelines fishing farmers-market bookstore adventure openforum trainstation".split()
+URL_HEADS = ("", "www.", "blog.", "m.")
+URL_ENDS = ("example.com", "example.org", "example.net")
+URL_PATHS = ("/", "/en/12", "/de/345.html", "/fr/6789/", "/es/7", "/en/index")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 if to be blocked): every site once under each head; ends and paths take turns, so they tell nothing."""
+    rows = []
+    for blocked, sites in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)):
+        for i, site in enumerate(sites):
+            for j, head in enumerate(URL_HEADS):
+                rows.append((f"http{'s' if (i + j) % 2 else ''}://{head}{site}.{URL_ENDS[(i + j) % 3]}{URL_PATHS[(i + 2 * j) % 6]}", blocked))
+    return rows
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge the urls of all pages by the rules, and by what a small labelled table teaches where no rule fits."""
+    model = urlfilter.learn(spark.createDataFrame(labelled_urls(), "url string, blocked int"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), model, rules)
+    return judged.select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of a byte-level BPE and of a SentencePiece model in all documents, with the corpus' counts of linked ids."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, a, b, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_language_id, op3_quality_crf, op4_simhash, op5_ann_cross_polytope, op6_bpe, op7_packing, op8_warc, op9_progressive_jpeg, op10_line_dedup, op11_importance_resampling)
+    for f in (op1_chat_format, op2_language_id, op3_quality_crf, op4_simhash, op5_ann_cross_polytope, op6_bpe, op7_packing, op8_warc, op9_progressive_jpeg, op10_line_dedup, op11_importance_resampling, op12_url_filter, op13_alignment)
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op8_warc": OP8_SQL, "op11_importance_resampling": OP11_SQL}
