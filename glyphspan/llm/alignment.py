@@ -4,29 +4,31 @@ Tokenising gives each text's ids and the byte offsets where its tokens end, for
 model with byte fallback (B).  From there on Spark's higher-order functions do all: the offsets where both end
 (``array_intersect``) cut the tokens into groups; between two neighbouring offsets where either ends (``array_union``) lies
 exactly one overlap of an A and a B token, so each such stretch is one link.  Which token covers an offset is read from an
-array with an entry for each byte, made by ``sequence``, ``array_repeat`` and ``flatten``, so a text costs its length.
+array with an entry for each byte, made by ``array_repeat`` and ``flatten``, so a text costs its length.
 
-Tokenising looks up the words that a worker met before (a piece of text from a space after a non-space up to the next such
-place, which neither tokenizer's tokens cross; that this holds for the vocabulary is checked, otherwise texts are encoded
-whole), up to ``WORDS`` of them.
+Tokenising cuts texts into words (from a space after a non-space up to the next such place; neither tokenizer's tokens cross
+these places: that this holds for the vocabularies is checked, otherwise a text is one word).  A worker looks up the tokens
+of words that it met before, up to ``WORDS`` of them, and hands texts over in blocks of about ``BLOCK`` characters: each
+different word of a block once, with its tokens, and each text as places of words.  So words are aligned once in a block.
 
 Counts of linked id pairs are added up over the corpus.  To give each link its pair's count, the commonest pairs, up to
 ``HOT`` of them, are broadcast, and the links of the rest are joined by their pair: so no frequent pair is dealt to one task,
 and what is broadcast is bounded whatever the corpus.
 
-Scale: texts are read once and not shuffled; stored are links as two arrays of ids (dictionary-encoded) and a digest of the
+Scale: texts are read once and not shuffled; stored are links as arrays of pairs of ids (dictionary-encoded) and a digest of the
 groups.  Shuffled are counts of pairs, the links of uncommon pairs, and a row for each text.
 
 Cases: a text that is null or empty, or whose joined token bytes are not its own (as where B reads U+2581 as a space, or
 changes what it reads), has no tokens: zeros and an empty digest; special tokens' strings are ordinary text; repeated rows
 and rows without id are each aligned; an empty table gives none; columns of ``keep`` pass through, and an existing name of
-a new column is an error; a text must fit in a task (about 30 bytes for each of its bytes while it is aligned).
+a new column is an error; a text must fit in a task (about 50 bytes for each of its bytes while it is aligned).
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
@@ -37,20 +39,21 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
-from tokenizers import Tokenizer
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from glyphspan.llm.common import fresh, let, stored, unused
 
 #: Words whose tokens a worker keeps.
-WORDS = 300_000
+WORDS = 200_000
 #: Pairs of ids that are broadcast.
 HOT = 400_000
-#: Bytes of texts that are handed over at once.
-BATCH = 2_000_000
+#: Characters of texts that are handed over at once.
+BLOCK = 2_000_000
 #: A space after what is no white space: no token of either tokenizer reaches over it.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _LOOSE = re.compile(r"\s ")
+#: What is told of a word: ids, sizes in bytes and byte ends of the tokens of both.
+TOKENS = ("a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -105,25 +108,35 @@ class Words:
         return self.ids[np.repeat(self.start[at] - first, many) + np.arange(many.sum())], many
 
 
+def json_vocabulary(path: str) -> list[bytes]:
+    """The bytes of each entry of a byte-level vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary, alphabet = json.load(f)["model"]["vocab"], byte_alphabet()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    return out
+
+
+def rank_vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+
+
 class Pair:
     """Both tokenizers of a worker."""
 
     def __init__(self, a_path: str, b_path: str, a_ranks: str | None, pattern: str | None):
-        whole = Tokenizer.from_file(a_path)
-        whole.encode_special_tokens = True
-        vocabulary = whole.get_vocab(with_added_tokens=False)
-        alphabet = byte_alphabet()
-        a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        if a_ranks is not None:  # the same vocabulary as ranks, which another library encodes faster
-            with open(a_ranks, "rb") as lines:
-                ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-            if any(a_bytes[r] != t for t, r in ranks.items()):
-                raise ValueError(f"{a_ranks} holds another vocabulary than {a_path}")
+        if a_ranks is not None:
+            ranks = rank_vocabulary(a_ranks)
+            a_bytes = sorted(ranks, key=ranks.__getitem__)
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             encode_a = lambda words: [fast.encode_ordinary(w) for w in words]
         else:
+            from tokenizers import Tokenizer  # its memory is spared where ranks are given
+
+            whole, a_bytes = Tokenizer.from_file(a_path), json_vocabulary(a_path)
+            whole.encode_special_tokens = True
             encode_a = lambda words: [e.ids for e in whole.encode_batch(words, add_special_tokens=False)]
         pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
@@ -157,25 +170,26 @@ class Pair:
         self.b.add(new)
         return places, np.array([len(w) for w in each], np.int64)
 
-    def tokens(self, texts: list[str]) -> list[pa.Array]:
-        """Columns a, a_ends, b, b_ends of texts: lists of ids and byte offsets, empty for texts that are not given back."""
+    def block(self, texts: list[str]) -> tuple[pa.StructArray, list[pa.Array]]:
+        """(tokens of the block's different words; n_a, n_b and the places of the words of each text, none if a text is not given back)."""
         at, words = self.look_up(texts)
         text_of = np.repeat(np.arange(len(texts)), words)
         right = np.array([t != "" for t in texts], bool)
         right[text_of[~(self.a.right[at] & self.b.right[at])]] = False
         at, text_of = at[right[text_of]], text_of[right[text_of]]
-        columns = []
+        different, place = np.unique(at, return_inverse=True)
+        tokens, counts = [], []
         for side in (self.a, self.b):
-            ids, many = side.of(at)
-            owner = np.repeat(text_of, many)
+            ids, many = side.of(different)
+            stop = np.cumsum(many)
             run = np.cumsum(side.size_of[ids], dtype=np.int64)
-            count = np.bincount(owner, minlength=len(texts))
-            stop = np.cumsum(count)
-            before = np.concatenate([[0], run])[stop - count]
-            ends = (run - before[owner]).astype(np.int32)
+            ends = run - np.repeat(np.concatenate([[0], run])[stop - many], many)
             offsets = pa.array(np.concatenate([[0], stop]).astype(np.int32))
-            columns += [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends))]
-        return columns
+            tokens += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, side.size_of[ids], ends)]
+            counts.append(pa.array(np.bincount(text_of, side.many[at], len(texts)).astype(np.int64)))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))]).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))
+        return pa.StructArray.from_arrays(tokens, names=list(TOKENS)), [*counts, places]
 
 
 @functools.lru_cache(maxsize=2)
@@ -183,37 +197,39 @@ def _pair(*how) -> Pair:
     return Pair(*how)
 
 
-def tokenised(df: DataFrame, how: tuple, text: str, keep: list[str], names: list[str]) -> DataFrame:
-    """The columns of ``keep`` and four arrays: ids and byte ends of both tokenizers, all empty where a text has no tokens."""
-    kept = df.select(*keep, text) if text not in keep else df.select(keep)
-    schema = kept.select(keep).schema
-    for n in names:
-        schema = schema.add(n, ArrayType(IntegerType()))
+def tokenised(df: DataFrame, how: tuple, text: str, keep: list[str]) -> DataFrame:
+    """Blocks of texts: words (tokens of the different words) and texts (the columns of ``keep`` as ``row``, n_a, n_b, words)."""
+    kept = df.select(F.struct(*keep).alias("row"), F.col(text).alias("text")) if keep else df.select(F.struct(F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
+    ints = ArrayType(IntegerType())
+    words = StructType([StructField(n, ints) for n in TOKENS])
+    texts = StructType([kept.schema["row"], StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("words", ints)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*how)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= BATCH or i + 1 == len(texts):
-                    some = batch.slice(start, i + 1 - start)
-                    columns = pair.tokens(texts[start : i + 1])
-                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *columns], names=[*keep, *names])
-                    start, size = i + 1, 0
+            values, start, size = [], 0, 0
+            for i, t in enumerate(batch.column("text")):
+                values.append(t.as_py() or "")
+                size += len(values[-1])
+                if size >= BLOCK or i + 1 == len(batch):
+                    tokens, columns = pair.block(values)
+                    told = pa.StructArray.from_arrays([batch.column("row").slice(start, len(values)), *columns], names=["row", "n_a", "n_b", "words"])
+                    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                    yield pa.RecordBatch.from_arrays([one(tokens), one(told)], names=["words", "texts"])
+                    values, start, size = [], i + 1, 0
 
-    return kept.mapInArrow(encode, schema)
+    return kept.mapInArrow(encode, StructType([StructField("words", ArrayType(words)), StructField("texts", ArrayType(texts))]))
 
 
-def _covering(ends: Column) -> Column:
+def _covering(sizes: Column) -> Column:
     """For each byte the place of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))))
+    return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
 
 
-def _link_ids(ids: Column, covering: Column, stops: Column) -> Column:
-    """The ids that cover the stretches which end at ``stops``."""
-    return F.transform(stops, lambda e: F.get(ids, F.get(covering, e - 1)))
+def _links(a: Column, of_a: Column, b: Column, of_b: Column, stops: Column) -> Column:
+    """The ids that cover the stretches which end at ``stops``, A's in the upper and B's in the lower half of a number."""
+    at = lambda ids, covering, e: F.get(ids, F.get(covering, e - 1))
+    return F.transform(stops, lambda e: F.shiftleft(at(a, of_a, e).cast("long"), 32).bitwiseOR(at(b, of_b, e)))
 
 
 def _group_ids(ids: Column, covering: Column, common: Column) -> Column:
@@ -227,16 +243,27 @@ def _group_ids(ids: Column, covering: Column, common: Column) -> Column:
     return let(ids.cast("array<string>"), lambda names: let(lasts, lambda lasts: told(names, lasts)))
 
 
-def aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
-    """Struct of the A ids and the B ids of all links, in order of their bytes, the number of groups, and the groups as text."""
+def aligned(a: Column, a_sizes: Column, a_ends: Column, b: Column, b_sizes: Column, b_ends: Column) -> Column:
+    """Struct of all links, in order of their bytes, and the groups as text."""
 
     def told(of_a: Column, of_b: Column) -> Column:
-        links = let(F.sort_array(F.array_union(a_ends, b_ends)), lambda stops: F.struct(_link_ids(a, of_a, stops).alias("a"), _link_ids(b, of_b, stops).alias("b")))
+        links = let(F.sort_array(F.array_union(a_ends, b_ends)), lambda stops: _links(a, of_a, b, of_b, stops))
         joined = lambda common: F.array_join(F.zip_with(_group_ids(a, of_a, common), _group_ids(b, of_b, common), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-        groups = let(F.array_intersect(a_ends, b_ends), lambda common: F.struct(F.size(common).cast("long").alias("n"), joined(common).alias("text")))
-        return F.struct(links.alias("links"), groups.alias("groups"))
+        return F.struct(links.alias("links"), let(F.array_intersect(a_ends, b_ends), joined).alias("groups"))
+
+    return let(_covering(a_sizes), lambda of_a: let(_covering(b_sizes), lambda of_b: told(of_a, of_b)))
+
+
+def linked_texts(blocks: DataFrame) -> DataFrame:
+    """(row, n_a, n_b, links, groups as text) of each text of the blocks."""
+    done = F.transform("words", lambda w: aligned(*(w[n] for n in TOKENS)))
+
+    def text(t: Column, done: Column) -> Column:
+        of = lambda pick: F.transform(t["words"], lambda i: pick(F.get(done, i)))
+        links = F.flatten(of(lambda w: w["links"]))
+        return F.struct(t["row"].alias("row"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), links.alias("links"), F.array_join(of(lambda w: w["groups"]), ";").alias("groups"))
 
-    return let(_covering(a_ends), lambda of_a: let(_covering(b_ends), lambda of_b: told(of_a, of_b)))
+    return blocks.select(F.explode(let(done, lambda done: F.transform("texts", lambda t: text(t, done)))).alias("t")).select("t.*")
 
 
 def align(
@@ -254,17 +281,22 @@ def align(
     ``a_ranks`` and ``pattern`` may name the same vocabulary as A's in the form of ranks, which is encoded faster."""
     keep = df.columns if keep is None else keep
     unused(df.select(keep), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-    names = [fresh(df, n) for n in ("__a", "__a_ends", "__b", "__b_ends")]
-    row, links, found = (fresh(df, n) for n in ("__row", "__links", "__aligned"))
-    tokens = tokenised(df, (a_path, b_path, a_ranks, pattern), text, keep, names)
+    if a_ranks is not None:
+        names = json_vocabulary(a_path)
+        if any(r >= len(names) or names[r] != t for t, r in rank_vocabulary(a_ranks).items()):
+            raise ValueError(f"{a_ranks} holds another vocabulary than {a_path}")
+    row, links = fresh(df, "__row"), fresh(df, "__links")
     size = lambda c: F.size(c).cast("long")
-    told = tokens.select(*keep, *(size(names[i]).alias(n) for i, n in ((0, "n_a"), (2, "n_b"))), aligned(*map(F.col, names)).alias(found), F.monotonically_increasing_id().alias(row))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col(found)["groups"]["text"].cast("binary"), 256)).otherwise("")
-    texts = stored(told.select(*keep, "n_a", "n_b", F.col(found)["groups"]["n"].alias("n_groups"), F.col(found)["links"].alias(links), digest.alias("groups_sha256"), row), "links", "zstd")
-    each = texts.select(row, F.explode(F.arrays_zip(F.col(links)["a"].alias("a"), F.col(links)["b"].alias("b"))).alias("l")).select(row, "l.a", "l.b")
-    counts = stored(each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    told = linked_texts(tokenised(df, (a_path, b_path, a_ranks, pattern), text, keep))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    # each group of n and m tokens has n + m - 1 links, as no end inside it is common
+    groups = F.col("n_a") + F.col("n_b") - size("links")
+    told = told.select(*(F.col("row")[c].alias(c) for c in keep), "n_a", "n_b", groups.alias("n_groups"), F.col("links").alias(links), digest.alias("groups_sha256"), F.monotonically_increasing_id().alias(row))
+    texts = stored(told, "links", "zstd", **{"parquet.dictionary.page.size": 1 << 24})
+    each = texts.select(row, F.explode(links).alias("pair"))
+    counts = stored(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pairs").withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row for each entry of B's vocabulary
-    pairs = stored(counts.join(F.broadcast(most), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "counts")
+    pairs = stored(counts.join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "counts")
     # the commonest pairs, as many halvings of the count down as stay within the bound
     bits = F.floor(F.log2("n")).cast("int")
     least, within = 64, 0
@@ -275,11 +307,11 @@ def align(
         least = r["bits"]
     common, rest = pairs.where(bits >= least), pairs.where(bits < least)
     sums = [F.sum("n").alias("count_sum"), F.sum("best").alias("n_best")]
-    found = each.join(F.broadcast(common), ["a", "b"]).groupBy(row).agg(*sums)
+    found = each.join(F.broadcast(common), "pair").groupBy(row).agg(*sums)
     if not rest.isEmpty():
-        left = each.join(F.broadcast(common.select("a", "b")), ["a", "b"], "left_anti").groupBy(row, "a", "b").agg(F.count(F.lit(1)).alias("times"))
-        seldom = left.join(rest.hint("merge"), ["a", "b"]).select(row, (F.col("n") * F.col("times")).alias("n"), (F.col("best") * F.col("times")).alias("best"))
+        left = each.join(F.broadcast(common.select("pair")), "pair", "left_anti").groupBy(row, "pair").agg(F.count(F.lit(1)).alias("times"))
+        seldom = left.join(rest.hint("merge"), "pair").select(row, (F.col("n") * F.col("times")).alias("n"), (F.col("best") * F.col("times")).alias("best"))
         found = found.unionByName(seldom.groupBy(row).agg(*sums)).groupBy(row).agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    out = texts.select(*keep, "n_a", "n_b", "n_groups", size(F.col(links)["a"]).alias("n_links"), "groups_sha256", row).join(found, row, "left")
+    out = texts.select(*keep, "n_a", "n_b", "n_groups", size(links).alias("n_links"), "groups_sha256", row).join(found, row, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select(*keep, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

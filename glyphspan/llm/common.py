@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy", **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphspan-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, compression=codec)
+    df.write.options(**options).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

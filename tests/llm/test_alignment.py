@@ -101,19 +101,22 @@ def test_few_words_are_kept(spark, both, monkeypatch):
     pair = alignment.Pair(A, B, RANKS, public_tokenizers.PATTERN)
     assert pair.by_word
     texts = [f"some words{i} and the  same \n again " * 3 for i in range(30)]
-    for some in (texts[:1], texts[1:3], texts[3:], texts):
-        a, a_ends, b, b_ends = (c.to_pylist() for c in pair.tokens(some))
+    for by_word, some in ((True, texts[:1]), (True, texts[1:3]), (True, texts[3:]), (True, texts), (False, texts)):
+        pair.by_word = by_word
+        words, (n_a, n_b, places) = pair.block(some)
+        words = words.to_pylist()
         for i, t in enumerate(some):
-            ta, tb = _ranges(both, t)
-            assert list(zip(a[i], a_ends[i], strict=True)) == [(x[0], x[2]) for x in ta] and list(zip(b[i], b_ends[i], strict=True)) == [(x[0], x[2]) for x in tb]
-    pair.by_word = False
-    pair.at.clear(), pair.a.clear(), pair.b.clear()
-    assert [c.to_pylist() for c in pair.tokens(texts)] == [c for c in (a, a_ends, b, b_ends)]
+            for side, n, want in zip("ab", (n_a, n_b), _ranges(both, t), strict=True):
+                got, at = [], 0
+                for w in (words[j] for j in places[i].as_py()):
+                    got += [(x, at + e) for x, e in zip(w[side], w[side + "_ends"], strict=True)]
+                    at = got[-1][1]
+                assert got == [(x[0], x[2]) for x in want] and n[i].as_py() == len(want)
 
 
-def test_other_ranks_are_refused():
+def test_other_ranks_are_refused(spark):
     with pytest.raises(ValueError):
-        alignment.Pair(A, B, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+        alignment.align(spark.createDataFrame([(1, "a")], "doc_id long, text string"), A, B, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def test_cases(spark):
