@@ -123,11 +123,35 @@ def children(tree: DataFrame, of: DataFrame, name: str | None = None) -> DataFra
     return found.where(F.col("name") == name) if name else found
 
 
+def carried_marks(tree: DataFrame, of: DataFrame, columns: list[str] | None = None, own: bool = False) -> DataFrame:
+    """The columns of ``tree`` and marks: the nodes of ``of`` (doc_id, node, last, depth and ``columns``) that each node lies in, the outermost first; with ``own`` also itself.
+
+    Of the marks of one depth a node can lie only in the one that began last, so a single ordered window over a document's
+    nodes carries one mark for each depth; what is paired are nodes and the marks they do lie in."""
+    deepest = of.agg(F.max("depth")).first()[0]
+    mark = F.struct("node", "last", *(columns or []))
+    rows = tree.select(*tree.columns, F.lit(1).alias("__kind"), F.lit(None).cast(of.select(mark.alias("m")).schema["m"].dataType).alias("__mark"), F.lit(None).cast("int").alias("__deep"))
+    kinds = dict(tree.dtypes)
+    key = [c if c in ("doc_id", "node") else F.lit(None).cast(kinds[c]).alias(c) for c in tree.columns]
+    marks = of.select(*key, F.lit(0).alias("__kind"), mark.alias("__mark"), F.col("depth").cast("int").alias("__deep"))
+    w = Window.partitionBy("doc_id").orderBy("node", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.last(F.when(F.col("__deep") == d, F.col("__mark")), ignorenulls=True).over(w) for d in range(0 if deepest is None else deepest + 1)]
+    inside = lambda m: m.isNotNull() & (m["last"] >= F.col("node")) & (F.lit(own) | (m["node"] < F.col("node")))
+    held = F.array(*carried) if carried else F.array(F.col("__mark"))
+    told = rows.unionByName(marks).withColumn("__held", held).where("__kind = 1")
+    return told.select(*tree.columns, F.filter("__held", inside).alias("marks"))
+
+
 def descendants(tree: DataFrame, of: DataFrame, name: str | None = None) -> DataFrame:
-    """(ancestor, and the columns of ``tree``) of all nodes inside those of ``of``."""
+    """(ancestor, and the columns of ``tree``) of all nodes inside those of ``of`` (rows of a node table)."""
     tree = tree.where(F.col("name") == name) if name else tree
-    above = of.select("doc_id", F.col("node").alias("ancestor"), F.col("last").alias("__last"))
-    return tree.join(above, "doc_id").where("node > ancestor AND node <= __last").drop("__last")
+    return carried_marks(tree, of).select(*tree.columns, F.explode("marks").alias("__m")).withColumn("ancestor", F.col("__m.node")).drop("__m")
+
+
+def ancestors(tree: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, node, above): the elements that each node of ``of`` lies in, as (node, name), the outermost first."""
+    elements = tree.where("name IS NOT NULL")
+    return carried_marks(of, elements, ["name"]).select("doc_id", "node", F.transform("marks", lambda m: F.struct(m["node"].alias("node"), m["name"].alias("name"))).alias("above"))
 
 
 def text_of(tree: DataFrame, of: DataFrame) -> DataFrame:

@@ -250,13 +250,28 @@ EXCLUDED = {
 DEMANDED = {"supine": {"gender": ("neuter",), "case": ("nominative", "dative")}, "imperative": {"tense": ("present", "future")}}
 
 
+def _demanded(c: Constraint) -> list[Atom]:
+    """The atoms that all must hold for a constraint to hold: its own and those of an `and` inside an `and`, none below `or` and `!`."""
+    return [a for p in c.parts for a in _demanded(p)] if isinstance(c, All) else [] if isinstance(c, (Any, Not)) else [c]
+
+
+def _parts(c: Constraint) -> list[Constraint]:
+    """The parts of an `and`, an `and` inside it taken apart."""
+    return [x for p in c.parts for x in _parts(p)] if isinstance(c, All) else [c]
+
+
 def impossible(c: Constraint) -> bool:
-    """True for an `and` that no single token can meet: two lemmata, a noun's and a verb's category, two values of one
-    category, or a mood and what it excludes."""
+    """True for a constraint that no single token can meet: an `and` of two lemmata, of a noun's and a verb's category, of two
+    values of one category, of a mood and what it excludes, of something and its negation, or with an impossible part; an
+    `or` of which all parts are so."""
+    if isinstance(c, Any):
+        return all(map(impossible, c.parts))
     if not isinstance(c, All):
         return False
-    every = atoms(c)
-    if sum(isinstance(a, Lemma) for a in every) > 1:
+    parts, every = _parts(c), _demanded(c)
+    if any(impossible(p) for p in parts) or any(isinstance(p, Not) and p.inner in parts for p in parts):
+        return True
+    if len({a.value for a in every if isinstance(a, Lemma)}) > 1:
         return True
     features = {a.feature for a in every if isinstance(a, Inflection) and a.feature.category != "degree"}
     found = {f.category: f.value for f in features}

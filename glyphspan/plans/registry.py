@@ -17,6 +17,7 @@ from glyphspan.operators import markup as M
 from glyphspan.operators import morphology as H
 from glyphspan.operators import references as R
 from glyphspan.operators import search as S
+from glyphspan.operators import sections as X
 from glyphspan.operators import tokens as K
 from glyphspan.plans import search as Q
 from glyphspan.plans.language import Word
@@ -62,9 +63,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """What a table's files are: their paths, sizes and times, in one number; only the files' metadata are read."""
+    files = spark.read.parquet(f"{sf_dir}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    r = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()
+    return hashlib.sha256(f"{sf_dir}|{name}|{r['n']}|{r['h']}".encode()).hexdigest()[:16]
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, what: str, make) -> DataFrame:
+    """What is made of a table, written once in a session for the files that the table has now."""
+    at = f"spark.glyphspan.{what}.{_state(spark, sf_dir, name)}"
+    if (folder := spark.conf.get(at, None)) is None:
+        folder = C.shared_folder(spark)
+        make(table(spark, sf_dir, name)).write.parquet(folder)
+        spark.conf.set(at, folder)
+    return spark.read.parquet(folder)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> C.Corpus:
-    """The stored corpus of a folder's documents, analysed by the small lexicon; built once in a session."""
-    name = f"spark.glyphspan.corpus.{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    """The stored corpus of a folder's documents, analysed by the small lexicon; built once in a session for the files they are in."""
+    name = f"spark.glyphspan.corpus.{_state(spark, sf_dir, 'documents')}"
     if (folder := spark.conf.get(name, None)) is None:
         folder = C.shared_folder(spark)
         docs = _docs(spark, sf_dir)
@@ -387,7 +405,7 @@ def carry_forward(spark, sf):
 
 @query("SELECT event_id, event_type, 'web' AS source FROM events WHERE NOT coalesce(regexp_matches(lower(event_type), 'bot|crawl|spider|error'), false)")
 def crawler_filter_append(spark, sf):
-    return V.wanted(table(spark, sf, "events"), parts=("bot", "crawl", "spider", "error")).select("event_id", "event_type", "source")
+    return V.wanted(table(spark, sf, "events"), "event_type", parts=("bot", "crawl", "spider", "error")).select("event_id", "event_type", "source")
 
 
 @query("""WITH g AS (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM g GROUP BY tag""")
@@ -582,3 +600,27 @@ SELECT conv_id, batch, string_agg(text, chr(10) ORDER BY turn) AS text FROM n GR
 def turn_batches(spark, sf):
     """Turns of each conversation, three at a time."""
     return N.batches(table(spark, sf, "conversations"), "conv_id", "turn", 3)
+
+
+LINKS = "#xpath(/tei:html/tei:body//tei:nav//tei:li/tei:a[@href='$1'])"
+
+
+def page_nodes(spark, sf) -> DataFrame:
+    """The node table of all pages, written once for the files it was read from."""
+    return _kept(spark, sf, "pages", "nodes", lambda pages: M.nodes(pages, "page_id", "html", kind="html"))
+
+
+@query()
+def page_links(spark, sf):
+    """The links of all pages' menus, found by a reference pattern, with the parts of their numbers."""
+    found = X.numbered(page_nodes(spark, sf), [LINKS])
+    return found.select(F.col("doc_id").alias("page_id"), "node", F.array_join("section", "/").alias("section"))
+
+
+@query("""WITH b AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS l FROM pages)
+SELECT page_id, count(*) AS paragraphs FROM (SELECT page_id, unnest(l) AS p FROM b) GROUP BY page_id""")
+def page_paragraphs(spark, sf):
+    """How many paragraphs of each page hold text alone and are ended, told from the nodes."""
+    tree = page_nodes(spark, sf).where("parent IS NOT NULL OR name IS NOT NULL")
+    closed = tree.where("name = 'p'").join(tree.where("name IS NOT NULL").select("doc_id", F.col("parent").alias("node")).distinct(), ["doc_id", "node"], "left_anti")
+    return closed.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("paragraphs"))
