@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product: cross-polytope hashing with multiprobe tables and exact reranking.
 
 A table turns vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and files each
-under the signed axis it comes nearest to; ``HASHES`` rotations together make a bucket's code.  A query looks into the
+under the signed axis it comes nearest to; one or two rotations together make a bucket's code.  A query looks into the
 most promising buckets of each of ``TABLES`` tables, and what it finds there is ranked by exact inner products in double
 precision.  Vectors of like norm (within ``RATIO``) form a band that is searched by itself.  Where a band's norms differ,
 its vectors get one more coordinate, sqrt(M * M - |x| * |x|) with the band's largest norm M, by which the order of inner
@@ -15,8 +15,9 @@ Scale: equal vectors are searched once, with the ``k + 1`` least of their ids (a
 few rows).  Buckets are gathered into groups of about ``TILE`` vectors and a larger bucket is dealt into shards, as are
 its queries, so a task holds at most a tile of each; a query's results of a task are merged into ``k + 1`` before they are
 dealt out, however many it met, for up to ``HELD`` queries at a time.
-The index covers every row; fitted are only the bands and the numbers of buckets.  For far more than ten million vectors
-set ``hashes`` to 2, which squares the number of buckets.  Measured recall of the 20 nearest: see the README.
+The index covers every row; fitted are only the bands and the numbers of buckets.  From ``MANY`` vectors on two hashes make
+a code, which squares the number of buckets, so a query looks into fewer vectors.  Measured recall of the 20 nearest: see
+the README.
 
 Cases: vectors null, empty, zero or with null or non-finite components and rows without id take no part; vectors of
 another length than the query's are none of its candidates; equal scores go to the smaller id; a row repeating id and
@@ -48,7 +49,10 @@ BANDS = 16
 LENGTHS = 8
 #: Most buckets of a table that are put in order for a query while measuring.
 ORDERED = 4096
-HASHES = 1
+#: From so many different vectors on, two hashes make a bucket's code.
+MANY = 20_000
+#: Queries whose buckets are put in order at once.
+PROBED = 64
 TILE = 2048
 #: Queries whose results a task holds before it passes them on.
 HELD = 50_000
@@ -91,18 +95,41 @@ def codes(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
     return out
 
 
+def _leading(n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of two descending lists, of n and ``width`` entries, whose sums can be among the n largest."""
+    j = np.arange(min(n, width))
+    many = n // (j + 1)
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(j, many)
+
+
 def probes(x: np.ndarray, table: int, hashes: int, n: int) -> np.ndarray:
     """Rows x n: codes of the most promising buckets, those whose axes' coordinates have the largest sum."""
-    best = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
-    for f in range(hashes):
-        z = rotate(x, table, f)
-        signed = np.stack([z, -z], axis=2).reshape(len(x), -1)  # by code of this function
-        some = np.argsort(-signed, axis=1, kind="stable")[:, :n]
-        score = (best[0][:, :, None] + np.take_along_axis(signed, some, 1)[:, None, :]).reshape(len(x), -1)
-        code = (best[1][:, :, None] * signed.shape[1] + some[:, None, :]).reshape(len(x), -1)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :n]
-        best = np.take_along_axis(score, order, 1), np.take_along_axis(code, order, 1)
-    return best[1]
+    out = []
+    for start in range(0, len(x), PROBED):
+        part = x[start : start + PROBED]
+        score, code = np.zeros((len(part), 1)), np.zeros((len(part), 1), np.int64)
+        for f in range(hashes):
+            z = rotate(part, table, f)
+            signed = np.stack([z, -z], axis=2).reshape(len(part), -1)  # by code of this function
+            some = np.argsort(-signed, axis=1, kind="stable")[:, :n]
+            i, j = _leading(n, some.shape[1])
+            i, j = i[i < score.shape[1]], j[i < score.shape[1]]
+            score = score[:, i] + np.take_along_axis(signed, some, 1)[:, j]
+            code = code[:, i] * signed.shape[1] + some[:, j]
+            order = np.argsort(-score, axis=1, kind="stable")[:, :n]
+            score, code = np.take_along_axis(score, order, 1), np.take_along_axis(code, order, 1)
+        out.append(code)
+    return np.concatenate(out) if out else np.zeros((0, n), np.int64)
+
+
+def best_by_id(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids, each with the best of its scores, ties to smaller ids."""
+    order = np.lexsort((-scores, ids))
+    ids, scores = ids[order], scores[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else order
+    ids, scores = ids[first], scores[first]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
 def _matrix(vectors: pd.Series, kind: str) -> np.ndarray:
@@ -116,19 +143,19 @@ def _by_length(vectors: pd.Series) -> Iterator[np.ndarray]:
 
 
 def best_of(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of q the k best (ids, scores) of the rows of x, each of which stands for several ids."""
+    """For each row of q the k best (ids, scores) of the rows of x, each of which stands for several ids; an id counts once, with its best row."""
+    every = np.concatenate(ids) if ids else np.empty(0, np.int64)
+    once = len(np.unique(every)) == len(every)
+    many = np.array([len(i) for i in ids])
     for first in range(0, len(q), 256):
         rough = q[first : first + 256] @ x.T
         for i, row in enumerate(rough):
             at = np.arange(len(row))
-            if len(row) > k:  # all that can be among the first k by the exact product
+            if once and len(row) > k:  # all that can be among the first k by the exact product
                 least = np.partition(row, len(row) - k)[len(row) - k]
                 at = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
             exact = (x[at] * q[first + i]).sum(axis=1)
-            every = np.concatenate([ids[a] for a in at])
-            score = np.repeat(exact, [len(ids[a]) for a in at])
-            order = np.lexsort((every, -score))[:k]
-            yield first + i, every[order], score[order]
+            yield first + i, *best_by_id(np.concatenate([ids[a] for a in at]), np.repeat(exact, many[at]), k)
 
 
 def valid(vector: str | Column) -> Column:
@@ -232,13 +259,19 @@ def _measured(distinct: DataFrame, k: int, kind: str, tables: int, hashes: int,
                         asked = _lifted(q, None if plain else np.ones(len(q)), True)
                         every = _buckets(asked.shape[1], hashes)
                         place[plain] = []
-                        for t in range(tables):
+                        for t in range(tables):  # only the buckets in order are held: (query, code) in one number, and the place
                             order = probes(asked, t, hashes, min(every, ORDERED))
-                            where = np.full((len(q), every), every, np.int64)
-                            np.put_along_axis(where, order, np.arange(order.shape[1])[None, :], 1)
-                            place[plain].append(where)
+                            coded = (np.arange(len(q))[:, None] * every + order).ravel()
+                            by = np.argsort(coded)
+                            place[plain].append((coded[by], by % order.shape[1]))
                     code = codes(_lifted(x[row[mine]], None if plain else lift[mine], False), tables, hashes)
-                    rank[mine] = np.min([place[plain][t][at[mine], code[:, t]] for t in range(tables)], axis=0)
+                    every, ranks = _buckets(x.shape[1] + (not plain), hashes), []
+                    for t in range(tables):
+                        coded, rank_of = place[plain][t]
+                        wanted = at[mine] * every + code[:, t]
+                        found_at = np.minimum(np.searchsorted(coded, wanted), len(coded) - 1)
+                        ranks.append(np.where(coded[found_at] == wanted, rank_of[found_at], every))
+                    rank[mine] = np.min(ranks, axis=0)
                 out = pd.DataFrame({"q": at, "score": score[at, row], "k1": pdf["k1"].to_numpy()[row], "band": pdf["band"].to_numpy()[row], "rank": rank})
                 yield out[out["score"] > -np.inf]
 
@@ -322,10 +355,7 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
                 found[qs[i]].append((found_ids, scores))
         for key, parts in zip(keys, found, strict=True):
             if parts:
-                every_id, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-                score = np.concatenate([p[1] for p in parts])[first]
-                order = np.lexsort((every_id, -score))[: k + 1]
-                best[key] = every_id[order], score[order]
+                best[key] = best_by_id(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k + 1)
 
     place = [*key, "d", "q"]
 
@@ -361,11 +391,12 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
     dealt = left.unionByName(right).repartition(partitions, *place).sortWithinPartitions(*place)
     found = dealt.mapInPandas(walk, "k1 long, k2 long, id array<long>, score array<double>")
     each = found.select("k1", "k2", F.explode(F.arrays_zip("score", "id")).alias("f")).select("k1", "k2", "f.score", "f.id")
-    # a pair is found once in each table at most, so the first (k + 1) * tables rows hold the first k + 1 different ones
+    # an id may be found in several tables and by several of its vectors: its best score counts
+    once = each.repartition(partitions, "k1", "k2").groupBy("k1", "k2", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "id")
-    near = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (k + 1) * tables)
-    listed = near.groupBy("k1", "k2").agg(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("f"))
-    return stored(listed.select("k1", "k2", F.slice(F.array_sort("f"), 1, k + 1).alias("found")), "found")
+    near = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    listed = near.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("found"))
+    return stored(listed, "found")
 
 
 def nearest(
@@ -377,7 +408,7 @@ def nearest(
     tables: int = TABLES,
     share: float = SHARE,
     recall: float = RECALL,
-    hashes: int = HASHES,
+    hashes: int | None = None,
     tile: int = TILE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``asked`` holds, its k nearest other rows found, nearest first."""
@@ -387,6 +418,7 @@ def nearest(
     )
     rows = rows.select("id", "asked", "vector", F.xxhash64(F.lit(1), "vector").alias("k1"), F.xxhash64(F.lit(2), "vector").alias("k2"))
     distinct = stored(_banded(stored(_distinct(rows, k, kind), "vectors")), "bands")
+    hashes = hashes or (1 if distinct.count() < MANY else 2)
     plan = _measured(distinct, k, kind, tables, hashes, share, recall)
     how = (k, kind, tables, hashes, tile)
     found = _round(distinct, distinct.where("asked"), plan, *how)
