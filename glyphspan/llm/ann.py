@@ -15,9 +15,9 @@ Scale: equal vectors are searched once, with the ``k + 1`` least of their ids (a
 few rows).  Buckets are gathered into groups of about ``TILE`` vectors and a larger bucket is dealt into shards, as are
 its queries, so a task holds at most a tile of each; a query's results of a task are merged into ``k + 1`` before they are
 dealt out, however many it met, for up to ``HELD`` queries at a time.
-The index covers every row; fitted are only the bands and the numbers of buckets.  From ``MANY`` vectors on two hashes make
-a code, which squares the number of buckets, so a query looks into fewer vectors.  Measured recall of the 20 nearest: see
-the README.
+The index covers every row; fitted are only the bands and the numbers of buckets.  ``hashes`` of 2 squares the number of
+buckets: a query looks into fewer vectors, but into many more buckets, each with its own overhead, so it is not the default.
+Measured recall of the 20 nearest: see the README.
 
 Cases: vectors null, empty, zero or with null or non-finite components and rows without id take no part; vectors of
 another length than the query's are none of its candidates; equal scores go to the smaller id; a row repeating id and
@@ -49,8 +49,7 @@ BANDS = 16
 LENGTHS = 8
 #: Most buckets of a table that are put in order for a query while measuring.
 ORDERED = 4096
-#: From so many different vectors on, two hashes make a bucket's code.
-MANY = 20_000
+HASHES = 1
 #: Queries whose buckets are put in order at once.
 PROBED = 64
 TILE = 2048
@@ -142,11 +141,9 @@ def _by_length(vectors: pd.Series) -> Iterator[np.ndarray]:
         yield np.flatnonzero(lengths == n)
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of q the k best (ids, scores) of the rows of x, each of which stands for several ids; an id counts once, with its best row."""
-    every = np.concatenate(ids) if ids else np.empty(0, np.int64)
-    once = len(np.unique(every)) == len(every)
-    many = np.array([len(i) for i in ids])
+def best_of(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, once: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of q the k best (ids, scores) of the rows of x, each of which stands for several ids; an id counts once, with
+    its best row; ``once``: no id belongs to two rows."""
     for first in range(0, len(q), 256):
         rough = q[first : first + 256] @ x.T
         for i, row in enumerate(rough):
@@ -155,7 +152,13 @@ def best_of(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> Iter
                 least = np.partition(row, len(row) - k)[len(row) - k]
                 at = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
             exact = (x[at] * q[first + i]).sum(axis=1)
-            yield first + i, *best_by_id(np.concatenate([ids[a] for a in at]), np.repeat(exact, many[at]), k)
+            every = np.concatenate([ids[a] for a in at])
+            score = np.repeat(exact, [len(ids[a]) for a in at])
+            if once:
+                order = np.lexsort((every, -score))[:k]
+                yield first + i, every[order], score[order]
+            else:
+                yield first + i, *best_by_id(every, score, k)
 
 
 def valid(vector: str | Column) -> Column:
@@ -350,8 +353,10 @@ def _round(distinct: DataFrame, asked: DataFrame, plan: DataFrame, k: int, kind:
                 for c in some:
                     who.setdefault(int(c), []).append(i)
             pairs = [(np.array(who[int(c)]), np.flatnonzero(code == c)) for c in np.unique(code) if int(c) in who]
+        every = np.concatenate(ids)
+        once = len(np.unique(every)) == len(every)
         for qs, xs in pairs:
-            for i, found_ids, scores in best_of(q[qs], x[xs], [ids[j] for j in xs], k + 1):
+            for i, found_ids, scores in best_of(q[qs], x[xs], [ids[j] for j in xs], k + 1, once):
                 found[qs[i]].append((found_ids, scores))
         for key, parts in zip(keys, found, strict=True):
             if parts:
@@ -408,7 +413,7 @@ def nearest(
     tables: int = TABLES,
     share: float = SHARE,
     recall: float = RECALL,
-    hashes: int | None = None,
+    hashes: int = HASHES,
     tile: int = TILE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``asked`` holds, its k nearest other rows found, nearest first."""
@@ -418,7 +423,6 @@ def nearest(
     )
     rows = rows.select("id", "asked", "vector", F.xxhash64(F.lit(1), "vector").alias("k1"), F.xxhash64(F.lit(2), "vector").alias("k2"))
     distinct = stored(_banded(stored(_distinct(rows, k, kind), "vectors")), "bands")
-    hashes = hashes or (1 if distinct.count() < MANY else 2)
     plan = _measured(distinct, k, kind, tables, hashes, share, recall)
     how = (k, kind, tables, hashes, tile)
     found = _round(distinct, distinct.where("asked"), plan, *how)
