@@ -4,19 +4,22 @@ Every line is labelled good or bad from its own features and those of the lines
 algorithm gives each line's probability of being good, and a document's quality is their mean weighted by line length.
 
 Learning takes a bounded sample of labelled rows (``max_docs``, those with the least hash of their id, drawn from all of
-them), each with its first text of at most ``MAX_LINES`` lines; line features are computed by tasks, and only these numbers,
-at most ``max_docs * MAX_LINES`` lines, reach the driver.  A line of a labelled document bears the document's label unless a
-first fit without transitions contradicts it, see ``line_labels``, so the field sees good and bad lines follow each other.
+them) and of each its whole first text; where that has over ``MAX_LINES`` lines, runs of ``RUN`` neighbouring lines are
+drawn by a hash of their places in the whole text, so what stands at a text's end teaches as what stands at its beginning.
+Line features are computed by tasks, of all lines, and only these numbers, of at most ``max_docs * MAX_LINES`` lines and
+their neighbours, reach the driver.  A line of a labelled document bears the document's label unless a first fit without
+transitions contradicts it, see ``line_labels``, so the field sees good and bad lines follow each other.
 Scoring covers every row and whole texts.
 
 Cases: null text scores as the empty text, which is one empty line; a document's score is defined for any text; several
-labels of one id count as their minimum, of several texts of one labelled id the one of the least hash is learned from, a
-labelled text of over ``MAX_LINES`` lines teaches by its first ones (a bound of the sample; it is scored whole); null labels or ids teach nothing; with fewer than one row of either label all
-scores are the share of good labels (0.5 without any); other columns pass through.
+labels of one id count as their minimum, of several texts of one labelled id the one of the least hash is learned from; null
+labels or ids teach nothing; with fewer than one row of either label all scores are the share of good labels (0.5 without
+any); an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,7 @@ from glyphspan.llm.common import unused
 
 MAX_DOCS = 3000
 MAX_LINES = 1000
+RUN = 20
 _CHARS = 1_000_000
 FEATURES = (
     "log_chars upper letters digits symbols shouts bars stops word_length distinct stutter ends starts short seen log_words".split()
@@ -195,14 +199,23 @@ class Crf:
         return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 
 
-def _climb(wide: np.ndarray, lines_of: np.ndarray, y: np.ndarray, chain: bool, steps: int, rate: float, ridge: float) -> np.ndarray:
+def drawn_runs(lines: int, most: int = MAX_LINES, run: int = RUN) -> list[tuple[int, int]]:
+    """(first, stop) of the runs of lines that a text of so many lines teaches by: the whole text, or runs from all over it."""
+    if lines <= most:
+        return [(0, lines)]
+    starts = range(0, lines, run)
+    chosen = sorted(starts, key=lambda i: (zlib.crc32(f"{lines}:{i}".encode()), i))[: most // run]
+    return [(i, min(i + run, lines)) for i in sorted(chosen)]
+
+
+def _climb(wide: np.ndarray, lines_of: np.ndarray, y: np.ndarray, chain: bool, steps: int, rate: float, ridge: float, weight: np.ndarray) -> np.ndarray:
     """Weights and transitions (zero without ``chain``) of the largest conditional likelihood of line labels ``y``, by Adam.
 
-    Each document weighs the same, however many lines it has.
+    ``weight``: of each run of lines; a run weighs the same however many lines it has.
     """
-    docs = len(lines_of)
+    docs, total = len(lines_of), weight.sum()
     doc = np.repeat(np.arange(docs), lines_of)
-    share = 1 / lines_of[doc]
+    share = (weight / lines_of)[doc]
     seen = np.zeros((docs, 2, 2))
     inside = doc[1:] == doc[:-1]
     np.add.at(seen, (doc[1:][inside], y[:-1][inside], y[1:][inside]), 1)
@@ -210,7 +223,7 @@ def _climb(wide: np.ndarray, lines_of: np.ndarray, y: np.ndarray, chain: bool, s
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         p, expected = forward_backward(wide @ theta[:-4], lines_of, theta[-4:].reshape(2, 2)) if chain else (1 / (1 + np.exp(-np.clip(wide @ theta[:-4], -700, 700))), seen)
-        grad = np.concatenate([wide.T @ ((y - p) * share), ((seen - expected) / lines_of[:, None, None]).sum(axis=0).ravel()]) / docs - ridge * theta
+        grad = np.concatenate([wide.T @ ((y - p) * share), ((seen - expected) * (weight / lines_of)[:, None, None]).sum(axis=0).ravel()]) / total - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta
@@ -233,22 +246,31 @@ def line_labels(u: np.ndarray, lines_of: np.ndarray, size: np.ndarray, good: np.
     return y
 
 
-def fit(x: np.ndarray, lines_of: np.ndarray, good: np.ndarray, size: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
-    """A field from documents' labels: a first fit without transitions tells which lines contradict their document, and the
-    field learns from these labels of lines."""
+def fit(wide: np.ndarray, lines_of: np.ndarray, good: np.ndarray, size: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+    """A field from runs of lines (``wide`` features, each run's document's label, its weight): a first fit without transitions
+    tells which lines contradict their document, and the field learns from these labels of lines."""
     if not len(good) or good.min() == good.max():
         share = float(good.mean()) if len(good) else 0.5
         return Crf(np.zeros(0), np.zeros((2, 2)), np.zeros(0), np.ones(0), share)
-    wide = with_neighbours(x, lines_of)
     mean, scale = wide.mean(axis=0), wide.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     wide = (wide - mean) / scale
-    alone = _climb(wide, lines_of, good[np.repeat(np.arange(len(good)), lines_of)], False, steps, rate, ridge)
+    how = (steps, rate, ridge, weight)
+    alone = _climb(wide, lines_of, good[np.repeat(np.arange(len(good)), lines_of)], False, *how)
     y = line_labels(wide @ alone[:-4], lines_of, size, good)
-    theta = _climb(wide, lines_of, y, True, steps, rate, ridge)
+    theta = _climb(wide, lines_of, y, True, *how)
     return Crf(theta[:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
+def taught_rows(text: str | None, most: int = MAX_LINES, run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, float]]:
+    """(features of a run's lines with the lines beside it, characters of its own lines, 1 if a line stands before, 1 if one behind, weight)."""
+    x, _, size = line_features([text or ""])
+    runs = drawn_runs(len(x), most, run)
+    for first, stop in runs:
+        before, behind = int(first > 0), int(stop < len(x))
+        yield x[first - before : stop + behind], size[first:stop], before, behind, 1 / len(runs)
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Crf:
     """A field from labelled rows (``labels``: id and 0/1); at most ``max_docs`` of them, whole texts."""
     marks = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).cast("int").alias("good"))
@@ -261,13 +283,25 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_id:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, text, good in zip(pdf["id"], pdf["text"], pdf["good"], strict=True):
-                x, _, size = line_features(["\n".join((text or "").split("\n", MAX_LINES)[:MAX_LINES])])
-                yield pd.DataFrame({"id": [at], "good": [good], "x": [x.tobytes()], "size": [size.tobytes()]})
+                told = [(at, good, i, x.tobytes(), size.tobytes(), before, behind, weight) for i, (x, size, before, behind, weight) in enumerate(taught_rows(text))]
+                yield pd.DataFrame(told, columns=["id", "good", "run", "x", "size", "before", "behind", "weight"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInPandas(features, f"id {kind}, good int, x binary, size binary").toPandas().sort_values("id").reset_index(drop=True)
+    got = rows.mapInPandas(features, f"id {kind}, good int, run int, x binary, size binary, before int, behind int, weight double").toPandas()
+    return fit_runs(got.sort_values(["id", "run"]).reset_index(drop=True))
+
+
+def fit_runs(got: pd.DataFrame) -> Crf:
+    """A field from rows of (good, x, size, before, behind, weight); the lines beside a run give its features and then go."""
     x, size = (np.frombuffer(b"".join(got[c]), kind) for c, kind in (("x", np.float32), ("size", np.float64)))
-    return fit(x.reshape(-1, len(FEATURES)), (got["size"].map(len) // 8).to_numpy(np.int64), got["good"].to_numpy(np.int64), size)
+    x, lines_of = x.reshape(-1, len(FEATURES)), (got["size"].map(len) // 8).to_numpy(np.int64)
+    before, behind = got["before"].to_numpy(np.int64), got["behind"].to_numpy(np.int64)
+    held = lines_of + before + behind
+    wide, stop = with_neighbours(x, held), np.cumsum(held)
+    own = np.ones(len(x), bool)
+    own[(stop - held)[before == 1]] = False
+    own[(stop - 1)[behind == 1]] = False
+    return fit(wide[own], lines_of, got["good"].to_numpy(np.int64), size, got["weight"].to_numpy(np.float64))
 
 
 def with_quality(df: DataFrame, model: Crf, text: str = "text", score: str = "score") -> DataFrame:
