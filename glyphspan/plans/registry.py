@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspan.functions import text as T
+from glyphspan.operators import automaton as A
 from glyphspan.operators import corrections as P
 from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
 from glyphspan.operators import language as N
 from glyphspan.operators import lexicon as L
 from glyphspan.operators import markup as M
+from glyphspan.operators import matching as G
 from glyphspan.operators import morphology as H
 from glyphspan.operators import references as R
 from glyphspan.operators import search as S
@@ -624,3 +626,102 @@ def page_paragraphs(spark, sf):
     tree = page_nodes(spark, sf).where("parent IS NOT NULL OR name IS NOT NULL")
     closed = tree.where("name = 'p'").join(tree.where("name IS NOT NULL").select("doc_id", F.col("parent").alias("node")).distinct(), ["doc_id", "node"], "left_anti")
     return closed.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("paragraphs"))
+
+
+#: An article of running text begins with a line that opens with a capital T; a blank line makes the next line count only if it opens one.
+PARAGRAPHS = A.ArticleMarks(start="^$x", key="^T", note=None)
+STREAM = A.Automaton(
+    states=(A.BETWEEN, A.IN),
+    classes=(A.BLANK, A.KEY, A.OTHER),
+    start=A.IN,
+    steps={(A.BETWEEN, A.BLANK): (A.BETWEEN, "skip"), (A.BETWEEN, A.KEY): (A.IN, "open"), (A.BETWEEN, A.OTHER): (A.BETWEEN, "skip")}
+    | {(A.IN, A.BLANK): (A.BETWEEN, "add"), (A.IN, A.KEY): (A.IN, "open"), (A.IN, A.OTHER): (A.IN, "add")},
+)
+
+
+@query(r"""WITH d AS (SELECT source, doc_id, text FROM documents),
+l AS (SELECT source, doc_id, unnest(list_append(coalesce(string_split(text, chr(10)), []::VARCHAR[]), '')) AS text, unnest(range(len(coalesce(string_split(text, chr(10)), []::VARCHAR[])) + 1)) AS i FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line, trim(text, ' ') = '' AS blank, regexp_matches(text, '^T') AND trim(text, ' ') <> '' AS key FROM l),
+o AS (SELECT *, max(CASE WHEN blank THEN line END) OVER w AS last_blank, max(CASE WHEN key THEN line END) OVER w AS last_key, count(*) FILTER (key) OVER (PARTITION BY source ORDER BY line) AS n
+  FROM k WINDOW w AS (PARTITION BY source ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source, n - 1 AS article, count(*) AS lines FROM o WHERE n > 0 AND (key OR last_blank IS NULL OR coalesce(last_key, 0) > last_blank) GROUP BY source, n""")
+def source_articles(spark, sf):
+    """The articles in which an automaton cuts all lines of each source, its documents read as one stream in order of their ids."""
+    docs = _docs(spark, sf).select("source", "doc_id", F.concat(F.coalesce(F.concat(F.col("text"), F.lit("\n")), F.lit(""))).alias("text"))
+    lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    # a document's lines stand behind those of the documents before it in its source
+    sizes = docs.select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+    order = E.ordinals(sizes, "source", "doc_id").select(F.col("source").alias("file"), F.col("ordinal").alias("line"), "doc_id", "n")
+    starts = A.totals(order, F.col("n"), "before")
+    stream = lines.join(starts.select("doc_id", "before"), "doc_id").select(F.col("source").alias("file"), (F.col("before") + F.col("i")).alias("line"), F.col("line").alias("text"))
+    kind = F.when(F.trim("text") == "", A.BLANK).when(F.col("text").rlike(PARAGRAPHS.key), A.KEY).otherwise(A.OTHER)
+    told = A.counted(A.with_states(stream, STREAM, kind), F.col("action") == "open", "article")
+    return told.where("action <> 'skip' AND article > 0").groupBy(F.col("file").alias("source"), (F.col("article") - 1).alias("article")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+#: Keys with meanings, and what must stand before and behind them.
+SHORT_FORMS = [("the", "T1", None, None), ("the", "T2", None, None), ("th", "T3", None, None), ("and", "N1", None, " the"), ("and", "N2", " ", None), ("of the", "O1", None, None), ("of", "O2", None, None), ("I", "I1", None, " "), ("in", "I2", "at ", None)]
+
+
+@query(r"""WITH RECURSIVE k(key, value, prefix, postfix) AS (VALUES """ + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in SHORT_FORMS) + r"""),
+p AS (SELECT conv_id, turn, text, unnest(range(length(text)))::INT AS place FROM conversations WHERE text <> ''),
+s AS (SELECT * FROM p WHERE place = 0 OR contains(' ()[];—-', substr(text, place, 1))),
+m AS (SELECT conv_id, turn, place, length(key) AS size, value FROM s JOIN k ON substr(text, place + 1, length(key)) = key
+  AND (prefix IS NULL OR (place >= length(prefix) AND substr(text, place - length(prefix) + 1, length(prefix)) = prefix)) AND (postfix IS NULL OR substr(text, place + length(key) + 1, length(postfix)) = postfix)),
+g AS (SELECT conv_id, turn, place, size, string_agg(DISTINCT value, ',' ORDER BY value) AS meanings FROM m GROUP BY conv_id, turn, place, size),
+b AS (SELECT * FROM g QUALIFY size = max(size) OVER (PARTITION BY conv_id, turn, place)),
+r AS (SELECT conv_id, turn, place, size, meanings FROM b QUALIFY place = min(place) OVER (PARTITION BY conv_id, turn)
+  UNION ALL SELECT b.conv_id, b.turn, b.place, b.size, b.meanings FROM r JOIN b ON b.conv_id = r.conv_id AND b.turn = r.turn
+  AND b.place = (SELECT min(c.place) FROM b c WHERE c.conv_id = r.conv_id AND c.turn = r.turn AND c.place >= r.place + r.size))
+SELECT conv_id, turn, place, size, meanings FROM r""")
+def short_forms(spark, sf):
+    """The longest keys of a table that begin words of all turns, with contexts, from left to right without overlap."""
+    turns = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    keys = spark.createDataFrame(SHORT_FORMS, "key string, value string, prefix string, postfix string")
+    found = G.expansions(turns, keys, "id")
+    return found.select("doc_id.conv_id", "doc_id.turn", F.col("at").alias("place"), "size", F.array_join(F.transform("values", lambda v: v["value"]), ",").alias("meanings"))
+
+
+@query("SELECT page_id, count(*) AS nodes FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
+def page_items(spark, sf):
+    """How many items stand in the lists of each page, told from all elements inside its menus."""
+    tree = page_nodes(spark, sf)
+    return M.descendants(tree, tree.where("name = 'nav'"), "li").groupBy(F.col("doc_id").alias("page_id")).agg(F.count_distinct("node").alias("nodes"))
+
+
+@query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages WHERE contains(html, '<title>')")
+def page_titles(spark, sf):
+    """The text of each page's title."""
+    tree = page_nodes(spark, sf)
+    return M.text_of(tree, tree.where("name = 'title'")).select(F.col("doc_id").alias("page_id"), F.trim("text").alias("title"))
+
+
+@query("""SELECT page_id, r.href AS href, '<a href="' || r.href || '">' || replace(r.t, '"', '&quot;') || '</a>' AS markup FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2))) AS p FROM pages) q, LATERAL (SELECT p[1] AS href, p[2] AS t) r""")
+def page_link_markup(spark, sf):
+    """The links of all pages, written again from their nodes."""
+    tree = page_nodes(spark, sf)
+    links = tree.where("name = 'a'")
+    told = M.markup_of(tree, links).join(links.select("doc_id", "node", F.col("attrs")["href"].alias("href")), ["doc_id", "node"])
+    return told.select(F.col("doc_id").alias("page_id"), "href", "markup")
+
+
+_PHASE = "list_extract(['read', 'search', 'write'], (event_id % 3 + 1)::INT)"
+
+
+@query(f"""WITH m AS (SELECT user_id AS request, {_PHASE} AS phase, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM m WINDOW w AS (PARTITION BY request ORDER BY ts, phase)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY request ORDER BY ts, phase ROWS UNBOUNDED PRECEDING) AS session FROM g),
+d AS (SELECT phase, ts, lead(ts) OVER (PARTITION BY request, session ORDER BY ts, phase) AS done FROM s)
+SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, phase, count(*) AS requests, round(avg(epoch_us(done) - epoch_us(ts)) / 1000, 3) AS mean_ms, max(epoch_us(done) - epoch_us(ts)) / 1000 AS most_ms FROM d WHERE done IS NOT NULL GROUP BY 1, 2""")
+def phase_durations(spark, sf):
+    """How long users stay in each phase of what they do, sessions ending after ten minutes without an event."""
+    phase = F.get(F.array(*map(F.lit, ("read", "search", "write"))), (F.col("event_id") % 3).cast("int"))
+    marks = table(spark, sf, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").alias("request"), phase.alias("phase"), "ts")
+    return V.phase_durations(marks).withColumns({"mean_ms": F.round("mean_ms", 3), "start": F.date_format("start", "yyyy-MM-dd HH:mm")})
+
+
+@query(_TOKENS + _LEXICON + """, a AS (SELECT word, bool_or(mask & 2 <> 0) AS acc, bool_or(mask & 1 <> 0) AS nom FROM an GROUP BY word)
+SELECT doc_id, pos FROM t LEFT JOIN a ON norm = word WHERE coalesce(nom, false) AND NOT coalesce(acc, false)""")
+def dsl_not_and(spark, sf):
+    """Tokens that can be nominatives and no accusatives: a negation inside an `and`."""
+    return _found(spark, sf, "(@case:nominative and !@case:accusative)", extended=True).select("doc_id", "pos")

@@ -40,6 +40,7 @@ def phase_durations(marks: DataFrame, request: str = "request", phase: str = "ph
     mark of a request ends it.  On a stream a session of a request ends ``late`` after its last mark and is then told; marks
     that come later than that are dropped.  A request has a bounded number of phases, so a session's marks are one row."""
     spans = F.session_window(F.col(ts), late)
+    marks = marks.withColumn(ts, F.col(ts).cast("timestamp"))
     timed = marks.withWatermark(ts, late) if marks.isStreaming else marks
     each = timed.groupBy(F.col(request).alias("request"), spans).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(phase).alias("phase")))).alias("marks"))
     steps = F.zip_with(F.slice("marks", F.lit(1), F.size("marks") - 1), F.slice("marks", F.lit(2), F.greatest(F.size("marks") - 1, F.lit(0))), lambda a, b: F.struct(a["phase"].alias("phase"), a["ts"].alias("began"), (F.unix_micros(b["ts"]) - F.unix_micros(a["ts"])).alias("micros")))
