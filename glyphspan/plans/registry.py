@@ -555,7 +555,11 @@ def preverb_splits(spark, sf):
     return _splits(spark, sf)
 
 
-@query(_TOKENS + _LEXICON + _SPLITS + """SELECT s.word, preverb, prefix, base, base AS form, lemma, mask FROM s JOIN an ON an.word = base
+_LENGTHS = sorted({len(p) for p, _ in PREVERBS})
+_BEGUN = ", p(preverb, prefix) AS (VALUES " + _values(PREVERBS) + "), begun AS (SELECT word, unnest([" + ", ".join(map(str, _LENGTHS)) + "]) AS n FROM words), s AS (SELECT word, preverb, prefix, substr(word, n + 1) AS base FROM begun JOIN p ON preverb = substr(strip_accents(word), 1, n) AND length(preverb) = n WHERE length(word) > n) "
+
+
+@query(_TOKENS + _LEXICON.replace("an AS (", "an AS MATERIALIZED (").replace("words AS (", "words AS MATERIALIZED (") + _BEGUN + """SELECT s.word, preverb, prefix, base, base AS form, lemma, mask FROM s JOIN an ON an.word = base
 WHERE NOT (length(preverb) = length(prefix) AND preverb <> prefix AND preverb[:-2] = prefix[:-2]) OR starts_with(base, right(preverb, 1))""")
 def preverbed_words(spark, sf):
     """Words whose rest behind a preverb has an analysis."""

@@ -141,3 +141,13 @@ def test_postings(small):
         assert got.get(("word", "a", d), []) == [i for i, (w, _) in enumerate(words) if w == "a"]
         assert got.get(("lemma", "la", d), []) == [i for i, (w, _) in enumerate(words) if any(x == "la" for x, _ in MEANINGS[w])]
         assert got.get(("case", "accusative", d), []) == [i for i, (w, _) in enumerate(words) if any(m & 2 for _, m in MEANINGS[w])]
+
+
+def test_only_what_must_hold_together_is_a_contradiction():
+    from glyphspan.plans.language import impossible, parse
+
+    of = lambda text: impossible(parse(text).terms[0].constraint)
+    for text in ("(@case:nom and !@case:acc)", "(@case:nom and (@case:acc or @lemma:x))", "(@lemma:a and (@lemma:b or c))", "(@case:nom or @case:acc)", "(@lemma:a and @lemma:a)"):
+        assert not of(text)
+    for text in ("(@case:nom and @case:acc)", "(@lemma:a and (@lemma:b and c))", "(@lemma:a and !@lemma:a)", "(a and ((@case:nom and @case:acc) or (@lemma:a and @lemma:b)))"):
+        assert of(text)

@@ -94,3 +94,31 @@ def test_near_same_over_all_documents(spark, sf):
     assert got == sorted(want)
     spans = registry._found(spark, sf, "the 5~ the").select("doc_id", "pos", "spans").collect()
     assert sorted((r["doc_id"], r["pos"], next(s["pos"] for s in r["spans"] if s["pos"] != r["pos"])) for r in spans) == sorted(want)
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    """The stored corpus belongs to the files that it was built from, not to their path."""
+    path = str(tmp_path)
+    for words in ("one two three", "one two three four five six"):
+        spark.createDataFrame([(1, "A", words)], "doc_id long, source string, text string").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+        assert registry.QUERIES["token_stats"](spark, path).first()["total_words"] == len(words.split())
+
+
+def test_phases_of_requests_and_repeated_files(spark, tmp_path):
+    import datetime
+
+    from glyphspan.streaming import events
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, "search", 0), (1, "write", 2), (1, "end", 5), (2, "search", 1), (2, "end", 2), (1, "search", 10_000), (3, "search", 3)]
+    marks = spark.createDataFrame([(r, p, start + datetime.timedelta(seconds=s)) for r, p, s in rows], "request long, phase string, ts timestamp")
+    got = {r["phase"]: (r["requests"], r["mean_ms"], r["most_ms"]) for r in events.phase_durations(marks).collect()}
+    assert got == {"search": (2, 1500.0, 2000.0), "write": (1, 3000.0, 3000.0)}
+    sent = [(i, "Googlebot/2.1" if i == 3 else "Firefox", start + datetime.timedelta(seconds=i)) for i in range(6)]
+    schema = "event_id long, agent string, ts timestamp"
+    folders = [str(tmp_path / n) for n in ("in", "out", "state")]
+    for _ in range(2):  # the same events come in two files
+        spark.createDataFrame(sent, schema).coalesce(1).write.mode("append").parquet(folders[0])
+        events.append_stream(spark, *folders, spark.createDataFrame([], schema).schema).awaitTermination()
+    out = spark.read.parquet(folders[1]).collect()
+    assert sorted(r["event_id"] for r in out) == [0, 1, 2, 4, 5] and all(r["received"] is not None for r in out)
