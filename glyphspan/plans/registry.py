@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphspan.functions import text as T
 from glyphspan.operators import automaton as A
+from glyphspan.operators import brackets as B
 from glyphspan.operators import corrections as P
 from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
@@ -729,3 +730,42 @@ SELECT doc_id, pos FROM t LEFT JOIN a ON norm = word WHERE coalesce(nom, false)
 def dsl_not_and(spark, sf):
     """Tokens that can be nominatives and no accusatives: a negation inside an `and`."""
     return _found(spark, sf, "(@case:nominative and !@case:accusative)", extended=True).select("doc_id", "pos")
+
+
+_INSIDE = r"(?:nav|ul|li|a|article|div|p|b)(?:\s[^>]*)?>"
+
+
+@query(rf"""WITH c AS (SELECT page_id, regexp_split_to_array(html, '</?{_INSIDE}') AS p, regexp_extract_all(html, '</?{_INSIDE}') AS m FROM pages WHERE html IS NOT NULL),
+u AS (SELECT page_id, unnest(p[:len(m)]) AS before, unnest(m) AS mark, unnest(range(len(m))) AS i FROM c),
+s AS (SELECT *, sum(length(before) + length(mark)) OVER w - length(mark) AS place, sum(CASE WHEN starts_with(mark, '</') THEN -1 ELSE 1 END) OVER w AS height FROM u WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+l AS (SELECT *, least(0, coalesce(min(height) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) AS low FROM s),
+o AS (SELECT * FROM l WHERE NOT starts_with(mark, '</')), z AS (SELECT page_id, i, place, height FROM l WHERE starts_with(mark, '</')),
+n AS (SELECT o.page_id, o.place AS start, o.height - o.low AS depth, min(z.i) AS mate FROM o LEFT JOIN z ON z.page_id = o.page_id AND z.i > o.i AND z.height = o.height - 1 GROUP BY ALL)
+SELECT n.page_id, start::INT AS start, z.place::INT AS stop, depth::INT AS depth FROM n LEFT JOIN z ON z.page_id = n.page_id AND z.i = n.mate""")
+def page_brackets(spark, sf):
+    """Where the elements of all pages begin and end, taken as brackets whatever their names, with their depths."""
+    return B.bracket_pairs(table(spark, sf, "pages"), "page_id", "html", f"<{_INSIDE}", f"</{_INSIDE}").withColumnRenamed("doc_id", "page_id")
+
+
+_LEVELS = ("article", "h1", "p", "b", "br")
+
+
+@query(f"""WITH e AS (SELECT page_id, regexp_extract_all(html, '<({"|".join(_LEVELS)})>', 1) AS m FROM pages),
+u AS (SELECT page_id, unnest(range(len(m))) AS item, list_position([{", ".join(f"'{x}'" for x in _LEVELS)}], unnest(m)) - 1 AS level FROM e),
+b AS (SELECT a.page_id, a.item, max(c.item) AS above FROM u a LEFT JOIN u c ON c.page_id = a.page_id AND c.item < a.item AND c.level < a.level GROUP BY ALL)
+SELECT page_id, item::INT AS item, above::INT AS parent FROM b""")
+def page_outline(spark, sf):
+    """The items of all pages hung on the nearest one before of a wider kind."""
+    kinds = page_nodes(spark, sf).where(F.col("name").isin(*_LEVELS))
+    level = F.array_position(F.array(*map(F.lit, _LEVELS)), F.col("name")).cast("int") - 1
+    rows = kinds.select(F.col("doc_id").alias("page_id"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("node")) - 1).alias("item"), level.alias("level"))
+    return B.nearest_smaller(rows, "page_id", "item", "level", len(_LEVELS)).select("page_id", "item", "parent")
+
+
+@query("""SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM conversations a LEFT JOIN conversations b ON a.role <> 'system' AND b.conv_id = a.conv_id AND b.turn < a.turn
+  AND (b.role = 'system' OR a.role = 'assistant' AND b.role = 'user') WHERE a.role IN ('system', 'user', 'assistant') GROUP BY a.conv_id, a.turn""")
+def turn_parents(spark, sf):
+    """The turn that each turn answers or stands under: users under the system, assistants under the last user."""
+    roles = F.array(*map(F.lit, ("system", "user", "assistant")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", (F.array_position(roles, F.col("role")).cast("int") - 1).alias("level")).where("level >= 0")
+    return B.nearest_smaller(rows, "conv_id", "turn", "level", 3).select("conv_id", "turn", "parent")
