@@ -8,6 +8,7 @@ is ever moved.  Spans near each other are found by windows over the leaders of a
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -82,15 +83,39 @@ def tokens_of(corpus: Corpus, c: Constraint, authors: tuple[str, ...] = (), stri
     return rows.select("source", "doc_id", "pos", "hard_break")
 
 
+def _without(corpus: Corpus, c: Not, authors: tuple[str, ...], strict: bool, breaks: bool) -> DataFrame:
+    """(doc_id, pos) of the tokens that do not meet a negated constraint and, with ``breaks``, of those that end a sentence."""
+    rows = corpus.tokens.where(F.col("source").isin(*authors)) if authors else corpus.tokens
+    if (words := _words_of(c.inner)) is not None:
+        out = rows.where(F.col("norm").isin(words))
+    else:
+        unmet = corpus.words.where(~F.coalesce(_met(c, strict), F.lit(False))).select("norm")
+        out = rows.join(unmet, "norm", "left_semi")
+    out = out.select("doc_id", "pos")
+    return out.unionByName(rows.where("hard_break").select("doc_id", "pos")) if breaks else out
+
+
 def span_leaders(corpus: Corpus, terms: list[Constraint], authors: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
-    """(source, doc_id, pos) of the first tokens of contiguous matches that no sentence end cuts."""
-    out = None
+    """(source, doc_id, pos) of the first tokens of contiguous matches that no sentence end cuts.
+
+    A negated term takes away from what the others found: that a token stands in its place is told by the one before, as a
+    text's last token ends a sentence.  Only a span of negated terms alone looks at nearly all tokens.
+    """
+    out, negated = None, [isinstance(t, Not) for t in terms]
+    if all(negated):
+        negated = [False] * len(terms)
     for i, term in enumerate(terms):
+        if negated[i]:
+            continue
         found = tokens_of(corpus, term, authors, strict)
         if i + 1 < len(terms):
             found = found.where(~F.col("hard_break"))
         found = found.withColumn("pos", F.col("pos") - i).drop("hard_break")
         out = found if out is None else out.join(found.drop("source"), ["doc_id", "pos"])
+    for i, term in enumerate(terms):
+        if negated[i]:
+            gone = _without(corpus, term, authors, strict, breaks=i + 1 < len(terms))
+            out = out.where("pos >= 0").join(gone.withColumn("pos", F.col("pos") - i), ["doc_id", "pos"], "left_anti")
     return out.select("source", "doc_id", "pos")
 
 
@@ -138,30 +163,40 @@ def matches(corpus: Corpus, query: str | Query, strict: bool = False, extended:
 
 
 def _paths(leaders: list[list[int]], lengths: list[int], reach: list[tuple[int, bool]]) -> Iterator[tuple[int, list[int]]]:
-    """(anchor, leaders in order of the spans) of a document's matches; leaders are in order of position."""
-    last: list[int] | None = None
+    """(anchor, leaders in order of the spans) of a document's matches; leaders are in order of position.
 
-    def below(path: list[int], used: list[tuple[int, int]]) -> Iterator[list[int]]:
+    What a walk can still reach depends on its last leader and on the places taken, whatever the order they were taken in, so
+    places from which no way led on are not walked again; an anchor with fewer places around it than spans is not walked at all.
+    """
+    last: list[int] | None = None
+    n = len(leaders)
+    # how far a walk can go from its anchor to either side
+    ahead = sum(d for d, _ in reach[1:])
+    back = sum(d for d, directed in reach[1:] if not directed)
+    every = sorted({q for some in leaders for q in some})
+
+    def first(path: list[int], used: frozenset[tuple[int, int]], dead: set) -> list[int] | None:
+        """The first whole path that begins so and whose set of places is not the one before."""
         i = len(path)
-        if i == len(leaders):
-            yield list(path)
-            return
+        if i == n:
+            return path if sorted(path) != last else None
+        if (path[-1], used) in dead:
+            return None
         distance, directed = reach[i]
         low = path[-1] if directed else path[-1] - distance
-        for q in leaders[i]:
-            if q < low:
-                continue
-            if q > path[-1] + distance:
-                break
-            if all(q + lengths[i] <= a or b <= q for a, b in used):
-                yield from below([*path, q], [*used, (q, q + lengths[i])])
+        for k in range(bisect_left(leaders[i], low), bisect_right(leaders[i], path[-1] + distance)):
+            q = leaders[i][k]
+            if all(q + lengths[i] <= a or b <= q for a, b in used) and (whole := first([*path, q], used | {(q, q + lengths[i])}, dead)):
+                return whole
+        dead.add((path[-1], used))
+        return None
 
     for anchor in leaders[0]:
-        for path in below([anchor], [(anchor, anchor + lengths[0])]):
-            if sorted(path) != last:
-                last = sorted(path)
-                yield anchor, path
-                break
+        if bisect_right(every, anchor + ahead) - bisect_left(every, anchor - back) < n:
+            continue
+        if path := first([anchor], frozenset({(anchor, anchor + lengths[0])}), set()):
+            last = sorted(path)
+            yield anchor, path
 
 
 def around(corpus: Corpus, found: DataFrame, size: int) -> DataFrame:

@@ -122,3 +122,60 @@ def test_phases_of_requests_and_repeated_files(spark, tmp_path):
         events.append_stream(spark, *folders, spark.createDataFrame([], schema).schema).awaitTermination()
     out = spark.read.parquet(folders[1]).collect()
     assert sorted(r["event_id"] for r in out) == [0, 1, 2, 4, 5] and all(r["received"] is not None for r in out)
+
+
+def test_walks_of_several_spans_as_all_combinations():
+    """The first combination, in order of places, that holds and is not the set before; repeated terms do not make it slow."""
+    import itertools
+    import random
+
+    from glyphspan.plans.search import _paths
+
+    def plain(leaders, lengths, reach):
+        last, out = None, []
+        for anchor in leaders[0]:
+            for rest in itertools.product(*leaders[1:]):
+                path = [anchor, *rest]
+                near = all((0 if d else -k) <= b - a <= k for a, b, (k, d) in zip(path, rest, reach[1:], strict=False))
+                spans = sorted((p, p + n) for p, n in zip(path, lengths, strict=True))
+                if near and all(a[1] <= b[0] for a, b in itertools.pairwise(spans)) and sorted(path) != last:
+                    last = sorted(path)
+                    out.append((anchor, path))
+                    break
+        return out
+
+    rng = random.Random(1)
+    for _ in range(400):
+        n = rng.randrange(2, 5)
+        some = [sorted(rng.sample(range(14), rng.randrange(0, 7))) for _ in range(n)]
+        leaders = [some[0]] * n if rng.random() < 0.4 else some
+        lengths, reach = [rng.randrange(1, 3) for _ in range(n)], [(rng.randrange(1, 6), rng.random() < 0.4) for _ in range(n)]
+        assert list(_paths(leaders, lengths, reach)) == plain(leaders, lengths, reach)
+    assert len(list(_paths([list(range(10))] * 10, [1] * 10, [(15, False)] * 10))) == 1
+    assert not list(_paths([list(range(9))] * 10, [1] * 10, [(15, False)] * 10))
+
+
+def test_negated_terms_take_away_from_the_others(spark):
+    """Negations first, between and last, with authors and sentence ends, against a plain matcher."""
+    import itertools
+
+    from glyphspan.operators import tokens
+    from glyphspan.plans import search as plans
+    from glyphspan.sources import corpus as stored
+
+    texts = [(1, "A", "a b c. a c b a"), (2, "B", "b a. c b b"), (3, "A", "c a b. b"), (4, "B", None), (5, "A", ""), (6, "A", "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    analyses = lexicon.analyse(tokens.vocabulary(docs).withColumnRenamed("norm", "word"), lexicon.stems(spark, [("a", "a", "x", 0)]), lexicon.endings(spark, [("x", "", 0)]))
+    c = stored.build(docs, stored.shared_folder(spark), analyses)
+    for terms in [*itertools.product(["a", "!b", "!(a or c)", "!@lemma:a"], repeat=2), ("!a", "b", "!c"), ("!c", "!a", "b"), ("a", "!a", "!a")]:
+        means = {"a": lambda w: w == "a", "b": lambda w: w == "b", "!a": lambda w: w != "a", "!b": lambda w: w != "b", "!c": lambda w: w != "c", "!(a or c)": lambda w: w == "b", "!@lemma:a": lambda w: w != "a"}
+        for author in ("", "A"):
+            want = []
+            for doc_id, source, text in texts:
+                words = [(w.strip("."), "." in w) for w in (text or "").split()]
+                for p in range(len(words) - len(terms) + 1):
+                    cut = any(end for _, end in words[p : p + len(terms) - 1])
+                    if (not author or source == author) and not cut and all(means[t](words[p + i][0]) for i, t in enumerate(terms)):
+                        want.append((doc_id, p))
+            found = plans.matches(c, (f"[{author}] " if author else "") + " ".join(terms), extended=True)
+            assert sorted(map(tuple, found.select("doc_id", "pos").collect())) == sorted(want), (terms, author)
