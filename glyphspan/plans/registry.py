@@ -15,6 +15,7 @@ from glyphspan.operators import dictionary as D
 from glyphspan.operators import evaluate as E
 from glyphspan.operators import language as N
 from glyphspan.operators import lexicon as L
+from glyphspan.operators import macronizer as Z
 from glyphspan.operators import markup as M
 from glyphspan.operators import matching as G
 from glyphspan.operators import morphology as H
@@ -769,3 +770,21 @@ def turn_parents(spark, sf):
     roles = F.array(*map(F.lit, ("system", "user", "assistant")))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", (F.array_position(roles, F.col("role")).cast("int") - 1).alias("level")).where("level >= 0")
     return B.nearest_smaller(rows, "conv_id", "turn", "level", 3).select("conv_id", "turn", "parent")
+
+
+#: Forms of frequent words, long vowels followed by a line, with what they mean.
+LENGTHS = [("the", "the_", "the", 1, None), ("the", "the", "thee", 2, None), ("of", "o_f", "of", 1, None), ("of", "of", "of#2", 2, None), ("and", "a_nd", "and", 1, None), ("anti", "a_n", "an", 1, "ti"), ("les", "le_s", "le", 1, None), ("les", "les", "les", 4, None)]
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+') AS c, text FROM conversations),
+u AS (SELECT conv_id, turn, unnest(c) AS raw, unnest(range(len(c))) AS i FROM p WHERE text IS NOT NULL),
+j AS (SELECT *, lower(raw) AS w, sum(1 + (lower(raw) = 'anti')::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 - (lower(raw) = 'anti')::INT AS j FROM u),
+n AS (SELECT conv_id, turn, i, CASE WHEN w = 'the' AND j % 2 = 0 THEN raw || chr(772) WHEN w IN ('of', 'and', 'anti') AND (w <> 'of' OR j % 2 = 0) THEN substr(raw, 1, 1) || chr(772) || substr(raw, 2) ELSE raw END AS now FROM j)
+SELECT p.conv_id, p.turn, CASE WHEN any_value(p.text) IS NOT NULL THEN coalesce(string_agg(now, '' ORDER BY i), '') END AS text FROM p LEFT JOIN n ON n.conv_id = p.conv_id AND n.turn = p.turn GROUP BY p.conv_id, p.turn""")
+def macronized_turns(spark, sf):
+    """All turns with the lengths of a few words; the tagger's words, enclitics apart, are nominatives and accusatives by turns."""
+    turns = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    forms = spark.createDataFrame(LENGTHS, "word string, form string, lemma string, mask int, enclitic string")
+    tagged = Z.given(Z.placed(Z.pieces(turns, "id"), forms)).select("doc_id", "j", "text", F.lower("text").alias("lemma"), (1 + F.col("j") % 2).alias("mask"))
+    told = Z.macronised(turns, forms, tagged, "id")
+    return told.select("doc_id.conv_id", "doc_id.turn", "text")
