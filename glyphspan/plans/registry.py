@@ -90,8 +90,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> C.Corpus:
     if (folder := spark.conf.get(name, None)) is None:
         folder = C.shared_folder(spark)
         docs = _docs(spark, sf_dir)
-        analyses = L.analyse(K.vocabulary(docs).withColumnRenamed("norm", "word"), L.stems(spark, STEMS), L.endings(spark, ENDINGS))
-        C.build(docs, folder, analyses)
+        C.build(docs, folder, lambda words: L.analyse(words, L.stems(spark, STEMS), L.endings(spark, ENDINGS)))
         spark.conf.set(name, folder)
     return C.load(spark, folder)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphspan.functions import text as T
 from glyphspan.functions.inflection import CATEGORIES, values_of
-from glyphspan.operators.tokens import spread, token_table
+from glyphspan.operators.tokens import spread
 
 BLOCK = 128
 ANALYSES = "array<struct<lemma:string,mask:int>>"
@@ -27,7 +28,7 @@ ANALYSES = "array<struct<lemma:string,mask:int>>"
 @dataclass(frozen=True)
 class Corpus:
     tokens: DataFrame  # source, doc_id, pos, text, norm, hard_break
-    blocks: DataFrame  # doc_id, block, words array<struct<text, brk>>
+    blocks: DataFrame  # source, doc_id, block, n (of the document's words), words array<struct<text, brk>>
     words: DataFrame  # norm, n, analyses
 
 
@@ -41,20 +42,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
-def build(docs: DataFrame, folder: str, analyses: DataFrame | None = None) -> Corpus:
-    """Write the corpus of documents (doc_id, source, text); ``analyses``: (word, lemma, mask) for its vocabulary."""
+def build(docs: DataFrame, folder: str, analyses: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> Corpus:
+    """Write the corpus of documents (doc_id, source, text); ``analyses``: (word, lemma, mask) for its vocabulary, or what makes
+    them of its words (word).
+
+    Only the blocks are told from the texts; tokens are told from blocks, the vocabulary from tokens.
+    """
     spark = docs.sparkSession
-    tokens = token_table(docs).select("source", "doc_id", "pos", "text", "norm", "hard_break")
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(cores, "norm", "doc_id", "pos").sortWithinPartitions("norm", "doc_id", "pos")
-    ordered.write.mode("overwrite").parquet(f"{folder}/tokens", compression="zstd")
-    listed = spread(docs).select("doc_id", T.word_list(F.col("text")).alias("text"), T.breaks(F.col("text")).alias("brk"))
+    listed = spread(docs).select("source", "doc_id", T.word_list(F.col("text")).alias("text"), T.breaks(F.col("text")).alias("brk"))
     numbers = F.when(F.size("text") > 0, F.sequence(F.lit(0), F.ceil(F.size("text") / BLOCK).cast("int") - 1))
     part = lambda c: F.slice(c, F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias(c)
-    blocks = listed.select("*", F.explode(numbers).alias("block")).select("doc_id", "block", F.arrays_zip(part("text"), part("brk")).alias("words"))
+    blocks = listed.select("*", F.size("text").alias("n"), F.explode(numbers).alias("block")).select("source", "doc_id", "block", "n", F.arrays_zip(part("text"), part("brk")).alias("words"))
     blocks.write.mode("overwrite").parquet(f"{folder}/blocks", compression="zstd")
-    read = spark.read.parquet(f"{folder}/tokens")
-    with_analyses(read.groupBy("norm").agg(F.count(F.lit(1)).alias("n")), analyses).write.mode("overwrite").parquet(f"{folder}/words")
+    each = spark.read.parquet(f"{folder}/blocks").select("source", "doc_id", "n", "block", F.posexplode("words").alias("i", "w"))
+    at = F.col("block") * BLOCK + F.col("i")
+    hard = F.contains("w.brk", F.lit(".")) | (at == F.col("n") - 1)
+    tokens = each.select("source", "doc_id", at.alias("pos"), "w.text", T.normal(F.col("w.text")).alias("norm"), hard.alias("hard_break"))
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = tokens.repartitionByRange(cores, "norm", "doc_id", "pos").sortWithinPartitions("norm", "doc_id", "pos")
+    ordered.write.mode("overwrite").parquet(f"{folder}/tokens", compression="zstd")
+    words = spark.read.parquet(f"{folder}/tokens").groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    told = analyses(words.select(F.col("norm").alias("word"))) if callable(analyses) else analyses
+    with_analyses(words, told).write.mode("overwrite").parquet(f"{folder}/words")
     return load(spark, folder)
 
 
@@ -73,13 +82,14 @@ def load(spark: SparkSession, folder: str) -> Corpus:
 def postings(corpus: Corpus) -> DataFrame:
     """(attr, key, doc_id, positions): an inverted index of words, lemmata and features, positions in order.
 
-    A document's places of a key are one array; what words mean joins the words, not the tokens.
+    A document's places of a key are one array; what words mean joins the words, not the tokens.  Tokens are dealt once, by
+    documents, as both groupings hold a document's tokens together.
     """
     meant = corpus.words.select("norm", F.explode("analyses").alias("a"))
     keys = corpus.words.select("norm", F.lit("word").alias("attr"), F.col("norm").alias("key"))
     keys = keys.unionByName(meant.select("norm", F.lit("lemma").alias("attr"), F.col("a.lemma").alias("key")))
     for name in CATEGORIES:
         keys = keys.unionByName(meant.select("norm", F.lit(name).alias("attr"), F.explode(values_of(F.col("a.mask"), name)).alias("key")))
-    places = corpus.tokens.groupBy("norm", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    places = corpus.tokens.select("norm", "doc_id", "pos").repartition("doc_id").groupBy("norm", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     found = places.join(keys.distinct(), "norm").groupBy("attr", "key", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return found
