@@ -778,7 +778,8 @@ LENGTHS = [("the", "the_", "the", 1, None), ("the", "the", "thee", 2, None), ("o
 @query(r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+') AS c, text FROM conversations),
 u AS (SELECT conv_id, turn, unnest(c) AS raw, unnest(range(len(c))) AS i FROM p WHERE text IS NOT NULL),
 j AS (SELECT *, lower(raw) AS w, sum(1 + (lower(raw) = 'anti')::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 - (lower(raw) = 'anti')::INT AS j FROM u),
-n AS (SELECT conv_id, turn, i, CASE WHEN w = 'the' AND j % 2 = 0 THEN raw || chr(772) WHEN w IN ('of', 'and', 'anti') AND (w <> 'of' OR j % 2 = 0) THEN substr(raw, 1, 1) || chr(772) || substr(raw, 2) ELSE raw END AS now FROM j)
+n AS (SELECT conv_id, turn, i, CASE WHEN w = 'the' AND j % 2 = 0 THEN raw || chr(772) WHEN w IN ('of', 'and', 'anti') AND (w <> 'of' OR j % 2 = 0) THEN substr(raw, 1, 1) || chr(772) || substr(raw, 2)
+  WHEN w = 'les' AND j % 2 = 0 THEN substr(raw, 1, 2) || chr(772) || substr(raw, 3) ELSE raw END AS now FROM j)
 SELECT p.conv_id, p.turn, CASE WHEN any_value(p.text) IS NOT NULL THEN coalesce(string_agg(now, '' ORDER BY i), '') END AS text FROM p LEFT JOIN n ON n.conv_id = p.conv_id AND n.turn = p.turn GROUP BY p.conv_id, p.turn""")
 def macronized_turns(spark, sf):
     """All turns with the lengths of a few words; the tagger's words, enclitics apart, are nominatives and accusatives by turns."""
