@@ -19,6 +19,7 @@ from glyphspan.operators import macronizer as Z
 from glyphspan.operators import markup as M
 from glyphspan.operators import matching as G
 from glyphspan.operators import morphology as H
+from glyphspan.operators import recombine as W
 from glyphspan.operators import references as R
 from glyphspan.operators import search as S
 from glyphspan.operators import sections as X
@@ -788,3 +789,46 @@ def macronized_turns(spark, sf):
     tagged = Z.given(Z.placed(Z.pieces(turns, "id"), forms)).select("doc_id", "j", "text", F.lower("text").alias("lemma"), (1 + F.col("j") % 2).alias("mask"))
     told = Z.macronised(turns, forms, tagged, "id")
     return told.select("doc_id.conv_id", "doc_id.turn", "text")
+
+
+def talks(spark, sf) -> DataFrame:
+    """Conversations as poems of works, three to a file: a book each, or, in every fourth file, a work each; turns are poems."""
+    file, turn = F.floor(F.col("conv_id") / 3), F.col("turn")
+    single = F.pmod(file, F.lit(4)) == 0
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).cast("string").alias("line"), x.alias("text")))
+    title = F.when(single, F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit("a"))).otherwise("Talks")
+    subtitle = F.when(single, "poems").otherwise(F.concat(F.lit("Talk "), (F.pmod("conv_id", F.lit(3)) + 1).cast("string")))
+    shown = [file.alias("file"), (F.col("conv_id") * 1_000_000 + turn).alias("ord"), F.col("role").alias("author"), title.alias("title"), subtitle.alias("subtitle"), F.lit("").alias("poem_title"), (turn + 1).cast("string").alias("poem_number"), lines.alias("lines")]
+    return table(spark, sf, "conversations").select(*shown)
+
+
+_TALKS = """WITH c AS (SELECT *, conv_id // 3 AS file, conv_id * 1000000 + turn AS ord, (conv_id // 3) % 4 = 0 AS single, CASE WHEN (conv_id // 3) % 4 = 0 THEN conv_id ELSE -1 END AS w FROM conversations),
+s AS (SELECT file, w, min(ord) AS work, count(*) AS n FROM c GROUP BY file, w), m AS (SELECT file, w, max(k) AS most FROM (SELECT file, w, conv_id, count(*) AS k FROM c GROUP BY file, w, conv_id) GROUP BY file, w),
+h AS (SELECT *, CASE WHEN n = 1 THEN 'lines' WHEN w >= 0 THEN 'poem, line' WHEN most > 1 THEN 'book, poem, line' ELSE 'book, line' END AS shape FROM s JOIN m USING (file, w)) """
+
+
+@query(_TALKS + """, l AS (SELECT file, w, ord, conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS t FROM c), e AS (SELECT *, unnest(t) AS text, unnest(range(len(t))) AS i FROM l)
+SELECT e.file, work, row_number() OVER (PARTITION BY e.file, work ORDER BY ord, i) - 1 AS row, CASE shape WHEN 'lines' THEN '1' WHEN 'poem, line' THEN (turn + 1)::VARCHAR WHEN 'book, line' THEN (conv_id % 3 + 1)::VARCHAR ELSE (conv_id % 3 + 1) || '/' || (turn + 1) END || '/' || (i + 1) AS id, text
+FROM e JOIN h USING (file, w)""")
+def talk_lines(spark, sf):
+    """All lines of the works that conversations are recombined to, with their ids."""
+    lines = W.work_lines(W.recombined(talks(spark, sf)))
+    return lines.select("file", "work", "row", F.array_join("id", "/").alias("id"), "text")
+
+
+@query(_TALKS + ", p AS (SELECT DISTINCT file, w, CASE WHEN single THEN 'Talk ' || conv_id || 'a' ELSE 'Talks' END AS title FROM c) SELECT file, work, title, shape, n AS poems FROM h JOIN p USING (file, w)")
+def talk_works(spark, sf):
+    """The works that conversations are recombined to, with their shapes."""
+    return W.catalogue(W.recombined(talks(spark, sf))).select("file", "work", "title", "shape", "poems")
+
+
+@query(r"""WITH k AS (SELECT page_id, regexp_extract(url, '://[^/?#]*\.([a-z]+)[/?#]', 1) AS top, lower(trim(regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1))) AS section, regexp_extract(url, '://[^/?#]*/[^/?#]*/([^/?#]*)', 1) AS page FROM pages WHERE url IS NOT NULL),
+t AS (SELECT page_id, top, CASE WHEN regexp_matches(page, '^-?[0-9]+$') THEN section || ' ' ELSE section || ' ' || lower(page) || '#' END AS key FROM k),
+n AS (SELECT *, CASE WHEN key IS DISTINCT FROM lag(key) OVER (PARTITION BY top ORDER BY page_id) OR row_number() OVER (PARTITION BY top ORDER BY page_id) = 1 THEN page_id END AS start FROM t)
+SELECT top, page_id, max(start) OVER (PARTITION BY top ORDER BY page_id) AS run FROM n""")
+def page_runs(spark, sf):
+    """Runs of pages of one top domain, in order of their ids, whose addresses differ in a last number only."""
+    of = lambda pattern: F.regexp_extract("url", pattern, 1)
+    title = F.concat_ws(" ", of(r"://[^/?#]*/([^/?#]*)"), of(r"://[^/?#]*/[^/?#]*/([^/?#]*)"))
+    rows = table(spark, sf, "pages").where(F.col("url").isNotNull()).select(of(r"://[^/?#]*\.([a-z]+)[/?#]").alias("top"), "page_id", title.alias("title"))
+    return W.runs(rows, "top", "page_id", W.title_key(F.col("title"))).select("top", "page_id", "run")
