@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphspan.functions import text as T
@@ -24,9 +24,12 @@ from glyphspan.operators import references as R
 from glyphspan.operators import search as S
 from glyphspan.operators import sections as X
 from glyphspan.operators import tokens as K
+from glyphspan.plans import completion as Y
 from glyphspan.plans import search as Q
 from glyphspan.plans.language import Word
 from glyphspan.sources import corpus as C
+from glyphspan.sources import entries as I
+from glyphspan.sources import sinks as O
 from glyphspan.sources.tables import table
 from glyphspan.streaming import events as V
 
@@ -832,3 +835,74 @@ def page_runs(spark, sf):
     title = F.concat_ws(" ", of(r"://[^/?#]*/([^/?#]*)"), of(r"://[^/?#]*/[^/?#]*/([^/?#]*)"))
     rows = table(spark, sf, "pages").where(F.col("url").isNotNull()).select(of(r"://[^/?#]*\.([a-z]+)[/?#]").alias("top"), "page_id", title.alias("title"))
     return W.runs(rows, "top", "page_id", W.title_key(F.col("title"))).select("top", "page_id", "run")
+
+
+def _folder_of(spark: SparkSession, sf_dir: str, name: str, what: str, make) -> str:
+    """A folder that ``make(table, folder)`` fills once in a session for the files that the table has now."""
+    at = f"spark.glyphspan.{what}.{_state(spark, sf_dir, name)}"
+    if (folder := spark.conf.get(at, None)) is None:
+        folder = C.shared_folder(spark)
+        make(table(spark, sf_dir, name), folder)
+        spark.conf.set(at, folder)
+    return folder
+
+
+def _turn_entry() -> Column:
+    """A turn as an entry: its role a key, its text a definition, its first word of plain letters the key of a sense."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", " ")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        said = F.replace(said, F.lit(sign), F.lit(name))
+    first = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))
+    at = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    parts = (F.lit('<entryFree id="t'), at, F.lit('" n="'), F.col("turn").cast("string"), F.lit('">\n<orth>'), F.coalesce("role", F.lit("none")), F.lit("</orth><def>"), said, F.lit('</def><sense id="s'), at, F.lit('" level="1"><orth>'), first, F.lit("</orth></sense>\n</entryFree>"))
+    return F.concat(*parts)
+
+
+@query(r"""WITH e AS (SELECT 't' || conv_id || '.' || turn AS id, 's' || conv_id || '.' || turn AS s, turn::VARCHAR AS number, coalesce(role, 'none') AS role, lower(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0)) AS first,
+  replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS said FROM conversations),
+n AS (SELECT *, length('<entryFree id="' || id || '" n="' || number || '">' || chr(10) || '<orth>' || role || '</orth><def>' || said || '</def><sense id="' || s || '" level="1"><orth>' || first || '</orth></sense>' || chr(10) || '</entryFree>') AS chars FROM e)
+SELECT id, number, role AS orth, NULL AS sense_id, chars FROM n UNION ALL SELECT id, number, first, s, chars FROM n WHERE first <> ''""")
+def entry_headwords(spark, sf):
+    """Headwords of a dictionary whose entries are the turns of conversations, written as large files and read by ranges of bytes."""
+
+    def make(turns: DataFrame, folder: str) -> None:
+        I.written(turns, _turn_entry(), f"{folder}/files")
+        I.raw_entries(I.entries(I.records(spark, f"{folder}/files")), "turns").write.parquet(f"{folder}/raw")
+
+    entries, orths = D.build(spark.read.parquet(_folder_of(spark, sf, "conversations", "entries", make) + "/raw"))
+    return orths.join(entries, ["dict", "id"]).select("id", "number", "orth", "sense_id", F.char_length("entry").cast("long").alias("chars"))
+
+
+@query("""SELECT doc_id, 'length' AS processor, CASE WHEN lang = 'de' THEN 'de:' ELSE '' END || length(text) AS output FROM documents
+UNION ALL SELECT doc_id, 'lines', (length(text) - length(replace(text, chr(10), '')))::VARCHAR FROM documents WHERE lang = 'fr'""")
+def rewritten_results(spark, sf):
+    """Results of all documents, written; then those of one language again and of another by a second process; read back."""
+
+    def make(docs: DataFrame, folder: str) -> None:
+        size = F.char_length("text").cast("string")
+        shown = lambda name, output: docs.select("doc_id", "lang", F.lit(name).alias("processor"), output.alias("output"))
+        O.put(shown("length", size).drop("lang"), folder)
+        again = shown("length", F.concat(F.lit("de:"), size)).where("lang = 'de'")
+        lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))).cast("string")
+        O.put(again.unionByName(shown("lines", lines).where("lang = 'fr'")).drop("lang"), folder)
+
+    folder = _folder_of(spark, sf, "documents", "results", make)
+    return O.results(spark, folder, "doc_id long, output string").select("doc_id", "processor", "output")
+
+
+#: Half-typed queries whose ways to go on are asked for.
+HALF_TYPED = ["", "#SR", "the ", "of th", "(@lemma:t", "the ~ @ca", "of @case:", "the #src1"]
+
+
+@query(_TOKENS + _LEXICON + """, v AS (SELECT norm, row_number() OVER (ORDER BY norm COLLATE C) AS r FROM (SELECT DISTINCT norm FROM t WHERE starts_with(norm, 'th'))),
+s AS (SELECT source, row_number() OVER (ORDER BY lower(source), source) AS r FROM (SELECT DISTINCT source FROM documents JOIN (SELECT DISTINCT doc_id FROM t) USING (doc_id) WHERE starts_with(lower(source), 'sr')))
+SELECT 'of th' AS text, 'word' AS kind, 'of ' || norm || ' ' AS becomes FROM v WHERE r <= 50 UNION ALL SELECT '#SR', 'author', '#' || replace(source, ' ', '_') || ' ' FROM s WHERE r <= 50
+UNION ALL SELECT '(@lemma:t', 'lemma', '(@lemma:' || lemma || ' ' FROM (SELECT DISTINCT lemma FROM an WHERE starts_with(lemma, 't'))
+UNION ALL SELECT * FROM (VALUES ('', 'author', '#'), ('', 'word', ''), ('', 'feature', '@'), ('the ', 'word', 'the '), ('the ', 'feature', 'the @'), ('the ', 'and', '(the and '), ('the ', 'or', '(the or '), ('the ', 'near', 'the ~ '), ('the ~ @ca', 'feature', 'the ~ @case:'), ('the #src1', 'fault', 'authors must come first'))
+UNION ALL SELECT 'of @case:', 'value', 'of @case:' || c || ' ' FROM (SELECT unnest(['nominative', 'vocative', 'accusative', 'genitive', 'dative', 'ablative', 'locative']) AS c)""")
+def query_completions(spark, sf):
+    """The ways to go on with half-typed queries, values from the corpus's stored lists."""
+    folder = _folder_of(spark, sf, "documents", "lists", lambda docs, at: O.put_lists(corpus(spark, sf), at))
+    lists = spark.read.parquet(folder)
+    found = [Y.completions(lists, text) for text in HALF_TYPED]
+    return D.fused(found)

@@ -72,27 +72,25 @@ def raw_entries(found: DataFrame, dictionary: str, key: str = "orth", sense: str
     or a key is an error.  Empty keys count for nothing.
     """
     named = found.withColumn("at", F.struct("file", "at", "row").cast("string"))
-    tree = M.nodes(named, "at", "entry")
-    roots = tree.where("parent IS NULL AND name IS NOT NULL").select("doc_id", F.try_element_at("attrs", F.lit("id")).alias("id"), F.try_element_at("attrs", F.lit("n")).alias("number"))
-    keys = tree.where(F.col("name") == key)
-    texts = M.text_of(tree, keys).withColumn("orth", F.btrim("text")).where("orth <> ''").select("doc_id", "node", "orth")
-    marks = M.carried_marks(tree, tree.where(F.col("name") == sense)).where(F.col("name") == key)
-    inside = F.when(F.size("marks") > 0, F.element_at("marks", -1)["node"])
-    placed = marks.select("doc_id", "node", F.col("depth").alias("depth"), inside.alias("sense")).join(texts, ["doc_id", "node"])
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["orth"])
-    own = placed.where("sense IS NULL AND depth = 1").groupBy("doc_id").agg(in_order(F.struct("node", "orth")).alias("keys"))
+    attr = lambda name: F.try_element_at("attrs", F.lit(name)).alias(name)
+    node = F.struct("node", "last", "depth", "name", "text", attr("id"), attr("n"), attr("level"))
+    # entries are read once; an entry's nodes are one array, in which each element is a slice
+    trees = M.nodes(named, "at", "entry").groupBy("doc_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    trees = trees.withColumns({"root": F.get("nodes", F.lit(0)), "marks": F.filter("nodes", lambda x: x["name"] == sense)})
+    said = lambda k: F.array_join(F.slice("nodes", k["node"] + 1, k["last"] - k["node"] + 1)["text"], "")
+    holder = lambda k: F.try_element_at(F.filter("marks", lambda m: (m["node"] < k["node"]) & (m["last"] >= k["last"])), F.lit(-1))["node"]
+    named_keys = F.transform(F.filter("nodes", lambda x: x["name"] == key), lambda k: F.struct(k["depth"].alias("depth"), F.btrim(said(k)).alias("orth"), holder(k).alias("sense")))
+    trees = trees.withColumn("orths", F.filter(named_keys, lambda k: k["orth"] != ""))
+    own = F.filter("orths", lambda k: k["sense"].isNull() & (k["depth"] == 1))["orth"]
+    below = F.transform("marks", lambda m: F.struct(m["id"].alias("sense_id"), F.filter("orths", lambda k: k["sense"] == m["node"])["orth"].alias("orths")))
+    listed = F.transform("marks", lambda m: F.struct(m["id"].alias("id"), m["level"].try_cast("int").alias("level"), m["n"].alias("label")))
+    told = trees.select("doc_id", F.col("root.id").alias("id"), F.col("root.n").alias("number"), own.alias("keys"), F.filter(below, lambda d: F.size(d["orths"]) > 0).alias("derived"), listed.alias("senses"))
     if regular is not None:
         fit = F.filter("keys", lambda k: F.regexp_like(k, F.lit(regular)))
-        own = own.withColumn("keys", F.when(F.size(fit) > 0, fit).otherwise(F.col("keys")))
-    attr = lambda name: F.try_element_at("attrs", F.lit(name))
-    senses = tree.where(F.col("name") == sense).select("doc_id", F.col("node").alias("sense"), attr("id").alias("sense_id"), attr("level").try_cast("int").alias("level"), attr("n").alias("label"))
-    listed = senses.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sense", F.struct(F.col("sense_id").alias("id"), "level", "label").alias("s")))), lambda x: x["s"]).alias("senses"))
-    below = placed.where("sense IS NOT NULL").groupBy("doc_id", "sense").agg(in_order(F.struct("node", "orth")).alias("orths")).join(senses, ["doc_id", "sense"])
-    derived = below.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sense", F.struct("sense_id", "orths").alias("d")))), lambda x: x["d"]).alias("derived"))
-    needed = lambda c, what: F.coalesce(c, F.raise_error(F.concat(F.lit(f"an entry without {what}: "), "doc_id")).cast(roots.schema["id"].dataType if what == "an id" else own.schema["keys"].dataType))
-    whole = roots.join(own, "doc_id", "left").join(derived, "doc_id", "left").join(listed, "doc_id", "left").join(named.select(F.col("at").alias("doc_id"), "entry"), "doc_id")
-    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
-    return whole.select(F.lit(dictionary).alias("dict"), needed(F.col("id"), "an id").alias("id"), needed(F.col("keys"), "a key").alias("keys"), none("derived", "array<struct<sense_id:string,orths:array<string>>>"), none("senses", "array<struct<id:string,level:int,label:string>>"), "entry", "number")
+        told = told.withColumn("keys", F.when(F.size(fit) > 0, fit).otherwise(F.col("keys")))
+    stop = lambda what, kind: F.raise_error(F.concat(F.lit(f"an entry without {what}: "), "doc_id")).cast(kind)
+    told = told.withColumns({"id": F.coalesce("id", stop("an id", "string")), "keys": F.when(F.size("keys") > 0, F.col("keys")).otherwise(stop("a key", "array<string>"))})
+    return told.join(named.select(F.col("at").alias("doc_id"), "entry"), "doc_id").select(F.lit(dictionary).alias("dict"), "id", "keys", "derived", "senses", "entry", "number")
 
 
 def paragraphs(spark: SparkSession, path: str, pattern: str = r"\r?\n[ \t]*\r?\n") -> DataFrame:
