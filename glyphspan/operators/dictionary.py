@@ -52,7 +52,7 @@ def by_prefix(orths: DataFrame, query: str) -> DataFrame:
 def entries_for(words: DataFrame, entries: DataFrame, orths: DataFrame, word: str = "word") -> DataFrame:
     """(word, dict, id, entry, include_main, subsections): the entries of each word, with the senses its headwords belong to."""
     asked = words.select(F.col(word).alias("word")).distinct().withColumn("clean_orth", T.clean_key(F.col("word")))
-    found = asked.join(orths, "clean_orth").where(T.compatible_lengths(F.col("word"), F.col("orth")))
+    found = asked.hint("merge").join(orths, "clean_orth").where(T.compatible_lengths(F.col("word"), F.col("orth")))
     sense = F.when(F.col("sense_id").isNotNull(), F.struct(F.col("sense_id").alias("id"), F.col("orth").alias("name")))
     each = found.groupBy("word", "dict", "id").agg(F.bool_or(F.col("sense_id").isNull()).alias("include_main"), F.array_sort(F.collect_set(sense)).alias("subsections"))
     return each.join(entries, ["dict", "id"]).select("word", "dict", "id", "entry", "include_main", "subsections")
@@ -71,7 +71,7 @@ def by_inflection(analyses: DataFrame, entries: DataFrame, orths: DataFrame, wor
     plain = T.clean_key(F.col("word"))
     exact = entries_for(words, entries, orths, word).select("word", "dict", "id", F.lit(2).alias("how"), F.lit(None).cast("struct<lemma:string,mask:int>").alias("inflection"))
     formed = analyses.withColumns({"clean_orth": T.clean_key(_base(F.col("lemma"))), "wanted": F.regexp_extract("lemma", "#([0-9]+)$", 1)})
-    formed = formed.join(orths.where("sense_id IS NULL").select("dict", "id", "clean_orth").distinct(), "clean_orth").join(entries.select("dict", "id", "number"), ["dict", "id"])
+    formed = formed.hint("merge").join(orths.where("sense_id IS NULL").select("dict", "id", "clean_orth").distinct(), "clean_orth").join(entries.select("dict", "id", "number"), ["dict", "id"])
     formed = formed.where((F.col("wanted") == "") | F.col("number").isNull() | (F.col("wanted") == F.col("number").cast("string")))
     bent = formed.select("word", "dict", "id", F.when(F.col("clean_orth") == plain, 1).otherwise(3).alias("how"), F.struct("lemma", "mask").alias("inflection"))
     return exact.unionByName(bent).groupBy("word", "dict", "id").agg(F.min("how").alias("how"), F.array_sort(F.collect_set("inflection")).alias("inflections"))

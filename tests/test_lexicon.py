@@ -11,6 +11,7 @@ from glyphspan.functions import inflection as I
 from glyphspan.functions import text as T
 from glyphspan.operators import dictionary as D
 from glyphspan.operators import lexicon as L
+from glyphspan.operators import morphology as H
 
 
 def _words(spark, *words):
@@ -128,3 +129,16 @@ def test_dictionary_entries_senses_and_inflection(spark):
     assert how == {("amo", "n1"): 1, ("amo", "g1"): 1, ("amor", "n1"): 2, ("amas", "n1"): 3, ("amas", "g1"): 3, ("occidit", "n3"): 3}
     assert {r["orth"] for r in D.by_prefix(orths, "AM").collect()} == {"amō", "amor", "Amo"} and {r["orth"] for r in D.by_prefix(orths, "-DO").collect()} == {"occido", "occīdo"}
     assert [r["orth"] for r in D.completions(orths, "am", 1).where("dict = 'LS'").collect()] == ["amō"]
+
+
+def test_cut_words_are_never_broadcast(spark, tmp_path):
+    """A stored vocabulary looks small beside tables that Spark cannot measure; cut at every place it is many times larger."""
+    _words(spark, "hating", "andy", "inhat", "zzz").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    stems, endings = L.stems(spark, [("hat", "hat", "y", 2)]), L.endings(spark, [("y", "ing", 2), ("y", "", 1)])
+    entries, orths = D.build(spark.createDataFrame([("S", "e0", ["hat"], [], "an entry", None)], "dict string, id string, keys array<string>, derived array<struct<sense_id:string,orths:array<string>>>, entry string, number int"))
+    plain = [spark.createDataFrame(t.rdd, t.schema) for t in (stems, endings)]
+    frames = [L.analyse(words, stems, endings), L.analyse(words, *plain), L.crunch(words, *plain), D.entries_for(words, entries, orths), H.preverb_splits(words, spark.createDataFrame([("in", "in")], "preverb string, prefix string"))]
+    for df in frames:
+        assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["word"], r["lemma"]) for r in frames[0].collect()} == {(r["word"], r["lemma"]) for r in frames[1].collect()} == {("hating", "hat")}
