@@ -20,6 +20,8 @@ NODE = "node int, last int, parent int, depth int, ord int, name string, attrs m
 # Elements of HTML that have no end, and those that stand on lines of their own.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 BLOCKS = ("p", "div")
+# Nodes that a task hands on at once, and documents that one task reads at most, about.
+ROWS_AT_ONCE, DOCUMENTS_A_TASK = 10_000, 1_000
 
 
 class _Tree:
@@ -95,12 +97,24 @@ def _html(text: str) -> list[list]:
     return tree.finish()
 
 
+def dealt(docs: DataFrame, doc_id: str) -> DataFrame:
+    """The same documents in tasks of about ``DOCUMENTS_A_TASK``, however their files are cut: a group of rows in a file may hold them all."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // DOCUMENTS_A_TASK))
+    return docs.repartition(tasks, doc_id)
+
+
 def nodes(df: DataFrame, doc_id: str, markup: str, kind: str = "xml", strict: bool = True) -> DataFrame:
     """(doc_id, node, last, parent, depth, ord, name, attrs, text) of all documents; a broken XML text is an error, or, if not
     ``strict``, has no nodes; null texts have none."""
     read, key = {"xml": _xml, "html": _html}[kind], df.schema[doc_id].dataType.simpleString()
 
+    names = ["doc_id", "node", "last", "parent", "depth", "ord", "name", "attrs", "text"]
+
+    def frame(rows: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
+
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list] = []  # a frame for each document would cost more than its parsing
         for pdf in batches:
             for at, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 try:
@@ -109,10 +123,12 @@ def nodes(df: DataFrame, doc_id: str, markup: str, kind: str = "xml", strict: bo
                     if strict:
                         raise ValueError(f"document {at}: {e}") from e
                     rows = []
-                if rows:
-                    out = pd.DataFrame(rows, columns=["node", "last", "parent", "depth", "ord", "name", "attrs", "text"])
-                    out.insert(0, "doc_id", at)
-                    yield out.astype({"parent": "Int32"})
+                held += [[at, *row] for row in rows]
+                if len(held) >= ROWS_AT_ONCE:
+                    yield frame(held)
+                    held = []
+        if held:
+            yield frame(held)
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(markup).alias("text")).mapInPandas(parsed, f"doc_id {key}, {NODE}")
 

@@ -109,3 +109,22 @@ def test_evaluation(spark):
     lines = lambda *x: _table(spark, "k long, line int, text string", *[(1, i, t) for i, t in enumerate(x)])
     assert sorted(tuple(r) for r in E.line_differences(lines("a", "b", "c"), lines("a", "x"), "k").collect()) == [(1, 1, "b", "x"), (1, 2, "c", None)]
     assert S.estimate(50, 100, 1000) == 500
+
+
+def test_titles_as_they_are_written(spark, tmp_path):
+    """As the query's SQL has it: ampersands alone are resolved, a cut entity stays, an empty title has a row."""
+    from glyphspan.plans import registry
+
+    pages = [(1, "u", "<title> A &amp; B &quot;c&quot; &amp</title><p>x"), (2, "u", "<title></title>"), (3, "u", "<p>none"), (4, "u", None)]
+    _table(spark, "page_id long, url string, html string", *pages).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["title"] for r in registry.QUERIES["page_titles"](spark, str(tmp_path)).collect()}
+    assert got == {1: "A & B &quot;c&quot; &amp", 2: ""}
+
+
+def test_documents_of_one_group_of_rows_are_dealt(spark):
+    """Files may hold all documents in one group of rows, which one task reads: parsing is dealt out anew."""
+    docs = spark.range(3 * M.DOCUMENTS_A_TASK).coalesce(1).selectExpr("id", "'<a>x</a>' AS x")
+    dealt = M.dealt(docs, "id")
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 2 * M.DOCUMENTS_A_TASK
+    assert M.nodes(dealt, "id", "x").count() == 6 * M.DOCUMENTS_A_TASK
