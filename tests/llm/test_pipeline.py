@@ -69,3 +69,20 @@ def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
     rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, d)]
     kept = sorted(((r["doc_id"], r["text"]) for r in _stage(spark, rows)), key=str)
     assert kept == sorted([(1, a), (None, b), (2, c), (2, d)], key=str)
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    """What SimHash links meets even where no key of MinHash is shared; the exact similarity decides."""
+    from glyphspan.llm import simhash
+
+    rows = [(0, 1, "a b c d e f g"), (1, 2, "h i j k l m n"), (2, 3, "o p q r s t u")]
+    df = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    alike = spark.createDataFrame([(0, 7), (1, 7), (2, 8)], "row long, group long")
+    kept = lambda **how: sorted(r["row"] for r in minhash.kept_rows(df, "row", **how).collect())
+    assert kept(similarity=0.0) == [0, 1, 2]
+    assert kept(similarity=0.0, alike=alike) == [0, 2]
+    assert kept(alike=alike) == [0, 1, 2]
+    called, real = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: called.append(1) or real(*a, **k))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df.select("doc_id", "text"), "").collect()} == {1, 2, 3}
+    assert called
