@@ -79,7 +79,8 @@ def tokens_of(corpus: Corpus, c: Constraint, authors: tuple[str, ...] = (), stri
     if (words := _words_of(c)) is not None:
         rows = rows.where(F.col("norm").isin(words) if len(words) > 1 else F.col("norm") == words[0])
     else:
-        rows = rows.join(corpus.words.where(_met(c, strict)).select("norm"), "norm", "left_semi")
+        # words are hashed, far fewer than tokens, which so need not be sorted
+        rows = rows.join(corpus.words.where(_met(c, strict)).select("norm").hint("shuffle_hash"), "norm", "left_semi")
     return rows.select("source", "doc_id", "pos", "hard_break")
 
 
@@ -90,7 +91,7 @@ def _without(corpus: Corpus, c: Not, authors: tuple[str, ...], strict: bool, bre
         out = rows.where(F.col("norm").isin(words))
     else:
         unmet = corpus.words.where(~F.coalesce(_met(c, strict), F.lit(False))).select("norm")
-        out = rows.join(unmet, "norm", "left_semi")
+        out = rows.join(unmet.hint("shuffle_hash"), "norm", "left_semi")
     out = out.select("doc_id", "pos")
     return out.unionByName(rows.where("hard_break").select("doc_id", "pos")) if breaks else out
 

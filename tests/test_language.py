@@ -2,9 +2,12 @@
 
 import itertools
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from glyphspan.functions import text as T
 from glyphspan.plans import language as Q
 from glyphspan.plans import search as S
 from glyphspan.sources import corpus as C
@@ -151,3 +154,23 @@ def test_only_what_must_hold_together_is_a_contradiction():
         assert not of(text)
     for text in ("(@case:nom and @case:acc)", "(@lemma:a and (@lemma:b and c))", "(@lemma:a and !@lemma:a)", "(a and ((@case:nom and @case:acc) or (@lemma:a and @lemma:b)))"):
         assert of(text)
+
+
+def test_parts_of_a_corpus_are_written_when_asked_for(spark, tmp_path):
+    """One part at a time, each as a whole build has it; texts of one group of rows are dealt out, and a common word to several files."""
+    texts = ["", None, " ‘Of the’ sēa—†the \U0001d4d0b. end", "the. the,the", "...", "x y the"] + ["the " * 50] * 200
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").coalesce(1)
+    whole = C.build(docs, str(tmp_path / "whole"))
+    parts = C.Parts(docs, str(tmp_path / "parts"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for name in ("words", "blocks", "tokens"):
+        assert not (tmp_path / "parts" / name).exists()
+        assert rows(getattr(parts, name)) == rows(getattr(whole, name))
+    plain = {i: [w for w in re.split(f"[{re.escape(T.BREAKS)}]+", t or "") if w] for i, t in enumerate(texts)}
+    got = {}
+    for r in whole.tokens.orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {i: ws for i, ws in plain.items() if ws}
+    assert whole.tokens.where("norm = 'the'").select(F.input_file_name()).distinct().count() > 1
+    plan = S.tokens_of(whole, Q.Lemma("the"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
