@@ -32,7 +32,8 @@ def resolved(terms: DataFrame, keys: DataFrame, fillers: list[str], special: dic
     first reading that finds a key counts.  A reading finds, in order: what ``special`` says; the key it equals; for a form in
     ING that with an e; that without s; the shortest key that begins with it.  If no key begins like it, nor it like a key,
     one of ``ENDINGS`` is exchanged and all readings of that follow; endings are exchanged once.
-    All comparisons are equality joins on beginnings of keys and readings.
+    All comparisons are equality joins on beginnings of keys and readings.  Keys are hashed: the beginnings of readings, many times
+    as many, are not sorted.
     """
     own = terms.select("term").where("term IS NOT NULL").distinct()
     tried = []
@@ -61,11 +62,11 @@ def resolved(terms: DataFrame, keys: DataFrame, fillers: list[str], special: dic
         )
     )
     letters = texts.where("low <> ''")
-    equal = letters.select("reading", F.explode(targets).alias("t")).select("reading", "t.*").join(exact, "norm").select("reading", "rule", "key")
+    equal = letters.select("reading", F.explode(targets).alias("t")).select("reading", "t.*").join(exact.hint("shuffle_hash"), "norm").select("reading", "rule", "key")
     longer = letters.join(shortest, "low").select("reading", F.lit(4).alias("rule"), "key")
     # a key that the reading begins with: no result, but then no ending is exchanged
     heads = letters.select("reading", F.explode(F.sequence(F.lit(1), F.char_length("low"))).alias("n"), "low").select("reading", F.substr("low", F.lit(1), F.col("n")).alias("norm"))
-    met = heads.join(exact.select("norm"), "norm").select("reading", F.lit(5).alias("rule"), F.lit(None).cast("string").alias("key"))
+    met = heads.join(exact.select("norm").hint("shuffle_hash"), "norm", "left_semi").select("reading").distinct().select("reading", F.lit(5).alias("rule"), F.lit(None).cast("string").alias("key"))
     found = equal.unionByName(longer).unionByName(met)
     if special:
         told = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])

@@ -183,3 +183,18 @@ def test_spellings_meet_and_complete(spark):
     orths = D.headwords(spark.createDataFrame([(1, "Iulius"), (2, "jam"), (3, "ut"), (4, "vt")], "id int, key string"), "d", "id", "key")
     assert _rows(D.completions(orths, "j")) == [("d", "Iulius"), ("d", "jam")]
     assert _rows(D.completions(orths, "ut")) == [("d", "ut"), ("d", "vt")]
+
+
+def test_beginnings_of_references_are_not_sorted(spark):
+    """Every reading has as many beginnings as letters: they pass by hashed keys, and a reading that meets several keys is one row."""
+    from glyphspan.operators import references as R
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = spark.createDataFrame([(i, "a" * i) for i in range(1, 9)], "ord long, key string")
+        found = R.resolved(spark.createDataFrame([("aaaaz",), ("zz",)], "term string"), keys, [])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") >= 2
+        assert {r["term"]: r["key"] for r in found.collect()} == {"aaaaz": None, "zz": None}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
