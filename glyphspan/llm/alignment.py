@@ -1,15 +1,14 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, in every text and over the corpus.
 
 Tokenising gives each text's ids and the byte offsets where its tokens end, for a byte-level BPE (A) and a SentencePiece
-model with byte fallback (B).  From there on Spark's higher-order functions do all: the offsets where both end
-(``array_intersect``) cut the tokens into groups; between two neighbouring offsets where either ends (``array_union``) lies
-exactly one overlap of an A and a B token, so each such stretch is one link.  Which token covers an offset is read from an
-array with an entry for each byte, made by ``array_repeat`` and ``flatten``, so a text costs its length.
+model with byte fallback (B).  The offsets where both end cut the tokens into groups; between two neighbouring offsets where
+either ends lies exactly one overlap of an A and a B token, so each such stretch is one link.  Which token covers an offset is
+found by a sorted search over the ends of a block's tokens, in Numpy inside the Arrow tasks that tokenise.
 
 Tokenising cuts texts into words (from a space after a non-space up to the next such place; neither tokenizer's tokens cross
 these places: that this holds for the vocabularies is checked, otherwise a text is one word).  A worker looks up the tokens
-of words that it met before, up to ``WORDS`` of them, and hands texts over in blocks of about ``BLOCK`` characters: each
-different word of a block once, with its tokens, and each text as places of words.  So words are aligned once in a block.
+of words that it met before, up to ``WORDS`` of them, and takes texts in blocks of about ``BLOCK`` characters: each different
+word of a block once, with its tokens, and each text as places of words.  So words are aligned once in a block.
 
 Counts of linked id pairs are added up over the corpus.  To give each link its pair's count, the commonest pairs, up to
 ``HOT`` of them, are broadcast, and the links of the rest are joined by their pair: so no frequent pair is dealt to one task,
@@ -28,20 +27,22 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from glyphspan.llm.common import fresh, let, stored, unused
+from glyphspan.llm.common import fresh, stored, unused
 
 #: Words whose tokens a worker keeps.
 WORDS = 200_000
@@ -197,12 +198,68 @@ def _pair(*how) -> Pair:
     return Pair(*how)
 
 
-def tokenised(df: DataFrame, how: tuple, text: str, keep: list[str]) -> DataFrame:
-    """Blocks of texts: words (tokens of the different words) and texts (the columns of ``keep`` as ``row``, n_a, n_b, words)."""
+def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another: ``many`` places from each ``start`` on."""
+    first = np.cumsum(many) - many
+    return np.repeat(start - first, many) + np.arange(many.sum())
+
+
+@functools.lru_cache(maxsize=8)
+def _told(most: int, mark: str) -> pa.Array:
+    """Each id as text, with a mark behind it."""
+    return pa.array([f"{i}{mark}" for i in range(most)])
+
+
+def aligned(words: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(links of all words, in order of their bytes; how many of each word; the groups of each as text, a semicolon behind each).
+
+    A link holds A's id in the upper and B's in the lower half of a number.  Ends of tokens are counted from the first word's
+    start on, so one sorted search over all words tells which token covers the bytes before an end.
+    """
+    flat = lambda name: words.field(name).flatten().to_numpy()
+    (a, a_ends), (b, b_ends) = ((flat(side).astype(np.int64), flat(f"{side}_ends").astype(np.int64)) for side in "ab")
+    many_a, many_b = (np.diff(words.field(side).offsets.to_numpy()) for side in "ab")
+    size = a_ends[np.cumsum(many_a) - 1] if len(words) else np.empty(0, np.int64)
+    stop = np.cumsum(size)
+    a_ends, b_ends = a_ends + np.repeat(stop - size, many_a), b_ends + np.repeat(stop - size, many_b)
+    ends = np.union1d(a_ends, b_ends)
+    at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    links = (a[at_a] << 32) | b[at_b]
+    until = np.searchsorted(ends, stop, "right")
+    common = (a_ends[at_a] == ends) & (b_ends[at_b] == ends)
+    # groups: A's tokens, then B's; behind a token stands a comma, or the mark of its side's last
+    last_a, last_b = at_a[common], at_b[common]
+    in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    from_a = np.cumsum(in_a + in_b) - in_a - in_b
+    spelled = np.empty(len(a) + len(b), np.int64)  # places in a table of all ids with each mark
+    most = int(max(a.max(initial=0), b.max(initial=0))) + 1
+    most = 1 << (most - 1).bit_length() if most > 1 else 1
+    mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    mark_a[last_a], mark_b[last_b] = most, 2 * most
+    spelled[_runs(from_a, in_a)] = a + mark_a
+    spelled[_runs(from_a + in_a, in_b)] = b + mark_b
+    table = pa.concat_arrays([_told(most, m) for m in ",|;"])
+    each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many_a + many_b)]).astype(np.int32)), table.take(pa.array(spelled)))
+    return links, np.diff(until, prepend=0), pc.binary_join(each, "")
+
+
+def linked(words: pa.StructArray, places: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """(links, digest of the groups) of each text, a text being places of words; no links and an empty digest for one without words."""
+    links, many, groups = aligned(words)
+    at, offsets = places.flatten().to_numpy(), places.offsets.to_numpy()
+    found = links[_runs((np.cumsum(many) - many)[at], many[at])]
+    ends = np.concatenate([[0], np.cumsum(many[at])])[offsets]
+    texts = pc.binary_join(pa.ListArray.from_arrays(places.offsets, groups.take(pa.array(at))), "").cast(pa.binary())
+    cut, letters = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1], memoryview(texts.buffers()[2] or b"")
+    digests = [hashlib.sha256(letters[i : j - 1]).hexdigest() if j > i else "" for i, j in pairwise(cut.tolist())]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found)), pa.array(digests, pa.string())
+
+
+def linked_texts(df: DataFrame, how: tuple, text: str, keep: list[str]) -> DataFrame:
+    """(the columns of ``keep`` as ``row``, n_a, n_b, links, groups_sha256) of each text."""
     kept = df.select(F.struct(*keep).alias("row"), F.col(text).alias("text")) if keep else df.select(F.struct(F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
-    ints = ArrayType(IntegerType())
-    words = StructType([StructField(n, ints) for n in TOKENS])
-    texts = StructType([kept.schema["row"], StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("words", ints)])
+    told = [StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("links", ArrayType(LongType())), StructField("groups_sha256", StringType())]
+    names = ["row", *(f.name for f in told)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*how)
@@ -212,58 +269,11 @@ def tokenised(df: DataFrame, how: tuple, text: str, keep: list[str]) -> DataFram
                 values.append(t.as_py() or "")
                 size += len(values[-1])
                 if size >= BLOCK or i + 1 == len(batch):
-                    tokens, columns = pair.block(values)
-                    told = pa.StructArray.from_arrays([batch.column("row").slice(start, len(values)), *columns], names=["row", "n_a", "n_b", "words"])
-                    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                    yield pa.RecordBatch.from_arrays([one(tokens), one(told)], names=["words", "texts"])
+                    words, (n_a, n_b, places) = pair.block(values)
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, len(values)), n_a, n_b, *linked(words, places)], names=names)
                     values, start, size = [], i + 1, 0
 
-    return kept.mapInArrow(encode, StructType([StructField("words", ArrayType(words)), StructField("texts", ArrayType(texts))]))
-
-
-def _covering(sizes: Column) -> Column:
-    """For each byte the place of the token that covers it."""
-    return F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
-
-
-def _links(a: Column, of_a: Column, b: Column, of_b: Column, stops: Column) -> Column:
-    """The ids that cover the stretches which end at ``stops``, A's in the upper and B's in the lower half of a number."""
-    at = lambda ids, covering, e: F.get(ids, F.get(covering, e - 1))
-    return F.transform(stops, lambda e: F.shiftleft(at(a, of_a, e).cast("long"), 32).bitwiseOR(at(b, of_b, e)))
-
-
-def _group_ids(ids: Column, covering: Column, common: Column) -> Column:
-    """The ids of each group, joined by commas."""
-
-    def told(names: Column, lasts: Column) -> Column:
-        first = lambda i: F.when(i == 0, 0).otherwise(F.get(lasts, i - 1) + 1)
-        return F.transform(lasts, lambda last, i: F.when(last == first(i), F.get(names, last)).otherwise(F.array_join(F.slice(names, first(i) + 1, last - first(i) + 1), ",")))
-
-    lasts = F.transform(common, lambda e: F.get(covering, e - 1))
-    return let(ids.cast("array<string>"), lambda names: let(lasts, lambda lasts: told(names, lasts)))
-
-
-def aligned(a: Column, a_sizes: Column, a_ends: Column, b: Column, b_sizes: Column, b_ends: Column) -> Column:
-    """Struct of all links, in order of their bytes, and the groups as text."""
-
-    def told(of_a: Column, of_b: Column) -> Column:
-        links = let(F.sort_array(F.array_union(a_ends, b_ends)), lambda stops: _links(a, of_a, b, of_b, stops))
-        joined = lambda common: F.array_join(F.zip_with(_group_ids(a, of_a, common), _group_ids(b, of_b, common), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-        return F.struct(links.alias("links"), let(F.array_intersect(a_ends, b_ends), joined).alias("groups"))
-
-    return let(_covering(a_sizes), lambda of_a: let(_covering(b_sizes), lambda of_b: told(of_a, of_b)))
-
-
-def linked_texts(blocks: DataFrame) -> DataFrame:
-    """(row, n_a, n_b, links, groups as text) of each text of the blocks."""
-    done = F.transform("words", lambda w: aligned(*(w[n] for n in TOKENS)))
-
-    def text(t: Column, done: Column) -> Column:
-        of = lambda pick: F.transform(t["words"], lambda i: pick(F.get(done, i)))
-        links = F.flatten(of(lambda w: w["links"]))
-        return F.struct(t["row"].alias("row"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"), links.alias("links"), F.array_join(of(lambda w: w["groups"]), ";").alias("groups"))
-
-    return blocks.select(F.explode(let(done, lambda done: F.transform("texts", lambda t: text(t, done)))).alias("t")).select("t.*")
+    return kept.mapInArrow(encode, StructType([kept.schema["row"], *told]))
 
 
 def align(
@@ -287,11 +297,10 @@ def align(
             raise ValueError(f"{a_ranks} holds another vocabulary than {a_path}")
     row, links = fresh(df, "__row"), fresh(df, "__links")
     size = lambda c: F.size(c).cast("long")
-    told = linked_texts(tokenised(df, (a_path, b_path, a_ranks, pattern), text, keep))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    told = linked_texts(df, (a_path, b_path, a_ranks, pattern), text, keep)
     # each group of n and m tokens has n + m - 1 links, as no end inside it is common
     groups = F.col("n_a") + F.col("n_b") - size("links")
-    told = told.select(*(F.col("row")[c].alias(c) for c in keep), "n_a", "n_b", groups.alias("n_groups"), F.col("links").alias(links), digest.alias("groups_sha256"), F.monotonically_increasing_id().alias(row))
+    told = told.select(*(F.col("row")[c].alias(c) for c in keep), "n_a", "n_b", groups.alias("n_groups"), F.col("links").alias(links), "groups_sha256", F.monotonically_increasing_id().alias(row))
     texts = stored(told, "links", "zstd", **{"parquet.dictionary.page.size": 1 << 24})
     each = texts.select(row, F.explode(links).alias("pair"))
     counts = stored(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pairs").withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))

@@ -136,3 +136,17 @@ def test_whole_query(spark, sf, both):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in QUERIES["op13_alignment"](spark, sf).collect()}
     assert got == {d["doc_id"]: w for d, w in zip(docs, _plain(both, [d["text"] for d in docs]), strict=True)}
+
+
+def test_words_are_aligned_in_the_tasks_that_tokenise(spark, both, capsys):
+    pair = alignment.Pair(A, B, RANKS, public_tokenizers.PATTERN)
+    texts = ["the house", "", "a▁b", "the house of é", "   漢字 "]
+    words, (_, _, places) = pair.block(texts)
+    links, digests = alignment.linked(words, places)
+    for t, found, digest, want in zip(texts, links.to_pylist(), digests.to_pylist(), _plain(both, texts), strict=True):
+        ta, tb = _ranges(both, t)
+        assert found == [x[0] << 32 | y[0] for x in ta for y in tb if x[1] < y[2] and y[1] < x[2]] and digest == want[6]
+    told = alignment.linked_texts(spark.createDataFrame([(1, "a house")], "doc_id long, text string"), (A, B, RANKS, public_tokenizers.PATTERN), "text", ["doc_id"])
+    told.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "lambda" not in plan  # no function over arrays is interpreted
