@@ -142,3 +142,13 @@ def test_cut_words_are_never_broadcast(spark, tmp_path):
     for df in frames:
         assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r["word"], r["lemma"]) for r in frames[0].collect()} == {(r["word"], r["lemma"]) for r in frames[1].collect()} == {("hating", "hat")}
+
+
+def test_places_are_looked_for_in_words_that_met_a_form(spark, capsys):
+    words = spark.createDataFrame([("uia",), ("via",), ("iacio",)], "word string")
+    stems = L.stems(spark, [("via", "vi", "n", 0), ("iacio", "jaci", "v", 0)])
+    out = L.crunch(words, stems, L.endings(spark, [("n", "a", 1), ("v", "o", 2)]))
+    out.explain()
+    looked = [line for line in capsys.readouterr().out.splitlines() if "transform(" in line]
+    assert looked and all("SortMergeJoin" in line for line in looked)
+    assert {(r["word"], r["form"]) for r in out.collect()} == {("uia", "via"), ("via", "via"), ("iacio", "jacio")}
