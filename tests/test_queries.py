@@ -179,3 +179,19 @@ def test_negated_terms_take_away_from_the_others(spark):
                         want.append((doc_id, p))
             found = plans.matches(c, (f"[{author}] " if author else "") + " ".join(terms), extended=True)
             assert sorted(map(tuple, found.select("doc_id", "pos").collect())) == sorted(want), (terms, author)
+
+
+def test_tasks_follow_the_size_of_texts(spark, tmp_path, monkeypatch):
+    from glyphspan.operators import tokens as K
+    from glyphspan.sources import corpus as C
+
+    docs = spark.range(64).selectExpr("id AS doc_id", "'s' AS source", "repeat('the w' || id || ' of. ', 200) AS text").coalesce(1)
+    one = K.tasks_for(docs)
+    monkeypatch.setattr(K, "TEXT_AT_ONCE", 2_000)  # one piece of 160 kB: as many tasks as its size asks for
+    assert one == spark.sparkContext.defaultParallelism and 64 <= K.tasks_for(docs) <= 90
+    parts = C.Parts(docs, str(tmp_path / "corpus"))
+    told = sorted(map(tuple, parts.told().select("doc_id", "pos", "norm", "hard_break").collect()))
+    assert not (tmp_path / "corpus/tokens").exists()  # all tokens once: nothing is sorted and stored
+    assert told == sorted(map(tuple, parts.tokens.select("doc_id", "pos", "norm", "hard_break").collect())) and len(told) == 64 * 600
+    assert len(parts.tokens.inputFiles()) > 40  # those of `the` are in no 16 files alone
+    assert parts.tokens.where("norm = 'the'").select("_metadata.file_path").distinct().count() > 8
