@@ -222,7 +222,8 @@ def aligned(words: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     size = a_ends[np.cumsum(many_a) - 1] if len(words) else np.empty(0, np.int64)
     stop = np.cumsum(size)
     a_ends, b_ends = a_ends + np.repeat(stop - size, many_a), b_ends + np.repeat(stop - size, many_b)
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two ordered runs
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     links = (a[at_a] << 32) | b[at_b]
     until = np.searchsorted(ends, stop, "right")
