@@ -174,3 +174,36 @@ def test_parts_of_a_corpus_are_written_when_asked_for(spark, tmp_path):
     assert whole.tokens.where("norm = 'the'").select(F.input_file_name()).distinct().count() > 1
     plan = S.tokens_of(whole, Q.Lemma("the"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_lists_of_words_are_made_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """No token is stored or shuffled for the index; repeated and missing ids, texts over several batches and empty ones count as ever."""
+    from glyphspan.operators import tokens as K
+    from glyphspan.plans import registry
+
+    rng = random.Random(4)
+    texts = [(i % 30, " ".join(rng.choices("abcd", k=rng.randrange(12)))) for i in range(40)]
+    texts += [(100, "a b " * 30_000), (101, None), (102, ""), (None, "a a c"), (None, "c a."), (103, "the. ‘The")]
+    analyses = spark.createDataFrame([(w, lemma, mask) for w, found in MEANINGS.items() for lemma, mask in found], "word string, lemma string, mask int")
+    rows = lambda df: sorted(map(repr, df.select("attr", "key", "doc_id", "positions").collect()))
+    for name, some in (("repeated", texts), ("single", [t for i, t in enumerate(texts) if t[0] is not None and (i < 30 or i >= 40)])):
+        docs = spark.createDataFrame([(d, "s", t) for d, t in some], "doc_id long, source string, text string")
+        docs.repartition(5).write.parquet(str(tmp_path / name / "docs"))
+        docs = spark.read.parquet(str(tmp_path / name / "docs"))
+        whole = C.build(docs, str(tmp_path / name / "whole"), analyses)
+        parts = C.Parts(docs, str(tmp_path / name / "parts"), analyses)
+        got = {tuple(r) for r in C.posting_sizes(parts).select("attr", "key", "n", "docs").collect()}
+        assert not (tmp_path / name / "parts" / "tokens").exists()
+        want = {}
+        for r in C.postings(whole).collect():
+            n, d = want.get((r["attr"], r["key"]), (0, 0))
+            want[r["attr"], r["key"]] = (n + len(r["positions"]), d + (r["doc_id"] is not None))
+        assert got == {(*k, *v) for k, v in want.items()}
+        assert rows(C.postings(parts)) == rows(C.postings(whole))
+        assert rows(C.postings(parts)) == rows(C.postings(parts))
+    monkeypatch.setattr(K, "TEXT_AT_ONCE", 1 << 30)  # these files are small: they lie evenly enough
+    plan = K.word_lists(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    called = []
+    monkeypatch.setattr(C, "write_tokens", lambda *a: called.append(a))
+    assert registry.QUERIES["postings_index"](spark, "/root/testdata/sf0.001").count() and not called
