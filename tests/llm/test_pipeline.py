@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphspan.llm import minhash
@@ -86,3 +87,46 @@ def test_simhash_links_are_candidates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: called.append(1) or real(*a, **k))
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df.select("doc_id", "text"), "").collect()} == {1, 2, 3}
     assert called
+
+
+def test_pairs_that_share_no_key_are_not_lost(spark):
+    """These lie at 0.8, share no key of MinHash and differ in more than three bits of SimHash."""
+    from glyphspan.llm import simhash
+
+    rows = []
+    for seed in (4528, 19906, 54771):
+        words = [f"w{seed}x{i}" for i in range(13)]
+        a, b = " ".join(words), " ".join([*words[:-1], "end"])
+        assert not (minhash.band_keys(minhash.shingle_set(a)) == minhash.band_keys(minhash.shingle_set(b))).any()
+        assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > simhash.RADIUS
+        rows += [(2 * seed, a), (2 * seed + 1, b)]
+    assert _kept(rows) == [2 * 4528, 2 * 19906, 2 * 54771]
+    assert sorted(r["doc_id"] for r in _stage(spark, rows)) == _kept(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_unmet_pairs_hold_all_pairs_of_different_components(spark, similarity):
+    """Without MinHash, too, for families about the limit, common phrases, one component in parts, and whatever the order of shingles."""
+    rng = random.Random(3)
+    texts, phrase = [], "such words as these stand in very many texts"
+    for family in range(12):
+        n = rng.randrange(30, 150)
+        words = [f"w{family}x{i}" for i in range(n)]
+        for member in range(8):
+            own = [w if rng.random() > 0.003 * member else f"n{family}m{member}x{i}" for i, w in enumerate(words)]
+            texts.append(" ".join([*own, phrase] if rng.random() < 0.5 else own))
+    texts = sorted({tuple(sorted(_shingles(t))): t for t in texts}.values())
+    sets = [_shingles(t) for t in texts]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9}
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    nodes = df.select(F.col("row").alias("node"))
+    for some in (set(), {i for i in range(len(texts)) if rng.random() < 0.5}):
+        roots = spark.createDataFrame([(i, min(some)) for i in sorted(some)], "node long, root long")
+        got = {tuple(r) for r in minhash.unmet_pairs(df, "row", "text", nodes, roots, similarity=similarity).collect()}
+        want = {(i, j) for i, j in alike if not {i, j} <= some}
+        assert len(want) > 30 and want <= got
+        assert not any({i, j} <= some for i, j in got) and len(got) < len(texts) * (len(texts) - 1) / 8
+    common = minhash.commonness(df)
+    hot = minhash.shingle_set(phrase)
+    assert (common[minhash._bucket(hot)] >= 3).all()
+    assert not set(hot) & set(minhash.prefix(minhash.shingle_set("a b c d e f g h i j " + phrase), common, 0.8))
